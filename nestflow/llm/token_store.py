@@ -1,15 +1,16 @@
 """Token ids as Parquet list columns: written in ascending id order, in row groups and pages of a chosen size, and read back.
 
-The file format: one row per document with columns doc_id, part (number of the range of ids the file holds), n_tokens, ids
-(list of int). Ids are dictionary-encoded (Parquet falls back by itself where a dictionary does not pay) or, with
+The file format: one row per document with columns doc_id, part (number of the range of ids the file holds),
+row (ascends in the files' order), n_tokens, ids (list of int). Ids are dictionary-encoded (Parquet falls back by itself where a dictionary does not pay) or, with
 ``encoding="delta"``, DELTA_BINARY_PACKED. Pages hold ``page_rows`` rows at most and row groups ``row_group_mb``; column and offset
 indexes are written, so a reader of a range of ids fetches only those pages, and one of metadata never touches the lists.
 
-Defined results: a null text is encoded as an empty one, that is, as the end id alone. Rows that share an id are ordered by their
-ids' checksum; a null doc_id comes first. Special-token strings in a text are ordinary text.
+Defined results: a null text is encoded as an empty one, that is, as the end id alone. Rows that share an id are ordered by a hash
+of the text; a null doc_id comes first. Special-token strings in a text are ordinary text.
 """
 from __future__ import annotations
 
+import json
 import os
 import sys
 import zlib
@@ -35,23 +36,50 @@ CHUNK = 8_000_000
 class Pieces:
     """Ids of pieces of text. Remembers the first ``limit`` distinct pieces it meets; others are encoded each time."""
 
-    def __init__(self, tok, limit: int = 600_000):
+    def __init__(self, tok, spec: dict, limit: int = 400_000):
         self.tok, self.limit = tok, limit
+        cut = spec.get("pre_tokenizer") or {}
+        #: Whether the tokenizer cuts texts before single spaces, whatever stands around them.
+        self.cuts = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
         self.row: dict[str, int] = {}
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.opens = np.array([(tok.id_to_token(i) or "").startswith("\u0120") for i in range(tok.get_vocab_size())])
 
-    def look_up(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(flat ids, start, size), the last two by piece."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, ids per text), each text by itself."""
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
+
+    def encode_spaced(self, texts: list[str], at_once: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts that begin with a space, have no other, and do not end in white space.
+
+        They are encoded as a few long texts. An id whose token begins with a space begins a text.
+        """
+        if not texts:
+            return self.encode(texts)
+        flat, _ = self.encode(["".join(texts[i : i + at_once]) for i in range(0, len(texts), at_once)])
+        starts = np.nonzero(self.opens[flat])[0]
+        if len(starts) != len(texts) or starts[0]:
+            return self.encode(texts)
+        return flat, np.diff(np.append(starts, len(flat)))
+
+    def look_up(self, spaced: list[str], heads: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, start, size), the last two by piece: first those with a space before them, then those at a text's head."""
+        pieces = spaced + heads
         rows = np.fromiter(map(self.row.get, pieces, repeat(-1)), np.int64, len(pieces))
-        miss = np.nonzero(rows < 0)[0]
+        miss = np.nonzero(rows < 0)[0].tolist()
+        # beside a neighbour, one that ends in white space might be cut otherwise than by itself
+        safe = [i for i in miss if i < len(spaced) and not pieces[i][-1].isspace()]
+        rest = [i for i in miss if i >= len(spaced) or pieces[i][-1:].isspace() or not pieces[i]]
         known = len(self.ends)
-        ids = [e.ids for e in self.tok.encode_batch_fast([pieces[i] for i in miss], add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
-        ends = np.concatenate([self.ends, (self.ends[-1] if known else 0) + np.cumsum(size)])
-        rows[miss] = known + np.arange(len(miss))
-        if room := min(self.limit - known, len(miss)):
-            self.row.update((pieces[i], known + k) for k, i in enumerate(miss[:room].tolist()))
+        (f1, n1), (f2, n2) = self.encode_spaced([pieces[i] for i in safe]), self.encode([pieces[i] for i in rest])
+        flat = np.concatenate([self.flat, f1, f2])
+        ends = np.concatenate([self.ends, (self.ends[-1] if known else 0) + np.cumsum(np.concatenate([n1, n2]))])
+        new = safe + rest
+        rows[new] = known + np.arange(len(new))
+        if room := min(self.limit - known, len(new)):
+            self.row.update((pieces[i], known + k) for k, i in enumerate(new[:room]))
             self.ends = ends[: known + room].copy()
             self.flat = flat[: self.ends[-1]].copy()
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
@@ -69,7 +97,7 @@ def encode_texts(pieces: Pieces, texts: pa.Array, end_id: int) -> tuple[np.ndarr
     if not n:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     texts = pc.fill_null(texts, "")
-    odd = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
+    odd = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False) if pieces.cuts else np.ones(n, bool)
     lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts, " ")
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     codes = lists.flatten().dictionary_encode()
@@ -77,7 +105,7 @@ def encode_texts(pieces: Pieces, texts: pa.Array, end_id: int) -> tuple[np.ndarr
     heads = np.cumsum(counts) - counts  # first pieces have no space before them
     head_codes, head_row = np.unique(code[heads], return_inverse=True)
     code[heads] = len(vocab) + head_row
-    flat, start, size = pieces.look_up([" " + v for v in vocab] + [vocab[k] for k in head_codes.tolist()])
+    flat, start, size = pieces.look_up([" " + v for v in vocab], [vocab[k] for k in head_codes.tolist()])
     piece_n = size[code]
     piece_n[heads[odd]] = 0  # the empty stand-ins of odd texts
     each = np.add.reduceat(piece_n, heads)
@@ -117,14 +145,16 @@ def load_pieces(path: str) -> Pieces:
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        kept[path] = Pieces(tok)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        kept[path] = Pieces(tok, spec)
     return kept[path]
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): one row per row of docs, partitioned as docs is."""
     key = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", key), T.StructField("n_tokens", T.LongType()), T.StructField("crc", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("doc_id", key), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         pieces = load_pieces(tokenizer)
@@ -136,9 +166,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_
                 part = batch.slice(at, stop - at)
                 ids, n = encode_texts(pieces, part.column(1).cast(pa.string()), end_id)
                 offsets = np.concatenate([[0], np.cumsum(n)])
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(crc, pa.int64()), lists], names=["doc_id", "n_tokens", "crc", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), lists], names=["doc_id", "n_tokens", "ids"])
                 at = stop
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
@@ -150,15 +179,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, encoding:
         raise ValueError(f"encoding {encoding!r}")
     d = docs.select("doc_id", "text")
     d = d.repartitionByRange(partitions, "doc_id") if partitions else d.repartitionByRange("doc_id")
-    e = encode(d, tokenizer, end_id).sortWithinPartitions("doc_id", "crc")
-    e = e.select("doc_id", F.spark_partition_id().alias("part"), "n_tokens", "ids")
+    e = encode(d.sortWithinPartitions("doc_id", F.xxhash64("text")), tokenizer, end_id)
+    e = e.select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "n_tokens", "ids")
     e.write.options(**{
-        "compression": "zstd", "parquet.block.size": str(row_group_mb << 20), "parquet.page.row.count.limit": str(page_rows), "parquet.writer.version": "PARQUET_2_0",
+        "compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.block.size": str(row_group_mb << 20), "parquet.page.row.count.limit": str(page_rows), "parquet.writer.version": "PARQUET_2_0",
         "parquet.enable.dictionary": str(encoding == "dictionary").lower(), "parquet.enable.dictionary#doc_id": "false", "parquet.page.write-checksum.enabled": "true",
     }).parquet(path)
 
 
-def read(spark: SparkSession, path: str, columns: tuple[str, ...] = ("doc_id", "part", "n_tokens", "ids"), first=None, last=None) -> DataFrame:
+def read(spark: SparkSession, path: str, columns: tuple[str, ...] = ("doc_id", "part", "row", "n_tokens", "ids"), first=None, last=None) -> DataFrame:
     """The chosen columns, and with first or last only that range of ids; page indexes spare the rest."""
     df = spark.read.parquet(path)
     if first is not None:
@@ -196,6 +225,6 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, **options) -> D
     meta = read(spark, path, ("part", "n_tokens")).groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = meta.select(F.col("part").alias("p"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     c = checksums(stored)
-    w = Window.partitionBy("part").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     run = c.withColumn("upto", F.sum("n_tokens").over(w))
     return run.join(before, run.part == before.p).select("doc_id", (F.col("before") + F.col("upto") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
