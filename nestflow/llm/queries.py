@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontam, mixing, neardup, token_store, topk, toxicity, urls
+from . import brown, chat, decontam, linededup, mixing, neardup, token_store, topk, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_recurring(table(spark, sf_dir, "documents"))
+
+
+def op4_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(table(spark, sf_dir, "conversations"))
+
+
 def op3_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(table(spark, sf_dir, "documents"))
 
@@ -47,6 +55,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_line_dedup": op2_line_dedup,
+    "op4_quote_linking": op4_quote_linking,
     "op3_class_scores": op3_class_scores,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_toxicity": op6_toxicity,
@@ -98,4 +108,24 @@ p AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(range(
       FROM v q, v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id AND len(v.x) = len(q.x)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op2_line_dedup": r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS raw,
+             list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(
+               regexp_replace(l, '(^|[\x09-\x0D\x20])[^\x09-\x0D\x200-9@]*[0-9@][^\x09-\x0D\x20]*', '\1<*>', 'g'), '[\x09-\x0D\x20]+', ' ', 'g'), ' ')) AS lines FROM documents),
+l AS (SELECT doc_id, pos, lines[pos + 1] AS line, len(string_split(lines[pos + 1], ' ')) AS n
+      FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS pos FROM d)),
+g AS (SELECT n, array_to_string(string_split(line, ' ')[1:3], ' ') AS lead, line, count(DISTINCT doc_id) AS docs FROM l WHERE n >= 3 GROUP BY ALL),
+f AS (SELECT n, lead, sum(docs) AS votes FROM g GROUP BY ALL HAVING sum(docs) >= 5 AND count(*) > 1),
+c AS (SELECT n, lead, line, docs, votes, unnest(string_split(line, ' ')) AS tok, unnest(range(1, n + 1)) AS pos FROM g JOIN f USING (n, lead)),
+v AS (SELECT n, lead, votes, pos, tok, sum(docs) AS w FROM c GROUP BY ALL),
+k AS (SELECT n, lead, pos, tok FROM v QUALIFY row_number() OVER (PARTITION BY n, lead, pos ORDER BY w DESC, tok DESC) = 1 AND 2 * w >= votes),
+j AS (SELECT n, lead, line FROM c JOIN k USING (n, lead, pos, tok) GROUP BY ALL HAVING count(*) >= 0.7 * n),
+t AS (SELECT line, 'J' || n || ' ' || lead AS template FROM j
+      UNION ALL SELECT line, 'A' || line FROM g WHERE docs >= 5 AND line NOT IN (SELECT line FROM j)),
+h AS (SELECT doc_id, pos, template FROM l JOIN t USING (line)),
+o AS (SELECT template FROM h GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
+x AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM h JOIN o USING (template) GROUP BY 1)
+SELECT doc_id, CAST(coalesce(len(raw), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
+       CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(len(raw)), lambda i: NOT list_contains(gone, i)), lambda i: raw[i + 1]), chr(10)) END AS text
+FROM d LEFT JOIN x USING (doc_id)""",
 }
