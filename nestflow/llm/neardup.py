@@ -1,9 +1,10 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Rows with the same set of shingles form a class; one vertex stands for it. Signatures of ``BANDS`` x ``ROWS`` minima are cut into bands, and
-vertices that agree on a band share a bucket. Candidate pairs come from buckets: at first each member with its bucket's centre, with other
-centres in later rounds, and in the end every pair whose members still lie in different components. So no pair within one
-component is made twice over, and no link between different components is lost. Candidates are compared a batch of minima at a time and
+vertices that agree on a band share a bucket. Candidate pairs come from buckets: at first each member with its bucket's centre, then
+every pair whose members still lie in different components. So no pair is made within one component, and no link between different
+components is lost. In a bucket of up to ``SMALL`` members such pairs are rows; in a larger one, members outside its largest component meet all
+members in blocks of bytes, and only links leave a block. Candidates are compared a batch of minima at a time and
 pruned once the posterior probability of a similarity at or above the threshold is below ``MISS``. Survivors are verified exactly,
 on whole sets.
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, session_of
-from .tokens import shingles, slices
+from .tokens import shingles, slices, tidy
 
 BANDS, ROWS = 32, 5
 #: Minima compared at a time.
@@ -30,7 +31,8 @@ BATCH = 32
 MISS = 1e-6
 #: Ids are broadcast up to this number, 8 bytes each.
 MAX_BROADCAST = 2_000_000
-_STARS = 3
+#: Members of a bucket whose pairs are made as rows, and bytes of a block in larger ones.
+SMALL, BLOCK = 48, 500_000
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -124,6 +126,7 @@ def prune(pairs: DataFrame, threshold: float, miss: float) -> DataFrame:
                 live, m = live[ok], m[ok]
             take = pa.array(live)
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(m)], names=["a", "b", "matches"])
+            tidy()
 
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {key}, b {key}, matches long")
 
@@ -145,10 +148,68 @@ def verify(pairs: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take)], names=["a", "b"])
+            tidy()
 
     return pairs.select("a", "b", "items_a", "items_b").mapInArrow(run, f"a {key}, b {key}")
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of left[i] and right[j]; by a product of 0/1 matrices where many pairs share few items."""
+    use_l, use_r = np.unique(i), np.unique(j)
+    flat = np.concatenate([*(left[k] for k in use_l), *(right[k] for k in use_r)]) if len(i) else np.zeros(0, np.uint64)
+    items, code = np.unique(flat, return_inverse=True)
+    if len(i) < 64 or (len(use_l) + len(use_r)) * len(items) > 40_000_000:
+        return np.array([len(np.intersect1d(left[p], right[q], assume_unique=True)) for p, q in zip(i, j, strict=True)], np.int64)
+    x = np.zeros((len(use_l) + len(use_r), len(items)), np.float32)
+    x[np.repeat(np.arange(len(x)), [*(len(left[k]) for k in use_l), *(len(right[k]) for k in use_r)]), code] = 1
+    both = x[: len(use_l)] @ x[len(use_l) :].T
+    return both[np.searchsorted(use_l, i), np.searchsorted(use_r, j)].astype(np.int64)
+
+
+def link_blocks(rows: DataFrame, percent: int, miss: float, key: str) -> DataFrame:
+    """Links (a, b) between members of different components of (band, lefts, rights), one for each left member and component.
+
+    lefts and rights are arrays of (v, c, sig, items). A pair is left to the first band that it agrees on.
+    """
+    width, threshold = BANDS * ROWS, percent / 100
+    bounds = [(n, least_matches(n, threshold, miss)) for n in range(BATCH, width + 1, BATCH)]
+
+    def members(x):
+        f = x.flatten()
+        return f[0].to_pylist(), f[1].to_numpy(zero_copy_only=False), _stack(f[2], width), [np.frombuffer(y, np.uint64) for y in f[3].to_pylist()]
+
+    def run(batches):
+        for b in batches:
+            a_out, b_out = [], []
+            for row in range(b.num_rows):
+                band = b.column(0)[row].as_py()
+                lv, lc, ls, li = members(b.column(1)[row].values)
+                rv, rc, rs, ri = members(b.column(2)[row].values)
+                nl, nr = np.array([len(x) for x in li]), np.array([len(x) for x in ri])
+                i, j = np.nonzero((lc[:, None] != rc[None]) & (100 * np.minimum(nl[:, None], nr[None]) >= percent * np.maximum(nl[:, None], nr[None])))
+                m = np.zeros(len(i), np.int64)
+                for n, least in bounds:
+                    m = m + (ls[i, n - BATCH : n] == rs[j, n - BATCH : n]).sum(1)
+                    ok = m >= least
+                    i, j, m = i[ok], j[ok], m[ok]
+                if band and len(i):
+                    first = (ls[i, : band * ROWS] == rs[j, : band * ROWS]).reshape(len(i), band, ROWS).all(2).any(1)
+                    i, j = i[~first], j[~first]
+                both = _overlaps(li, ri, i, j)
+                ok = 100 * both >= percent * (nl[i] + nr[j] - both)
+                seen = set()
+                for p, q in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                    if (p, rc[q]) not in seen:
+                        seen.add((p, rc[q]))
+                        a_out.append(lv[p])
+                        b_out.append(rv[q])
+            kind = b.column(1).type.value_type.field("v").type
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, kind), pa.array(b_out, kind)], names=["a", "b"])
+            tidy()
+
+    return rows.select("band", "lefts", "rights").mapInArrow(run, f"a {key}, b {key}")
+
+
 def merge_components(ws: Workspace, labels: DataFrame, edges: DataFrame) -> DataFrame:
     """labels (v, c) after edges (a, b) between vertices: c is the least label reachable. Joins and aggregates only.
 
@@ -184,9 +245,9 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     classes = full.groupBy("key").agg(F.min("doc_id").alias("v"), F.first("sig").alias("sig"))
     reps = ws.keep(classes)
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * ROWS * 2 + 1, ROWS * 2)) for i in range(BANDS)])
-    banded = reps.select("v", F.explode(bands).alias("bucket"))
+    banded = reps.select("v", F.posexplode(bands).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    buckets = ws.keep(banded.join(shared, "bucket").select("bucket", "v"))
+    buckets = ws.keep(banded.join(shared, "bucket").select("bucket", "band", "v"))
     labels = ws.keep(buckets.select("v").distinct().withColumn("c", F.col("v")))
     wanted = labels.select(F.col("v").alias("w"))
     few = labels.count() <= MAX_BROADCAST
@@ -196,29 +257,40 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     sets = whole_sets(texts, width, id_col, text_col)
     sets = ws.keep(sets.join(reps.select("v", "key"), ["v", "key"], "left_semi").dropDuplicates(["v", "key"]).select("v", "items"))
     sigs = reps.select("v", "sig").join(wanted, F.col("v") == F.col("w"), "left_semi")
-    for turn in range(_STARS + 1):
-        at = buckets.join(labels, "v")
-        if turn < _STARS:
-            order = F.col("v") if turn == 0 else F.xxhash64("v", "bucket", F.lit(turn))
-            stars = at.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("v", "c"), order).alias("s")).where("lo <> hi").select("bucket", F.col("s.v").alias("a"), F.col("s.c").alias("ca"))
-            pairs = at.join(stars, "bucket").where("c <> ca").select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b"))
-        else:
-            mixed = at.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-            left = at.join(mixed, "bucket").select("bucket", F.col("v").alias("a"), F.col("c").alias("ca"))
-            right = left.select("bucket", F.col("a").alias("b"), F.col("ca").alias("cb"))
-            pairs = left.join(right, "bucket").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = pairs.distinct()
-        with_sigs = pairs.join(sigs.select(F.col("v").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("v").alias("b"), F.col("sig").alias("sig_b")), "b")
-        alive = prune(with_sigs, percent / 100, MISS)
-        if turn < _STARS:  # the likeliest link of each vertex is enough for now; what it leaves apart meets again
+
+
+    def confirm(pairs: DataFrame, one_each: bool) -> DataFrame:
+        both = pairs.join(sigs.select(F.col("v").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("v").alias("b"), F.col("sig").alias("sig_b")), "b")
+        alive = prune(both, percent / 100, MISS)
+        if one_each:  # each vertex's likeliest link is enough for now; what it leaves apart meets again
             alive = alive.groupBy("b").agg(F.max_by("a", "matches").alias("a")).select("a", "b")
-        both = alive.join(sets.select(F.col("v").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("v").alias("b"), F.col("items").alias("items_b")), "b")
-        links = ws.keep(verify(both, percent))
-        if turn == _STARS or links.limit(1).count():
-            new = merge_components(ws, labels, links)
-            labels = new
-        ws.drop(links)
-    ws.drop(buckets, sets)
+        return verify(alive.join(sets.select(F.col("v").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("v").alias("b"), F.col("items").alias("items_b")), "b"), percent)
+
+    centres = buckets.groupBy("bucket").agg(F.min("v").alias("a"))
+    stars = buckets.join(centres, "bucket").where("v <> a").select("a", F.col("v").alias("b")).distinct()
+    links = ws.keep(confirm(stars, True))
+    labels = merge_components(ws, labels, links)
+
+    at = ws.keep(buckets.join(labels, "v").select("bucket", "band", "v", "c"))
+    parts = at.groupBy("bucket", "c").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.sum("m").alias("m"), F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("top"))
+    mixed = parts.where("parts > 1").select("bucket", "m", F.col("top.c").alias("top"))
+    small = at.join(mixed.where(F.col("m") <= SMALL).select("bucket"), "bucket")
+    other = small.select("bucket", F.col("v").alias("b"), F.col("c").alias("cb"))
+    pairs = small.select("bucket", F.col("v").alias("a"), F.col("c").alias("ca")).join(other, "bucket").where("ca < cb").select("a", "b").distinct()
+    big = at.join(mixed.where(F.col("m") > SMALL).select("bucket", "top"), "bucket")
+    big = big.join(sets, "v").join(sigs, "v").select("bucket", "band", (F.col("c") != F.col("top")).alias("apart"), F.struct("v", "c", "sig", "items").alias("x"), (F.length("items") + 400).alias("bytes"))
+    size = lambda d, name: d.groupBy("bucket").agg(F.ceil(F.sum("bytes") / BLOCK).alias(name))
+    big = ws.keep(big)
+
+    def blocks(d: DataFrame, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("x.v"), F.col("k"))
+        return d.join(size(d, "k"), "bucket").groupBy("bucket", "band", block.alias(name + "_no")).agg(F.collect_list("x").alias(name))
+
+    met = blocks(big.where("apart"), "lefts").join(blocks(big, "rights"), ["bucket", "band"])
+    kind = docs.schema[id_col].dataType.simpleString()
+    links = ws.keep(confirm(pairs, False).unionByName(link_blocks(met, percent, MISS, kind)))
+    labels = merge_components(ws, labels, links)
+    ws.drop(buckets, sets, at, big, links)
     tops = reps.join(labels, "v", "left").select("key", F.coalesce("c", "v").alias("component"))
     out = s.join(tops, "key", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))

@@ -1,20 +1,32 @@
 """Tokens and shingles of Arrow text columns, a batch at a time."""
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 6_000_000):
-    """The batch in runs of rows whose texts have about ``most`` bytes together; one row at least."""
+def tidy() -> None:
+    """Gives memory back that freed batches have left with the allocators, as a worker serves many tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 3_000_000):
+    """The batch in runs of rows whose texts have about ``most`` bytes together; one row at least. Tidies up behind itself."""
     length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     upto, at = np.cumsum(length), 0
     while at < batch.num_rows:
         stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
         yield batch.slice(at, stop - at)
         at = stop
+    tidy()
 
 
 def split_tokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
