@@ -252,9 +252,9 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     wanted = labels.select(F.col("v").alias("w"))
     few = labels.count() <= MAX_BROADCAST
     wanted = F.broadcast(wanted) if few else wanted
-    texts = docs.join(wanted, docs[id_col] == F.col("w"), "left_semi")
+    texts = docs.select(F.col(id_col).alias("v"), F.col(text_col).alias("text")).join(wanted, F.col("v") == F.col("w"), "left_semi")
     # of rows that share an id, the one whose set is the vertex's
-    sets = whole_sets(texts, width, id_col, text_col)
+    sets = whole_sets(texts, width, "v", "text")
     sets = ws.keep(sets.join(reps.select("v", "key"), ["v", "key"], "left_semi").dropDuplicates(["v", "key"]).select("v", "items"))
     sigs = reps.select("v", "sig").join(wanted, F.col("v") == F.col("w"), "left_semi")
 

@@ -9,7 +9,7 @@ pairs that may still reach the k-th best score, and the exact product only for t
 a task holds a block of each; every block of vectors gives at most k rows per query.
 
 Defined results: components are floor(256 * x) as integers; a vector that is null, or holds a null or a component that is not finite, takes no part;
-neither does one with a null id. Vectors of unequal length are compared within a length only. Ties go to the smaller id; rows that share an id are
+neither does one with a null id. Vectors of unequal length are compared within a length only. A score beyond 64 bits is given as the nearest number within them. Ties go to the smaller id; rows that share an id are
 separate candidates, and a query has no candidate with its own id. Repeated query rows count once if they are the same row.
 """
 from __future__ import annotations
@@ -64,7 +64,7 @@ def best(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, v_ids: np.
             live = live[v[live] @ q[i] + slack[i] >= float(floor)]
         score = vx[live] @ qx[i]
         top = np.argsort(-score, kind="stable")[:k]  # ids ascend, so ties go to the smaller
-        out += [(i, int(v_ids[live[j]]), int(score[j])) for j in top]
+        out += [(i, int(v_ids[live[j]]), max(-(2**63), min(2**63 - 1, int(score[j])))) for j in top]
     return out
 
 
@@ -84,7 +84,8 @@ def blocks(df: DataFrame, rows: int, salt: str) -> DataFrame:
         data: dict[int, list[np.ndarray]] = {}
 
         def flush(dim):
-            a, x = np.array(ids.pop(dim), np.int64), np.array(data.pop(dim), float).reshape(-1, dim)
+            a = np.array(ids.pop(dim), np.int64)
+            x = np.array(data.pop(dim), float).reshape(len(a), dim)
             return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([a.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["dim", "ids", "data"])
 
         for b in batches:
