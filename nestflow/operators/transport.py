@@ -169,3 +169,17 @@ def signed_distance(pairs: DataFrame) -> DataFrame:
         return pd.DataFrame({"obs": [pdf["obs"].iloc[0]], "w1": [signed_norm(pdf[cols].to_numpy(float), pdf["coefficient"].to_numpy(float))]})
 
     return pairs.select("obs", *cols, "coefficient").groupBy("obs").applyInPandas(run, f"obs {kind}, w1 double")
+
+
+def pair_diagram_distance(pairs: DataFrame, between: DataFrame) -> DataFrame:
+    """first, second, w1 of diagrams of pairs of intervals (obs, left_birth, left_death, right_birth, right_death, coefficient)."""
+    kind = pairs.schema["obs"].dataType.simpleString()
+    cols = ["left_birth", "left_death", "right_birth", "right_death"]
+    side = lambda k: between.join(pairs, between[k] == pairs["obs"]).select("first", "second", F.lit(k).alias("side"), *cols, "coefficient")
+    every = between.select("first", "second", F.lit("-").alias("side"), *[F.lit(0.0).alias(c) for c in cols], F.lit(0.0).alias("coefficient"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        of = lambda k: expand(pdf.loc[pdf["side"] == k, cols].to_numpy(float), pdf.loc[pdf["side"] == k, "coefficient"].to_numpy(float))
+        return pd.DataFrame({"first": [pdf["first"].iloc[0]], "second": [pdf["second"].iloc[0]], "w1": [w1_pairs(of("first"), of("second"))]})
+
+    return side("first").unionByName(side("second")).unionByName(every).groupBy("first", "second").applyInPandas(run, f"first {kind}, second {kind}, w1 double")

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..functions import seeds
 from ..functions.expressions import r6
-from ..operators import diagrams, evaluate, generate, graph, harmonic, homology, perturb, quality, svm, transport, vectorize
+from ..operators import diagrams, evaluate, generate, graph, harmonic, homology, perturb, quality, sample, svm, transport, vectorize
+from ..sources import tables
 from . import fixtures as fx
 from . import studies
+from .config import StudyConfig
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -399,6 +401,13 @@ def w1_pd1(spark, sf):
     return _round(transport.diagram_distance(a, _partners(a).select(F.col("obs").alias("first"), F.col("other").alias("second"))), "w1")
 
 
+@query()
+def w1_pd2(spark, sf):
+    p = diagrams.second_order(diagrams.prune(fx.atoms(spark, sf), 0.49)).where("left_death > 0.52")
+    between = _partners(p).select(F.col("obs").alias("first"), F.col("other").alias("second"))
+    return _round(transport.pair_diagram_distance(p, between), "w1")
+
+
 @query()
 def w1_signed_pairs(spark, sf):
     a = diagrams.prune(fx.atoms(spark, sf), 0.48)
@@ -663,6 +672,55 @@ def kernel_svm(spark, sf):
     return svm.cross_validate(evaluate.stratified_folds(e, 4).drop("stratum"))
 
 
+@query()
+def classification_study(spark, sf):
+    """Graphs of three models, told apart by four kinds of vectors with nested cross-validation."""
+    c = StudyConfig(vertices=30, edges=60, graphs_per_class=12, characters=8, features=24, outer_folds=3, inner_folds=2, costs=(1.0, 10.0), replicates=50, resolution=8, image_size=(5, 5))
+    return _round(studies.synthetic_study(spark, {m: {k: float(v) for k, v in _MODELS[m].items()} for m in ("watts_strogatz", "block_model", "chung_lu")}, c), "accuracy", "macro_f1", "lower", "upper")
+
+
+@query("WITH w AS (SELECT o_custkey % 20 AS g, o_orderkey AS i, o_totalprice AS w FROM orders), e AS (SELECT g, i, sum(w) OVER (PARTITION BY g ORDER BY i) / sum(w) OVER (PARTITION BY g) AS at FROM w), d AS (SELECT c_custkey AS draw, c_custkey % 20 AS g, (c_custkey * 37 % 101) / 101.0::DOUBLE AS u FROM customer) SELECT d.g, draw, round(u, 6) AS u, min(i) AS i FROM d JOIN e ON e.g = d.g AND d.u < e.at GROUP BY 1, 2, 3")
+def weighted_pick(spark, sf):
+    w = fx.table(spark, sf, "orders").select((F.col("o_custkey") % 20).alias("g"), F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("w"))
+    d = fx.table(spark, sf, "customer").select((F.col("c_custkey") % 20).alias("g"), F.col("c_custkey").alias("draw"), ((F.col("c_custkey") * 37 % 101) / 101.0).alias("u"))
+    return _round(sample.weighted_pick(w, d), "u")
+
+
+# ---- tables that runs leave
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0)")
+def filtered_rewrite(spark, sf):
+    gone = fx.table(spark, sf, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    return tables.without_keys(fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), gone, "o_custkey")
+
+
+@query("SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0)")
+def unfinished_keys(spark, sf):
+    done = fx.table(spark, sf, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"))
+    return tables.unfinished(fx.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k")), done, "k")
+
+
+@query("SELECT c_custkey AS g, c_acctbal AS balance, CAST(c_nationkey AS DOUBLE) AS nation FROM customer")
+def wide_fields(spark, sf):
+    c = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("g"), F.col("c_acctbal").cast("double").alias("balance"), F.col("c_nationkey").cast("double").alias("nation"))
+    return tables.wide_fields(tables.long_fields(c, ["balance", "nation"]), ["balance", "nation"])
+
+
+@query(f"{A}, o AS (SELECT s_suppkey AS g FROM supplier) SELECT o.g, count(atoms.obs) AS n, coalesce(round(min(birth), 6), -1) AS first FROM o LEFT JOIN atoms ON atoms.obs = o.g AND o.g % 3 <> 0 GROUP BY 1")
+def graph_diagrams(spark, sf):
+    g = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("g"))
+    d = tables.with_edges(g, fx.atoms(spark, sf).where("obs % 3 <> 0").withColumnRenamed("obs", "g"))
+    return d.select("g", F.size("diagram").cast("long").alias("n"), F.coalesce(r6(F.get("diagram", F.lit(0))["birth"]), F.lit(-1.0)).alias("first"))
+
+
+@query(f"{S}, {_RANK.format(t='small')}, r AS (SELECT g, count(*) AS edge_count FROM fl GROUP BY 1) SELECT g, CASE WHEN g = 'click' THEN edge_count + 1 ELSE edge_count END AS edge_count, edge_count AS found FROM r WHERE g = 'click'")
+def union_records(spark, sf):
+    e = graph.rank_filtration(fx.small_graphs(spark, sf)).select("g", F.lit("edge").alias("record_type"), "u", "v", "step", "time")
+    n = e.groupBy("g").agg(F.count("*").alias("c")).select("g", F.lit("graph").alias("record_type"), F.lit(0).alias("n"), F.when(F.col("g") == "click", F.col("c") + 1).otherwise(F.col("c")).alias("edge_count"))
+    return tables.union_violations(n.unionByName(e, allowMissingColumns=True))
+
+
 # ---- quality
 
 

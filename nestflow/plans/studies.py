@@ -4,8 +4,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import seeds
 from ..functions.seeds import derive_seed
-from ..operators import graph, harmonic, homology
+from ..operators import evaluate, generate, graph, harmonic, homology, svm, vectorize
+from .config import StudyConfig
 
 
 def tasks(spark: SparkSession, axes: dict[str, list]) -> DataFrame:
@@ -39,3 +41,53 @@ def interval_features(edges: DataFrame, spec: list[tuple]) -> DataFrame:
 def cohesion_filtered(edges: DataFrame) -> DataFrame:
     """Edges with time by clique cohesion."""
     return graph.cohesion_filtration(graph.cohesion(edges, graph.trussness(edges)))
+
+
+def graph_vectors(edges: DataFrame, config: StudyConfig) -> dict[str, DataFrame]:
+    """(obs, vector) by method for filtered graphs: harmonic coordinates, landscape, image and graph statistics.
+
+    Ranges of landscape and image are [0, 1], where filtration times lie, so nothing is fitted on held-out graphs.
+    """
+    atoms = homology.h1(graph.clique_complex(edges)).persist()
+    every = edges.select(F.col("g").alias("obs")).distinct()
+    spec = seeds.feature_spec(seeds.character_bank(config.characters, config.seed), config.features)
+    z = harmonic.with_empty(harmonic.coordinates(atoms, spec, "kernel"), every, spec)
+    as_vector = lambda df, *order: df.groupBy("obs").agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, "value"))), lambda x: x["value"]).alias("vector"))
+    w, h = config.image_size
+    s = graph.graph_statistics(edges)
+    return {
+        "harmonic": harmonic.vectors(z),
+        "landscape": as_vector(vectorize.landscape(atoms, every, config.landscapes, vectorize.landscape_grid(0.0, 1.0, config.resolution)), "layer", "point"),
+        "image": as_vector(vectorize.image(atoms, every, vectorize.image_pixels((0.0, 1.0, 0.0, 1.0), w, h), config.bandwidth), "pixel"),
+        "statistics": s.select(F.col("g").alias("obs"), F.array("density", "mean_degree", "clustering").alias("vector")),
+    }
+
+
+def evaluate_vectors(vectors: DataFrame, labels: DataFrame, config: StudyConfig) -> DataFrame:
+    """id, outer_fold, label, prediction, cost of (obs, vector) and (id, label), by nested cross-validation stratified by label."""
+    folds = evaluate.nested_folds(labels.withColumn("stratum", F.col("label")), config.outer_folds, config.inner_folds, seed=config.seed)
+    rows = folds.join(labels, "id").join(vectors, F.col("id") == F.col("obs")).select("id", "label", "vector", "outer_fold", "inner_fold")
+    return svm.nested_cross_validate(rows, config.costs)
+
+
+def summary(predictions: DataFrame, config: StudyConfig) -> DataFrame:
+    """accuracy and macro_f1 of pooled held-out predictions, and the bootstrap interval of the accuracy."""
+    p = predictions.withColumn("stratum", F.col("label"))
+    m = evaluate.metrics(p)
+    b = evaluate.bootstrap(p, config.replicates, config.seed & 0x7FFFFFFF, config.level).select("lower", "upper")
+    return m.join(F.broadcast(b))  # a row each
+
+
+def synthetic_study(spark: SparkSession, models: dict[str, dict[str, float]], config: StudyConfig) -> DataFrame:
+    """method, accuracy, macro_f1, lower, upper: can graphs of the models be told apart by their vectors?"""
+    asks = None
+    for i, (model, params) in enumerate(models.items()):
+        r = requests(spark, model, config.vertices, config.edges, params, config.graphs_per_class, config.seed + i)
+        asks = r if asks is None else asks.unionByName(r)
+    edges = graph.rank_filtration(generate.generate(asks)).persist()
+    labels = asks.select(F.col("g").alias("id"), F.col("model").alias("label"))
+    out = None
+    for method, v in graph_vectors(edges, config).items():
+        s = summary(evaluate_vectors(v, labels, config), config).withColumn("method", F.lit(method))
+        out = s if out is None else out.unionByName(s)
+    return out.select("method", "accuracy", "macro_f1", "lower", "upper")

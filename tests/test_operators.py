@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nestflow.functions import seeds
-from nestflow.operators import diagrams, evaluate, generate, graph, harmonic, homology, perturb, quality, svm, transport, vectorize
+from nestflow.operators import diagrams, evaluate, generate, graph, harmonic, homology, perturb, quality, sample, svm, transport, vectorize
 from nestflow.plans import catalog, studies
+from nestflow.plans.config import StudyConfig
 from nestflow.sources import tables, tu
 from nestflow.streaming import diagram_stream
 
@@ -254,3 +255,20 @@ def test_stream_matches_batch(spark, atoms, tmp_path):
     assert z == {r.obs: pytest.approx((r.re, r.im)) for r in harmonic.coordinates(atoms, spec).collect()}
     rel = drain(diagram_stream.relationship_mass(src(), "1 day"), "rel", "update").groupBy("obs").agg(F.max_by("relationship_mass", "support").alias("x"))
     assert {r.obs: r.x for r in rel.collect()} == {o: pytest.approx(r.relationship_mass) for o, r in want.items()}
+
+
+def test_nested_machine_and_settings(spark):
+    r = random.Random(2)
+    rows = [(i, i % 2, [r.gauss(3 * (i % 2), 1), 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, label int, vector array<double>")
+    f = evaluate.nested_folds(df.withColumn("stratum", F.col("label")), 3, 2, seed=1)
+    got = svm.nested_cross_validate(f.join(df, "id"), (0.1, 1.0)).toPandas()
+    assert sorted(got.id) == list(range(60)) and (got.label == got.prediction).mean() > 0.85 and set(got.cost) <= {0.1, 1.0}
+    with pytest.raises(ValueError, match="edges"):
+        StudyConfig(vertices=4, edges=7)
+
+
+def test_weighted_pick_proportions(spark):
+    w = spark.createDataFrame([(1, 0, 1.0), (1, 1, 0.0), (1, 2, 3.0)], "g int, i int, w double")
+    d = spark.createDataFrame([(1, k, k / 8) for k in range(8)], "g int, draw long, u double")
+    assert sorted((r.draw, r.i) for r in sample.weighted_pick(w, d).collect()) == [(k, 0 if k < 2 else 2) for k in range(8)]
