@@ -6,6 +6,16 @@ import math
 
 _M = (1 << 64) - 1
 
+# Fixed values of the seed format: what a derived seed is for.
+DOMAINS = {
+    "graph_latent": 0x243F6A8885A308D3,
+    "graph_sampling": 0x13198A2E03707344,
+    "robustness": 0xA4093822299F31D0,
+    "character_bank": 0x082EFA98EC4E6C89,
+    "cross_observation": 0x452821E638D01377,
+    "scalability": 0xBE5466CF34E90C6C,
+}
+
 
 def splitmix64(x: int) -> int:
     """The finaliser of Steele, Lea and Flood's SplitMix after one step of its Weyl sequence."""
@@ -25,6 +35,11 @@ def derive_seed(base: int, domain: int, coordinates: tuple[int, ...] = ()) -> in
     return splitmix64(state ^ splitmix64(len(coordinates) ^ arity))
 
 
+def signed(seed: int) -> int:
+    """The same 64 bits as a signed number, as a long column holds them; the stream takes either."""
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
 def named_seed(*parts: str, bits: int = 32) -> int:
     """A seed from text parts, each preceded by its length, by blake2b."""
     h = hashlib.blake2b(digest_size=8)

@@ -26,8 +26,8 @@ def remaining(plan: DataFrame, committed: DataFrame) -> DataFrame:
 
 def requests(spark: SparkSession, model: str, n: int, m: int, params: dict[str, float], graphs: int, base_seed: int) -> DataFrame:
     """Requests for generate(): seeds depend on the graph's number alone, so parts can be made again."""
-    mask = (1 << 62) - 1
-    rows = [(f"{model}-{i}", model, n, m, derive_seed(base_seed, 1, (i,)) & mask, derive_seed(base_seed, 2, (i,)) & mask, params) for i in range(graphs)]
+    seed = lambda domain, i: seeds.signed(derive_seed(base_seed, seeds.DOMAINS[domain], (i,)))
+    rows = [(f"{model}-{i}", model, n, m, seed("graph_latent", i), seed("graph_sampling", i), params) for i in range(graphs)]
     return spark.createDataFrame(rows, "g string, model string, n int, m int, latent_seed long, sampling_seed long, params map<string,double>")
 
 
