@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -84,6 +85,25 @@ class Workspace:
             pass
 
 
+def text_batches(spark: SparkSession, n: int = 2000) -> None:
+    """Lowers the session's Arrow batches from their default of 10,000 rows, too many where rows are whole texts; a caller's own value stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(n))
+
+
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, n: int):
+    """Arrow batches of at most n rows for what runs inside; rows that hold whole sets or blocks are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(min(n, int(old)) if int(old) > 0 else n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
     """Equality on all pairs of columns, nulls equal to nulls."""
     cond = F.lit(True)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, session_of
+from .common import Workspace, batch_rows, session_of
 from .tokens import shingles, slices, tidy
 
 BANDS, ROWS = 32, 5
@@ -33,6 +33,8 @@ MISS = 1e-6
 MAX_BROADCAST = 2_000_000
 #: Members of a bucket whose pairs are made as rows, and bytes of a block in larger ones.
 SMALL, BLOCK = 48, 500_000
+#: Rows of an Arrow batch of texts, and of pairs with their sets.
+TEXTS, PAIRS = 2000, 500
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -240,7 +242,8 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     """doc_id, n_shingles, component_id (the least doc_id reachable over links), kept; one row per row of docs."""
     spark = session_of(docs)
     ws = ws or Workspace(spark, "neardup")
-    s = ws.keep(sketch(docs, width, id_col, text_col))
+    with batch_rows(spark, TEXTS):
+        s = ws.keep(sketch(docs, width, id_col, text_col))
     full = s.where("n > 0 and doc_id is not null")
     classes = full.groupBy("key").agg(F.min("doc_id").alias("v"), F.first("sig").alias("sig"))
     reps = ws.keep(classes)
@@ -255,7 +258,8 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     texts = docs.select(F.col(id_col).alias("v"), F.col(text_col).alias("text")).join(wanted, F.col("v") == F.col("w"), "left_semi")
     # of rows that share an id, the one whose set is the vertex's
     sets = whole_sets(texts, width, "v", "text")
-    sets = ws.keep(sets.join(reps.select("v", "key"), ["v", "key"], "left_semi").dropDuplicates(["v", "key"]).select("v", "items"))
+    with batch_rows(spark, TEXTS):
+        sets = ws.keep(sets.join(reps.select("v", "key"), ["v", "key"], "left_semi").dropDuplicates(["v", "key"]).select("v", "items"))
     sigs = reps.select("v", "sig").join(wanted, F.col("v") == F.col("w"), "left_semi")
 
 
@@ -268,7 +272,8 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
     centres = buckets.groupBy("bucket").agg(F.min("v").alias("a"))
     stars = buckets.join(centres, "bucket").where("v <> a").select("a", F.col("v").alias("b")).distinct()
-    links = ws.keep(confirm(stars, True))
+    with batch_rows(spark, PAIRS):
+        links = ws.keep(confirm(stars, True))
     labels = merge_components(ws, labels, links)
 
     at = ws.keep(buckets.join(labels, "v").select("bucket", "band", "v", "c"))
@@ -288,9 +293,12 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
     met = blocks(big.where("apart"), "lefts").join(blocks(big, "rights"), ["bucket", "band"])
     kind = docs.schema[id_col].dataType.simpleString()
-    links = ws.keep(confirm(pairs, False).unionByName(link_blocks(met, percent, MISS, kind)))
-    labels = merge_components(ws, labels, links)
-    ws.drop(buckets, sets, at, big, links)
+    with batch_rows(spark, PAIRS):
+        few_links = ws.keep(confirm(pairs, False))
+    with batch_rows(spark, 2):
+        links = ws.keep(link_blocks(met, percent, MISS, kind))
+    labels = merge_components(ws, labels, few_links.unionByName(links))
+    ws.drop(buckets, sets, at, big, few_links, links)
     tops = reps.join(labels, "v", "left").select("key", F.coalesce("c", "v").alias("component"))
     out = s.join(tops, "key", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))

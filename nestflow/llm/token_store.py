@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, session_of
+from .common import Workspace, session_of, text_batches
+from .tokens import slices, tidy
 
 #: Spaces that have white space on both sides: a split there could change how the tokenizer cuts the text.
 _WHITE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 UNSAFE = f"{_WHITE} {_WHITE}"
-#: Texts that are encoded at a time, in characters.
+#: Texts that are encoded at a time, in bytes.
 CHUNK = 8_000_000
 
 
@@ -153,22 +154,17 @@ def load_pieces(path: str) -> Pieces:
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): one row per row of docs, partitioned as docs is."""
+    text_batches(session_of(docs))
     key = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", key), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         pieces = load_pieces(tokenizer)
         for batch in batches:
-            at = 0
-            length = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-            while at < batch.num_rows:
-                stop = at + max(1, int(np.searchsorted(np.cumsum(length[at:]), CHUNK, "right")))
-                part = batch.slice(at, stop - at)
+            for part in slices(batch, 1, CHUNK):
                 ids, n = encode_texts(pieces, part.column(1).cast(pa.string()), end_id)
-                offsets = np.concatenate([[0], np.cumsum(n)])
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), lists], names=["doc_id", "n_tokens", "ids"])
-                at = stop
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -199,6 +195,7 @@ def read(spark: SparkSession, path: str, columns: tuple[str, ...] = ("doc_id", "
 
 def checksums(stored: DataFrame) -> DataFrame:
     """Adds ids_crc32 in place of ids: crc32 of the ids as little-endian unsigned 32-bit integers."""
+    text_batches(session_of(stored))
     kept = [f for f in stored.schema.fields if f.name != "ids"]
     schema = T.StructType([*kept, T.StructField("ids_crc32", T.LongType())])
     names = [f.name for f in kept]
@@ -209,6 +206,7 @@ def checksums(stored: DataFrame) -> DataFrame:
             values, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
             crc = [zlib.crc32(values[x:y].tobytes()) for x, y in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in names], pa.array(crc, pa.int64())], names=[*names, "ids_crc32"])
+            tidy()
 
     return stored.mapInArrow(run, schema)
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_batches
 from .tokens import slices, split_tokens
 
 #: Labelled rows learnt from, at most; the rows with the least hashes of their ids.
@@ -192,6 +193,7 @@ def isotonic(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 5, sample: int = SAMPLE) -> Model:
     """Learns from labels of ids whose crc32 modulo ``fold`` is not 0."""
+    text_batches(docs.sparkSession)
     chosen = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("y")).where(F.col("__id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("__id"), fold))
     chosen = chosen.groupBy("__id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
     part = F.pmod(F.xxhash64(F.lit("part"), "__id"), F.lit(20))
@@ -247,6 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def add_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "__score") -> DataFrame:
     """docs with the score as one more column."""
+    text_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     i = docs.columns.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
