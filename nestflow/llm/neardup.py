@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, batch_rows, session_of
+from .common import Workspace, batch_rows, session_of, text_batches
 from .tokens import shingles, slices, tidy
 
 BANDS, ROWS = 32, 5
@@ -33,8 +33,8 @@ MISS = 1e-6
 MAX_BROADCAST = 2_000_000
 #: Members of a bucket whose pairs are made as rows, and bytes of a block in larger ones.
 SMALL, BLOCK = 48, 500_000
-#: Rows of an Arrow batch of texts, and of pairs with their sets.
-TEXTS, PAIRS = 2000, 500
+#: Rows of an Arrow batch of pairs with their sets.
+PAIRS = 500
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -242,8 +242,8 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     """doc_id, n_shingles, component_id (the least doc_id reachable over links), kept; one row per row of docs."""
     spark = session_of(docs)
     ws = ws or Workspace(spark, "neardup")
-    with batch_rows(spark, TEXTS):
-        s = ws.keep(sketch(docs, width, id_col, text_col))
+    text_batches(spark)
+    s = ws.keep(sketch(docs, width, id_col, text_col))
     full = s.where("n > 0 and doc_id is not null")
     classes = full.groupBy("key").agg(F.min("doc_id").alias("v"), F.first("sig").alias("sig"))
     reps = ws.keep(classes)
@@ -258,8 +258,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     texts = docs.select(F.col(id_col).alias("v"), F.col(text_col).alias("text")).join(wanted, F.col("v") == F.col("w"), "left_semi")
     # of rows that share an id, the one whose set is the vertex's
     sets = whole_sets(texts, width, "v", "text")
-    with batch_rows(spark, TEXTS):
-        sets = ws.keep(sets.join(reps.select("v", "key"), ["v", "key"], "left_semi").dropDuplicates(["v", "key"]).select("v", "items"))
+    sets = ws.keep(sets.join(reps.select("v", "key"), ["v", "key"], "left_semi").dropDuplicates(["v", "key"]).select("v", "items"))
     sigs = reps.select("v", "sig").join(wanted, F.col("v") == F.col("w"), "left_semi")
 
 
@@ -284,14 +283,14 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     pairs = small.select("bucket", F.col("v").alias("a"), F.col("c").alias("ca")).join(other, "bucket").where("ca < cb").select("a", "b").distinct()
     big = at.join(mixed.where(F.col("m") > SMALL).select("bucket", "top"), "bucket")
     big = big.join(sets, "v").join(sigs, "v").select("bucket", "band", (F.col("c") != F.col("top")).alias("apart"), F.struct("v", "c", "sig", "items").alias("x"), (F.length("items") + 400).alias("bytes"))
-    size = lambda d, name: d.groupBy("bucket").agg(F.ceil(F.sum("bytes") / BLOCK).alias(name))
     big = ws.keep(big)
-
-    def blocks(d: DataFrame, name: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("x.v"), F.col("k"))
-        return d.join(size(d, "k"), "bucket").groupBy("bucket", "band", block.alias(name + "_no")).agg(F.collect_list("x").alias(name))
-
-    met = blocks(big.where("apart"), "lefts").join(blocks(big, "rights"), ["bucket", "band"])
+    blocks_of = ws.keep(big.groupBy("bucket").agg(F.ceil(F.sum("bytes") / BLOCK).alias("k"), F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("apart"), F.col("bytes"))) / BLOCK)).alias("k_left")))
+    blocks_of = F.broadcast(blocks_of) if blocks_of.count() <= MAX_BROADCAST else blocks_of
+    sized = big.join(blocks_of, "bucket")
+    lefts = sized.where("apart").groupBy("bucket", "band", "k", F.pmod(F.xxhash64("x.v"), F.col("k_left")).alias("no")).agg(F.collect_list("x").alias("lefts"))
+    rights = sized.groupBy("bucket", "band", F.pmod(F.xxhash64("x.v"), F.col("k")).alias("to")).agg(F.collect_list("x").alias("rights"))
+    # each left block goes to every right block of its bucket, and those are dealt out one by one
+    met = lefts.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).join(rights, ["bucket", "band", "to"])
     kind = docs.schema[id_col].dataType.simpleString()
     with batch_rows(spark, PAIRS):
         few_links = ws.keep(confirm(pairs, False))
