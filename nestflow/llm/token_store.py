@@ -30,6 +30,8 @@ from .tokens import slices, tidy
 #: Spaces that have white space on both sides: a split there could change how the tokenizer cuts the text.
 _WHITE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 UNSAFE = f"{_WHITE} {_WHITE}"
+#: Marks at the end of a word, and the letters behind which the tokenizer surely cuts them off.
+MARKS, LETTER = ".,!?;:", "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]$"
 #: Texts that are encoded at a time, in bytes.
 CHUNK = 8_000_000
 
@@ -65,27 +67,65 @@ class Pieces:
             return self.encode(texts)
         return flat, np.diff(np.append(starts, len(flat)))
 
-    def look_up(self, spaced: list[str], heads: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(flat ids, start, size), the last two by piece: first those with a space before them, then those at a text's head."""
-        pieces = spaced + heads
-        rows = np.fromiter(map(self.row.get, pieces, repeat(-1)), np.int64, len(pieces))
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, start, size), the last two by word, of words that stand behind a space, which their ids take in."""
+        rows = np.fromiter(map(self.row.get, words, repeat(-1)), np.int64, len(words))
         miss = np.nonzero(rows < 0)[0].tolist()
         # beside a neighbour, one that ends in white space might be cut otherwise than by itself
-        safe = [i for i in miss if i < len(spaced) and not pieces[i][-1].isspace()]
-        rest = [i for i in miss if i >= len(spaced) or pieces[i][-1:].isspace() or not pieces[i]]
+        safe = [i for i in miss if not (words[i] or " ")[-1].isspace()]
+        rest = [i for i in miss if (words[i] or " ")[-1].isspace()]
         known = len(self.ends)
-        (f1, n1), (f2, n2) = self.encode_spaced([pieces[i] for i in safe]), self.encode([pieces[i] for i in rest])
+        (f1, n1), (f2, n2) = self.encode_spaced([" " + words[i] for i in safe]), self.encode([" " + words[i] for i in rest])
         flat = np.concatenate([self.flat, f1, f2])
         ends = np.concatenate([self.ends, (self.ends[-1] if known else 0) + np.cumsum(np.concatenate([n1, n2]))])
         new = safe + rest
         rows[new] = known + np.arange(len(new))
         if room := min(self.limit - known, len(new)):
-            self.row.update((pieces[i], known + k) for k, i in enumerate(new[:room]))
+            self.row.update((words[i], known + k) for k, i in enumerate(new[:room]))
             self.ends = ends[: known + room].copy()
             self.flat = flat[: self.ends[-1]].copy()
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         return flat, starts[rows], (ends - starts)[rows]
 
+    def table(self, vocab: pa.Array, heads: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, start, size) of the vocabulary behind a space, then of the heads as they are.
+
+        The tokenizer also cuts between a letter and marks, so a word that ends in marks is looked up without them.
+        """
+        bare = pc.utf8_rtrim(vocab, characters=MARKS)
+        cut = pc.and_(pc.not_equal(bare, vocab), pc.match_substring_regex(bare, LETTER)).to_numpy(zero_copy_only=False)
+        words = pc.if_else(pa.array(cut), bare, vocab).dictionary_encode()
+        flat, start, size = self.look_up(words.dictionary.to_pylist())
+        code = words.indices.to_numpy(zero_copy_only=False)
+        where = np.nonzero(cut)[0]
+        picked = pa.array(where)
+        tails = pa.array([p[len(q) :] for p, q in zip(vocab.take(picked).to_pylist(), bare.take(picked).to_pylist(), strict=True)], pa.string()).dictionary_encode()
+        tail_list = tails.dictionary.to_pylist()
+        more, n = self.encode(tail_list + heads)
+        begin = len(flat) + np.cumsum(n) - n
+        # word, then marks
+        starts, sizes = np.zeros((len(vocab), 2), np.int64), np.zeros((len(vocab), 2), np.int64)
+        starts[:, 0], sizes[:, 0] = start[code], size[code]
+        tail = tails.indices.to_numpy(zero_copy_only=False)
+        starts[where, 1], sizes[where, 1] = begin[tail], n[tail]
+        k = len(tail_list)
+        total = np.concatenate([sizes.sum(1), n[k:]])
+        out = gather(np.concatenate([flat, more]), np.concatenate([starts.ravel(), begin[k:]]), np.concatenate([sizes.ravel(), n[k:]]))
+        return out, np.cumsum(total) - total, total
+
+
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of flat that begin at start and have these sizes, one after another."""
+    some = np.nonzero(size)[0]
+    if not len(some):
+        return flat[:0]
+    start, size = start[some], size[some]
+    step = np.ones(int(size.sum()), np.int32)
+    step[0] = start[0]
+    step[np.cumsum(size[:-1])] = start[1:] - (start[:-1] + size[:-1] - 1)
+    np.cumsum(step, out=step)
+    return flat[step]
+
 
 def encode_texts(pieces: Pieces, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids (uint32) and each text's number of ids, end id included.
@@ -102,15 +142,14 @@ def encode_texts(pieces: Pieces, texts: pa.Array, end_id: int) -> tuple[np.ndarr
     lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts, " ")
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     codes = lists.flatten().dictionary_encode()
-    vocab, code = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    code = codes.indices.to_numpy(zero_copy_only=False).copy()
     heads = np.cumsum(counts) - counts  # first pieces have no space before them
     head_codes, head_row = np.unique(code[heads], return_inverse=True)
-    code[heads] = len(vocab) + head_row
-    flat, start, size = pieces.look_up([" " + v for v in vocab], [vocab[k] for k in head_codes.tolist()])
+    code[heads] = len(codes.dictionary) + head_row
+    flat, start, size = pieces.table(codes.dictionary, codes.dictionary.take(pa.array(head_codes)).to_pylist())
     piece_n = size[code]
     piece_n[heads[odd]] = 0  # the empty stand-ins of odd texts
-    each = np.add.reduceat(piece_n, heads)
-    total = each + 1
+    total = np.add.reduceat(piece_n, heads) + 1
     whole = {}
     if odd.any():
         where = np.nonzero(odd)[0].tolist()
@@ -119,21 +158,12 @@ def encode_texts(pieces: Pieces, texts: pa.Array, end_id: int) -> tuple[np.ndarr
             total[i] += len(x)
     ends = np.cumsum(total)
     out = np.full(int(ends[-1]), end_id, np.uint32)
-    # source of each id that comes from a piece, in order, and its place in the output
-    step = np.ones(int(piece_n.sum()), np.int64)
-    some = np.nonzero(piece_n)[0]
-    if len(some):
-        begin = start[code[some]]
-        last = np.cumsum(piece_n[some])
-        step[0] = begin[0]
-        step[last[:-1]] = begin[1:] - (begin[:-1] + piece_n[some][:-1] - 1)
-        mask = np.ones(len(out), bool)
-        mask[ends - 1] = False
-        for i in whole:
-            mask[ends[i] - total[i] : ends[i]] = False
-        out[mask] = flat[np.cumsum(step)]
+    mask = np.ones(len(out), bool)
+    mask[ends - 1] = False
     for i, x in whole.items():
+        mask[ends[i] - total[i] : ends[i]] = False
         out[ends[i] - total[i] : ends[i] - 1] = x
+    out[mask] = gather(flat, start[code], piece_n)
     return out, total
 
 
