@@ -252,10 +252,11 @@ def add_score(docs: DataFrame, model: Model, text_col: str = "text", name: str =
     text_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     i = docs.columns.index(text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # broadcasts are pickled by reference: plain values need no module of ours where they are read
+    sent = docs.sparkSession.sparkContext.broadcast([getattr(model, f.name) for f in dataclasses.fields(Model)])
 
     def run(batches):
-        m = sent.value
+        m = Model(*sent.value)
         for batch in batches:
             for b in slices(batch, i):
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.score(features(b.column(i), m.words, m.stems)))], names=[*b.schema.names, name])
