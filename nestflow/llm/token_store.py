@@ -39,7 +39,7 @@ CHUNK = 8_000_000
 class Pieces:
     """Ids of pieces of text. Remembers the first ``limit`` distinct pieces it meets; others are encoded each time."""
 
-    def __init__(self, tok, spec: dict, limit: int = 400_000):
+    def __init__(self, tok, spec: dict, limit: int = 300_000):
         self.tok, self.limit = tok, limit
         cut = spec.get("pre_tokenizer") or {}
         #: Whether the tokenizer cuts texts before single spaces, whatever stands around them.
