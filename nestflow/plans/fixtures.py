@@ -39,7 +39,7 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """g, u, v, formation, support: users of consecutive events of a type."""
     w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    t = table(spark, sf_dir, "events").select(F.col("event_type").alias("g"), F.col("user_id").alias("b"), F.lag("user_id").over(w).alias("a"), (F.row_number().over(w) - 1).alias("pos"))
+    t = table(spark, sf_dir, "events").select(F.col("event_type").alias("g"), F.col("user_id").alias("b"), F.lag("user_id").over(w).alias("a"), (F.row_number().over(w) - 1).cast("long").alias("pos"))
     t = t.where(F.col("a").isNotNull() & (F.col("a") != F.col("b")))
     return t.groupBy("g", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.min("pos").alias("formation"), F.count("*").alias("support"))
 
