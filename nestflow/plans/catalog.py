@@ -351,19 +351,19 @@ _CPX = f"{S}, {_RANK.format(t='small')}, {_TRI.format(t='small')}"
 
 @query(f"{_CPX}, s AS (SELECT DISTINCT g, [x] AS vertices, 0 AS dim, 0.0::DOUBLE AS filtration FROM (SELECT g, u AS x FROM fl UNION ALL SELECT g, v FROM fl) UNION ALL SELECT g, [u, v], 1, time FROM fl UNION ALL SELECT t.g, [a, b, c], 2, greatest(p.time, q.time, r.time) FROM tri t JOIN fl p ON p.g = t.g AND p.u = a AND p.v = b JOIN fl q ON q.g = t.g AND q.u = a AND q.v = c JOIN fl r ON r.g = t.g AND r.u = b AND r.v = c) SELECT g, vertices, dim, round(filtration, 6) AS filtration, CAST(row_number() OVER (PARTITION BY g ORDER BY s.filtration, dim, vertices) - 1 AS INT) AS place FROM s")
 def clique_complex(spark, sf):
-    return _round(graph.clique_complex(graph.rank_filtration(fx.small_graphs(spark, sf))), "filtration")
+    return _round(graph.clique_complex(graph.rank_filtration(fx.edges(spark, sf))), "filtration")
 
 
 @query()
 def h1_persistence(spark, sf):
-    return _round(homology.h1(graph.clique_complex(graph.rank_filtration(fx.small_graphs(spark, sf)))), "birth", "death")
+    return _round(homology.h1(graph.clique_complex(graph.rank_filtration(fx.edges(spark, sf)))), "birth", "death")
 
 
 @query(f"""{S}, nb AS (SELECT g, u AS x, v AS y FROM small UNION ALL SELECT g, v, u FROM small), comp AS (WITH RECURSIVE r(g, x, c) AS (SELECT DISTINCT g, x, x FROM nb UNION SELECT nb.g, nb.y, r.c FROM r JOIN nb ON nb.g = r.g AND nb.x = r.x) SELECT g, x, min(c) AS c FROM r GROUP BY 1, 2)
 SELECT g, (SELECT count(*) FROM small s WHERE s.g = comp.g) - count(*) + count(DISTINCT c) AS classes FROM comp GROUP BY g""")
 def h1_class_count(spark, sf):
     """The coefficients of an uncleaned diagram add up to edges - vertices + components."""
-    d = homology.h1(graph.clique_complex(graph.rank_filtration(fx.small_graphs(spark, sf))), drop_empty=False)
+    d = homology.h1(graph.clique_complex(graph.rank_filtration(fx.edges(spark, sf))), drop_empty=False)
     return d.groupBy(F.col("obs").alias("g")).agg(F.sum("coefficient").cast("long").alias("classes"))
 
 
@@ -388,7 +388,7 @@ def cohesion_filtration(spark, sf):
 @query()
 def clique_cohesion_graphs(spark, sf):
     """Edges to features: trussness, cohesion, filtration, complex, persistence and harmonic coordinates."""
-    e = studies.cohesion_filtered(fx.small_graphs(spark, sf))
+    e = studies.cohesion_filtered(fx.edges(spark, sf))
     return _round(studies.interval_features(e, SPEC), "re", "im")
 
 
@@ -716,7 +716,7 @@ def graph_diagrams(spark, sf):
 
 @query(f"{S}, {_RANK.format(t='small')}, r AS (SELECT g, count(*) AS edge_count FROM fl GROUP BY 1) SELECT g, CASE WHEN g = 'click' THEN edge_count + 1 ELSE edge_count END AS edge_count, edge_count AS found FROM r WHERE g = 'click'")
 def union_records(spark, sf):
-    e = graph.rank_filtration(fx.small_graphs(spark, sf)).select("g", F.lit("edge").alias("record_type"), "u", "v", "step", "time")
+    e = graph.rank_filtration(fx.edges(spark, sf)).select("g", F.lit("edge").alias("record_type"), "u", "v", "step", "time")
     n = e.groupBy("g").agg(F.count("*").alias("c")).select("g", F.lit("graph").alias("record_type"), F.lit(0).alias("n"), F.when(F.col("g") == "click", F.col("c") + 1).otherwise(F.col("c")).alias("edge_count"))
     return tables.union_violations(n.unionByName(e, allowMissingColumns=True))
 

@@ -44,10 +44,6 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("g", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.min("pos").alias("formation"), F.count("*").alias("support"))
 
 
-def small_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).where("formation <= 200")
-
-
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"), F.col("c_nationkey").alias("stratum"))
 
