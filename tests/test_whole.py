@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from nestflow.operators import graph
+from nestflow.operators import diagrams, graph, transport
 from nestflow.plans import catalog
 from nestflow.plans import fixtures as fx
 from nestflow.plans import studies
@@ -59,3 +59,25 @@ def test_whole_cohesion(spark):
     of = lambda rows: {(r["obs"], r["idx"]): pytest.approx((r["re"], r["im"]), abs=2e-6) for r in rows}
     assert len(got) == len(want) == 5 * len(catalog.SPEC)
     assert {(r["obs"], r["idx"]): (r["re"], r["im"]) for r in got} == of(want)
+
+
+def test_whole_transport(spark):
+    """w1 of two whole diagrams against an assignment of all their points; short intervals count too."""
+    a = fx.atoms(spark, "/root/testdata/sf0.001").where("obs IN (1, 2)").toPandas()
+    p, q = (transport.expand(x[["birth", "death"]].to_numpy(float), x["coefficient"].to_numpy()) for x in (a[a["obs"] == 1], a[a["obs"] == 2]))
+    want, _ = transport.assignment(transport.square_costs(transport.far(p, q), transport.half(p), transport.half(q)))
+    got = catalog.QUERIES["w1_pd1"](spark, "/root/testdata/sf0.001").where("first = 1 AND second = 2").collect()
+    assert [r["w1"] for r in got] == [pytest.approx(want, abs=1e-5)]
+
+
+def test_pruned_transport(spark):
+    """Points that two diagrams share change nothing."""
+    a = diagrams.prune(fx.atoms(spark, "/root/testdata/sf0.001"), 0.45).toPandas()
+    of = {k: transport.expand(x[["birth", "death"]].to_numpy(float), x["coefficient"].to_numpy()) for k, x in a.groupby("obs")}
+    shared = 0
+    for k in sorted(of)[:-1]:
+        p, q = of[k], of[k + 1]
+        shared += len(p) - len(transport.apart(p, q)[0])
+        want, _ = transport.assignment(transport.square_costs(transport.far(p, q), transport.half(p), transport.half(q)))
+        assert transport.w1(p, q) == pytest.approx(want, abs=1e-9)
+    assert shared
