@@ -456,7 +456,7 @@ def filtration_noise(spark, sf):
 @query()
 def edge_swaps(spark, sf):
     _, e = _local(spark, sf)
-    return perturb.swap_edges(e.where("g < 10"), 0.2, 7)
+    return perturb.swap_edges(e, 0.2, 7)
 
 
 # ---- generators

@@ -81,3 +81,12 @@ def test_pruned_transport(spark):
         want, _ = transport.assignment(transport.square_costs(transport.far(p, q), transport.half(p), transport.half(q)))
         assert transport.w1(p, q) == pytest.approx(want, abs=1e-9)
     assert shared
+
+
+def test_swaps_in_every_graph(spark):
+    """Swaps keep the number of edges, in all nations' graphs."""
+    _, e = catalog._local(spark, SF)
+    got = catalog.QUERIES["edge_swaps"](spark, SF)
+    count = lambda d: {r["g"]: r["count"] for r in d.groupBy("g").count().collect()}
+    assert count(got) == count(e)
+    assert max(count(got)) == 24
