@@ -14,6 +14,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: ASCII white space: the gap between tokens.
 SPACE_GAP = r"[\x20\x09-\x0D]+"
+#: Bytes, in compressed files, up to which a table is broadcast.
+BROADCAST_BYTES = 24_000_000
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -34,10 +36,20 @@ def split_words(c: Column, gap: str) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one where none is set, as in tests."""
+    """The folder that the driver and all executors share; where none is set, a temporary one, in local mode only."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="nestflow-")
         spark.sparkContext.setCheckpointDir(d)
         d = spark.sparkContext.getCheckpointDir()
@@ -71,6 +83,16 @@ class Workspace:
         self.paths[id(out)] = (path, out)
         return out
 
+    def is_small(self, df: DataFrame) -> bool:
+        """Whether a kept table's files hold ``BROADCAST_BYTES`` at most."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths[id(df)][0])
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return files.getContentSummary(path).getLength() <= BROADCAST_BYTES
+
+    def small(self, df: DataFrame) -> DataFrame:
+        """A kept table with a hint to broadcast it if it is small; else as it is, for a shuffled join."""
+        return F.broadcast(df) if self.is_small(df) else df
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             path, _ = self.paths.pop(id(df), (None, None))
@@ -104,6 +126,23 @@ def batch_rows(spark: SparkSession, n: int):
         spark.conf.set(key, old)
 
 
+#: Bits by which keys are told to be surely absent: 64 in each of 2^18 rows.
+SLOTS = 1 << 18
+
+
+def split_by_keys(df: DataFrame, hash_col: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose hash may be among those of keys, rows whose hash surely is not); keys has the column ``h``.
+
+    A table of bits, ``SLOTS`` rows at most however many keys there are, is broadcast; so only rows that a join with the keys can concern need be shuffled for it.
+    """
+    bit = lambda h: F.expr(f"shiftleft(1L, cast(pmod(shiftright({h}, 18), 64) as int))")
+    bits = keys.groupBy(F.pmod(F.col("h"), F.lit(SLOTS)).alias("__slot")).agg(F.bit_or(bit("h")).alias("__bits"))
+    at = df.join(F.broadcast(bits), F.pmod(F.col(hash_col), F.lit(SLOTS)) == bits["__slot"], "left")
+    there = F.coalesce(bits["__bits"].bitwiseAND(bit(f"`{hash_col}`")) != 0, F.lit(False))
+    own = [df[c] for c in df.columns]
+    return at.where(there).select(*own), at.where(~there).select(*own)
+
+
 def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
     """Equality on all pairs of columns, nulls equal to nulls."""
     cond = F.lit(True)
