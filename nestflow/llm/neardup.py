@@ -8,8 +8,15 @@ members in blocks of bytes, and only links leave a block. Candidates are compare
 pruned once the posterior probability of a similarity at or above the threshold is below ``MISS``. Survivors are verified exactly,
 on whole sets.
 
-Defined results: a null or blank text has an empty set and is linked with nothing; every row gets a row, repeated rows too;
-a null doc_id has a null component and is kept. Only doc_id and text are read.
+A vertex is a set, known by its 128-bit digest, and not an id: rows that share an id but not a text are judged apart.
+
+Defined results
+* nulls: a null text has an empty set; a row with a null doc_id has a null component and is kept, and links of others never lead over it.
+* empty and very long texts: a blank text has an empty set and is linked with nothing; a text of any length is read whole.
+* ties: a component is named after its least doc_id; of rows with that id and different texts in one component ``dedup`` keeps the one with the least hash.
+* repeated rows: ``components`` gives each a row; ``dedup`` keeps one of those with equal id and text, blank ones aside, which all stay.
+* an empty table gives an empty result.
+* extra columns: only doc_id and text are read, so others may have any name.
 """
 from __future__ import annotations
 
@@ -18,10 +25,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, batch_rows, session_of, text_batches
+from .common import Workspace, batch_rows, fresh, session_of, text_batches
 from .tokens import shingles, slices, tidy
 
 BANDS, ROWS = 32, 5
@@ -29,8 +36,6 @@ BANDS, ROWS = 32, 5
 BATCH = 32
 #: Posterior probability of a link below which a pair is given up.
 MISS = 1e-6
-#: Ids are broadcast up to this number, 8 bytes each.
-MAX_BROADCAST = 2_000_000
 #: Members of a bucket whose pairs are made as rows, and bytes of a block in larger ones.
 SMALL, BLOCK = 48, 500_000
 #: Rows of an Arrow batch of pairs with their sets.
@@ -65,34 +70,33 @@ def signatures(sets: list[np.ndarray], mult: np.ndarray, block: int = 60_000) ->
 
 
 def sketch(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, key, sig): size of the set, its digest and its signature."""
+    """(doc_id, fp, n, key, sig): hash of the text, size of the set, its digest and its signature."""
     key = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         mult = _multipliers(BANDS * ROWS)
         for batch in batches:
-            for b in slices(batch, 1):
-                sets = shingles(b.column(1), width)
+            for b in slices(batch, 2):
+                sets = shingles(b.column(2), width)
                 sig = signatures(sets, mult)
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                    b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([r.tobytes() for r in sig], pa.binary()),
-                ], names=["doc_id", "n", "key", "sig"])
+                ], names=["doc_id", "fp", "n", "key", "sig"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {key}, n long, key binary, sig binary")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).cast("string").alias("text"))
+    return d.mapInArrow(run, f"doc_id {key}, fp long, n long, key binary, sig binary")
 
 
-def whole_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(v, key, items): the sorted shingles as bytes."""
-    key = docs.schema[id_col].dataType.simpleString()
+def whole_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(v, items) of (v, text): the sorted shingles as bytes."""
 
     def run(batches):
         for batch in batches:
             for b in slices(batch, 1):
-                raw = [s.tobytes() for s in shingles(b.column(1), width)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in raw], pa.binary()), pa.array(raw, pa.binary())], names=["v", "key", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingles(b.column(1), width)], pa.binary())], names=["v", "items"])
 
-    return docs.select(F.col(id_col).alias("v"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"v {key}, key binary, items binary")
+    return texts.select("v", F.col("text").cast("string").alias("text")).mapInArrow(run, "v long, items binary")
 
 
 def least_matches(n: int, threshold: float, miss: float) -> int:
@@ -116,7 +120,6 @@ def prune(pairs: DataFrame, threshold: float, miss: float) -> DataFrame:
     """Of (a, b, sig_a, sig_b) the pairs (a, b, matches) that outlive all batches of minima."""
     width = BANDS * ROWS
     bounds = [(n, least_matches(n, threshold, miss)) for n in range(BATCH, width + 1, BATCH)]
-    key = pairs.schema["a"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
@@ -130,12 +133,11 @@ def prune(pairs: DataFrame, threshold: float, miss: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(m)], names=["a", "b", "matches"])
             tidy()
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {key}, b {key}, matches long")
+    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, matches long")
 
 
 def verify(pairs: DataFrame, percent: int) -> DataFrame:
     """Of (a, b, items_a, items_b) the pairs with 100 * intersection >= percent * union."""
-    key = pairs.schema["a"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
@@ -152,7 +154,7 @@ def verify(pairs: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take)], names=["a", "b"])
             tidy()
 
-    return pairs.select("a", "b", "items_a", "items_b").mapInArrow(run, f"a {key}, b {key}")
+    return pairs.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -168,7 +170,7 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j:
     return both[np.searchsorted(use_l, i), np.searchsorted(use_r, j)].astype(np.int64)
 
 
-def link_blocks(rows: DataFrame, percent: int, miss: float, key: str) -> DataFrame:
+def link_blocks(rows: DataFrame, percent: int, miss: float) -> DataFrame:
     """Links (a, b) between members of different components of (band, lefts, rights), one for each left member and component.
 
     lefts and rights are arrays of (v, c, sig, items). A pair is left to the first band that it agrees on.
@@ -205,11 +207,10 @@ def link_blocks(rows: DataFrame, percent: int, miss: float, key: str) -> DataFra
                         seen.add((p, rc[q]))
                         a_out.append(lv[p])
                         b_out.append(rv[q])
-            kind = b.column(1).type.value_type.field("v").type
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, kind), pa.array(b_out, kind)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
             tidy()
 
-    return rows.select("band", "lefts", "rights").mapInArrow(run, f"a {key}, b {key}")
+    return rows.select("band", "lefts", "rights").mapInArrow(run, "a long, b long")
 
 
 def merge_components(ws: Workspace, labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -238,29 +239,34 @@ def merge_components(ws: Workspace, labels: DataFrame, edges: DataFrame) -> Data
         labels = new
 
 
-def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
+def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable over links), kept; one row per row of docs."""
+    return grouped(docs, width, percent, Workspace(session_of(docs), "neardup"), id_col, text_col).drop("fp", "c")
+
+
+def grouped(docs: DataFrame, width: int, percent: int, ws: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``components`` with the hash of the text, fp, and the number of the component, c; two components may have one name."""
     spark = session_of(docs)
-    ws = ws or Workspace(spark, "neardup")
     text_batches(spark)
     s = ws.keep(sketch(docs, width, id_col, text_col))
-    full = s.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("key").agg(F.min("doc_id").alias("v"), F.first("sig").alias("sig"))
-    reps = ws.keep(classes)
+    classes = s.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "fp")).alias("one"), F.first("sig").alias("sig"))
+    # numbers of vertices are fixed once the table is written
+    reps = ws.keep(classes.select(F.monotonically_increasing_id().alias("v"), "key", F.col("one.doc_id").alias("least"), F.col("one.fp").alias("fp"), "sig"))
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * ROWS * 2 + 1, ROWS * 2)) for i in range(BANDS)])
     banded = reps.select("v", F.posexplode(bands).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
     buckets = ws.keep(banded.join(shared, "bucket").select("bucket", "band", "v"))
     labels = ws.keep(buckets.select("v").distinct().withColumn("c", F.col("v")))
-    wanted = labels.select(F.col("v").alias("w"))
-    few = labels.count() <= MAX_BROADCAST
-    wanted = F.broadcast(wanted) if few else wanted
-    texts = docs.select(F.col(id_col).alias("v"), F.col(text_col).alias("text")).join(wanted, F.col("v") == F.col("w"), "left_semi")
-    # of rows that share an id, the one whose set is the vertex's
-    sets = whole_sets(texts, width, "v", "text")
-    sets = ws.keep(sets.join(reps.select("v", "key"), ["v", "key"], "left_semi").dropDuplicates(["v", "key"]).select("v", "items"))
-    sigs = reps.select("v", "sig").join(wanted, F.col("v") == F.col("w"), "left_semi")
-
+    # whole sets are made of one text for each vertex in a shared bucket
+    wanted = ws.keep(reps.join(labels, "v", "left_semi").select("v", "least", "fp"))
+    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    w = ws.small(wanted)
+    texts = d.join(w, (d.id == w.least) & (d.h == w.fp)).select("v", "text")
+    sets = whole_sets(texts, width)
+    if s.where("doc_id is not null").groupBy("doc_id", "fp").count().where("count > 1").limit(1).count():  # repeated rows
+        sets = sets.groupBy("v").agg(F.first("items").alias("items"))
+    sets = ws.keep(sets)
+    sigs = reps.join(ws.small(labels), "v", "left_semi").select("v", "sig")
 
     def confirm(pairs: DataFrame, one_each: bool) -> DataFrame:
         both = pairs.join(sigs.select(F.col("v").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("v").alias("b"), F.col("sig").alias("sig_b")), "b")
@@ -285,31 +291,43 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     big = big.join(sets, "v").join(sigs, "v").select("bucket", "band", (F.col("c") != F.col("top")).alias("apart"), F.struct("v", "c", "sig", "items").alias("x"), (F.length("items") + 400).alias("bytes"))
     big = ws.keep(big)
     blocks_of = ws.keep(big.groupBy("bucket").agg(F.ceil(F.sum("bytes") / BLOCK).alias("k"), F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("apart"), F.col("bytes"))) / BLOCK)).alias("k_left")))
-    blocks_of = F.broadcast(blocks_of) if blocks_of.count() <= MAX_BROADCAST else blocks_of
-    sized = big.join(blocks_of, "bucket")
+    sized = big.join(ws.small(blocks_of), "bucket")
     lefts = sized.where("apart").groupBy("bucket", "band", "k", F.pmod(F.xxhash64("x.v"), F.col("k_left")).alias("no")).agg(F.collect_list("x").alias("lefts"))
     rights = sized.groupBy("bucket", "band", F.pmod(F.xxhash64("x.v"), F.col("k")).alias("to")).agg(F.collect_list("x").alias("rights"))
     # each left block goes to every right block of its bucket, and those are dealt out one by one
     met = lefts.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).join(rights, ["bucket", "band", "to"])
-    kind = docs.schema[id_col].dataType.simpleString()
     with batch_rows(spark, PAIRS):
         few_links = ws.keep(confirm(pairs, False))
     with batch_rows(spark, 2):
-        links = ws.keep(link_blocks(met, percent, MISS, kind))
+        links = ws.keep(link_blocks(met, percent, MISS))
     labels = merge_components(ws, labels, few_links.unionByName(links))
     ws.drop(buckets, sets, at, big, few_links, links)
-    tops = reps.join(labels, "v", "left").select("key", F.coalesce("c", "v").alias("component"))
+    tops = reps.join(labels, "v", "left").select("key", "least", F.coalesce("c", "v").alias("c"))
+    names = tops.groupBy("c").agg(F.min("least").alias("component"))
+    tops = tops.join(names, "c").select("key", "c", "component")
     out = s.join(tops, "key", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    component = F.when(F.col("doc_id").isNotNull(), component)
+    return out.select("doc_id", "fp", "c", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each component; of repeated rows with one id, one. Blank texts stay."""
+    """docs with one row of each component. Blank texts and rows without an id stay. Decisions are joined by id and hash of the text."""
     ws = Workspace(session_of(docs), "neardup")
-    c = ws.keep(components(docs, width, percent, ws=ws))
-    gone = c.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone
-    out = docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
-    twice = c.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return out.dropDuplicates(["doc_id"]) if twice.limit(1).count() else out
+    c = ws.keep(grouped(docs, width, percent, ws))
+    full = c.where("doc_id is not null and n_shingles > 0")
+    heads = full.where("kept").groupBy("c", "doc_id", "fp").agg(F.count("*").alias("rows"))
+    # of a component's kept rows, which have one id but may have several texts, all but the first go
+    first = Window.partitionBy("c").orderBy("fp")
+    heads = ws.keep(heads.withColumn("place", F.row_number().over(first)).where("rows > 1 or place > 1"))
+    key = [F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")]
+    g = ws.small(ws.keep(full.where("not kept").select(*key).unionByName(heads.where("place > 1").select(*key)).distinct()))
+    h = fresh(docs, "__h")
+    keyed = docs.withColumn(h, F.xxhash64("text"))
+    out = keyed.join(g, (keyed["doc_id"] == g["__id"]) & (keyed[h] == g["__fp"]), "left_anti")
+    twice = ws.keep(heads.where("rows > 1 and place = 1").select(*key))
+    if twice.limit(1).count():
+        t = ws.small(twice)
+        same = (out["doc_id"] == t["__id"]) & (out[h] == t["__fp"])
+        out = out.join(t, same, "left_anti").unionByName(out.join(t, same, "left_semi").dropDuplicates(["doc_id", h]))
+    return out.select(*docs.columns)

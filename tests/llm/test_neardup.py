@@ -1,9 +1,10 @@
+import collections
 import random
 
 import numpy as np
 import pytest
 
-from nestflow.llm import neardup
+from nestflow.llm import common, neardup
 
 from .helpers import DOCS, ODD, docs, tokens
 
@@ -13,26 +14,37 @@ def shingle_set(t, width):
     return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
-def brute(table, width=2, percent=80):
+def classes(table, width=2, percent=80):
+    """(set of each row, least row number reachable from it) by all pairs that share a shingle."""
     s = [shingle_set(t, width) for _, t, *_ in table]
-    n, ids = len(table), [r[0] for r in table]
-    root = list(range(n))
+    ids = [r[0] for r in table]
+    root, near = list(range(len(table))), {}
 
     def find(x):
         while root[x] != x:
+            root[x] = root[root[x]]
             x = root[x]
         return x
 
-    for i in range(n):
-        for j in range(i):
-            both = len(s[i] & s[j])
-            if s[i] and s[j] and None not in (ids[i], ids[j]) and 100 * both >= percent * (len(s[i]) + len(s[j]) - both):
+    for i, x in enumerate(s):
+        if ids[i] is None:
+            continue
+        seen = collections.Counter(j for w in x for j in near.get(w, ()))
+        for j, both in seen.items():
+            if 100 * both >= percent * (len(x) + len(s[j]) - both):
                 root[find(i)] = find(j)
-    least = {}
-    for i in range(n):
-        if ids[i] is not None:
-            least[find(i)] = min(ids[i], least.get(find(i), ids[i]))
-    return sorted(((ids[i], len(s[i]), None if ids[i] is None else least[find(i)]) for i in range(n)), key=str)
+        for w in x:
+            near.setdefault(w, []).append(i)
+    return s, [find(i) for i in range(len(table))]
+
+
+def brute(table, width=2, percent=80):
+    s, top = classes(table, width, percent)
+    ids, least = [r[0] for r in table], {}
+    for i, x in enumerate(ids):
+        if x is not None:
+            least[top[i]] = min(x, least.get(top[i], x))
+    return sorted(((x, len(s[i]), None if x is None else least[top[i]]) for i, x in enumerate(ids)), key=str)
 
 
 def held(df, width=2):
@@ -88,3 +100,36 @@ def test_signatures_estimate_similarity():
     a, b = np.sort(x[:2400]), np.sort(x[300:2700])
     s = neardup.signatures([a, np.zeros(0, np.uint64), b], neardup._multipliers(400))
     assert abs((s[0] == s[2]).mean() - 2100 / 2700) < 0.1 and not s[1].any()
+
+
+def test_rows_that_share_an_id(spark):
+    """Ids repeat and are null; every text that is not a copy of another stays, and one of each group."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(900)}" for _ in range(60)]
+    other = [f"v{r.randrange(900)}" for _ in range(60)]
+    near = lambda w, k: " ".join(w[:k] + ["x"] + w[k + 1 :])
+    table = [
+        (1, " ".join(base), "", "", 0), (5, near(base, 7), "", "", 0), (5, " ".join(other), "", "", 0), (5, near(other, 3), "", "", 0), (6, near(other, 9), "", "", 0), (6, " ".join(other), "", "", 0),
+        (7, "alone with this text", "", "", 0), (7, "alone with this text", "", "", 0), (7, "quite another thing here", "", "", 0), (None, " ".join(base), "", "", 0), (None, "first without id", "", "", 0),
+        (None, "second without id", "", "", 0), (None, "second without id", "", "", 0), (8, "", "", "", 0), (8, "", "", "", 0), (8, None, "", "", 0),
+    ]
+    d = spark.createDataFrame(table, DOCS)
+    assert held(d) == brute(table)
+    got = sorted((x.doc_id is None, x.doc_id or 0, x.text or "") for x in neardup.dedup(d, width=2).collect())
+    group = next(t for i, t in ((5, got[k][2]) for k in range(len(got)) if got[k][1] == 5))
+    assert group in (" ".join(other), near(other, 3))
+    assert got == sorted([(False, 1, " ".join(base)), (False, 5, group), (False, 7, "alone with this text"), (False, 7, "quite another thing here"), (True, 0, " ".join(base)), (True, 0, "first without id"), (True, 0, "second without id"), (True, 0, "second without id"), (False, 8, ""), (False, 8, ""), (False, 8, "")])
+
+
+def test_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert held(docs(spark, extra=True)) == brute(ODD)
+    assert neardup.dedup(docs(spark, extra=True), width=2).count() == 9
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_recall_on_documents(spark, width):
+    """All links of the documents of the 0.01 tables, held against every pair that shares a shingle."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    table = [(r.doc_id, r.text) for r in d.collect()]
+    assert held(d, width) == brute(table, width)
