@@ -4,21 +4,23 @@ A document's hash is fixed by its id, its source and its text. A source that sho
 floor(T / S) times, and once more those whose hash is below a threshold. Histograms of the words by source and hash bucket find
 the bucket in which the threshold lies; only that bucket is split further, 12 bits at a time, until it holds a single hash.
 
-Defined results: a null or blank text has size 0 and is carried along; a null source is a source of its own and comes last in the
-order of sources; rows with the same id, source and text share a hash and are taken or left together; an empty table gives
-an empty result. Reruns agree, as nothing is random.
+Defined results
+* nulls: a null text has size 0 and is carried along; a null source is a source of its own and comes last in the order of sources; a null id counts as an empty one in the hash.
+* empty and very long texts: a blank text has size 0; a text of any length is read whole.
+* ties: rows with the same id, source and text share a hash and are taken or left together; the boundary hash is taken if that comes nearer to the target, and left if both are as near.
+* repeated rows: each gets a row, with equal results.
+* an empty table gives an empty result, and so does one whose sources are all empty in size.
+* extra columns: only the id, the source and the text are read, so others may have any name.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, null_safe, session_of
+from .common import Workspace, fresh, session_of
 
 WEIGHTS, BUDGET, MOST = (5, 2, 1), 1.5, 2
 BITS, STEP = 60, 12
-#: Sources are broadcast up to this number.
-MAX_BROADCAST = 200_000
 #: The first 15 hex digits of md5 as a number; the same in any SQL engine.
 HASH = "cast(conv(substr(md5(concat_ws('|', coalesce(cast(id as string), ''), coalesce(source, ''), md5(coalesce(text, '')))), 1, 15), 16, 10) as bigint)"
 
@@ -44,54 +46,71 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     return s.select("source", "source_size", F.when(free, F.col("first.level") * F.col("w")).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for every row of docs, and its key (source, fp).
-
-    One scan of the texts makes a narrow table (id, source, size, hash); every later pass reads only that table.
-    """
-    spark = session_of(docs)
-    ws = ws or Workspace(spark, "mixing")
+def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """(id, source, size, h): what the mix needs of each row; one scan of the texts."""
     d = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    d = ws.keep(d.select("id", "source", size.alias("size"), F.expr(HASH).alias("h"), F.xxhash64("text").alias("fp")))
+    return d.select("id", "source", size.alias("size"), F.expr(HASH).alias("h"))
+
+
+def thresholds(d: DataFrame, ws: Workspace) -> DataFrame:
+    """(s, source_size, target, base, edge, edge_in) of (source, size, h), a row for each source: every row of it is taken ``base`` times, those with a hash below ``edge`` once more, and the edge itself if ``edge_in``."""
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes).withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("rest", F.col("target") - F.col("base") * F.col("source_size"))
     plan = plan.select("*", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("cum"), F.lit(0).cast("long").alias("grp"))
     plan = ws.keep(plan.coalesce(1))
-    few = plan.count() <= MAX_BROADCAST
-    hint = F.broadcast if few else lambda x: x
     for done in range(0, BITS, STEP):
-        shift = BITS - done
-        p = hint(plan.select(F.col("source").alias("s"), "prefix"))
-        cond = d.source.eqNullSafe(p.s)
-        inside = d.join(p, cond & (F.shiftright(d.h, shift) == p.prefix)).drop("s")
+        shift, p = BITS - done, ws.small(plan)
+        at = p.select(F.col("source").alias("s"), "prefix")
+        inside = d.join(at, d.source.eqNullSafe(at.s) & (F.shiftright(d.h, shift) == at.prefix)).drop("s")
         hist = inside.groupBy("source", F.shiftright("h", shift - STEP).alias("b")).agg(F.sum("size").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-        h2 = hist.join(hint(plan.select(F.col("source").alias("s"), "rest", F.col("cum").alias("cum0"))), hist.source.eqNullSafe(F.col("s"))).drop("s")
+        h2 = hist.join(p.select(F.col("source").alias("s"), "rest", F.col("cum").alias("cum0")), hist.source.eqNullSafe(F.col("s"))).drop("s")
         run = Window.partitionBy("source").orderBy("b")
         h2 = h2.withColumn("end", F.col("cum0") + F.sum("n").over(run))
         edge = h2.where(F.col("end") >= F.col("rest")).groupBy("source").agg(F.min(F.struct("b", (F.col("end") - F.col("n")).alias("cum"), "n", (F.col("lo") == F.col("hi")).alias("single"), "lo")).alias("e"))
         old = plan.drop("prefix", "cum", "grp", "single", "lo")
         nxt = old.join(edge.select(F.col("source").alias("s"), "e"), old.source.eqNullSafe(F.col("s")), "left").select(
-            *old.columns, F.coalesce("e.b", F.lit(-1)).alias("prefix"), F.coalesce("e.cum", F.lit(0)).alias("cum"), F.coalesce("e.n", F.lit(0)).alias("grp"), F.coalesce("e.single", F.lit(True)).alias("single"), F.col("e.lo").alias("lo"))
+            *old.columns, F.coalesce("e.b", F.lit(-1)).alias("prefix"), F.coalesce("e.cum", F.lit(0)).alias("cum"), F.coalesce("e.n", F.lit(0)).alias("grp"), F.coalesce("e.single", F.lit(True)).alias("single"), F.col("e.lo").alias("lo"))
         nxt = ws.keep(nxt.coalesce(1))
         ws.drop(plan)
         plan = nxt
         if not plan.where(~F.col("single")).limit(1).count():
             break
     # hashes below the boundary are in; the boundary hash is, if that comes nearer
-    plan = plan.select(F.col("source").alias("s"), "source_size", "target", "base", F.col("lo").alias("edge"), (2 * F.col("cum") + F.col("grp") < 2 * F.col("rest")).alias("edge_in"))
-    out = d.join(hint(plan), d.source.eqNullSafe(plan.s))
-    more = (F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.col("edge_in"))
-    copies = F.col("base") + F.when(more, 1).otherwise(0)
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), F.col("source"), "fp")
-
-
-def apply_mix(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as the mix takes it. Blank texts of a source that is taken whole stay as often as others do."""
-    cols = docs.columns
-    m = mix(docs).groupBy("doc_id", "source", "fp").agg(F.max("copies").alias("__copies"))
-    m = m.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("fp").alias("__fp"), "__copies").where("__copies > 0")
-    keyed = docs.withColumn("__h", F.xxhash64("text")).withColumn("__s", F.col("source").cast("string"))
-    out = keyed.join(m, null_safe(keyed, m, [("doc_id", "__id"), ("__s", "__source"), ("__h", "__fp")]))
-    return out.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*cols)
+    out = plan.select(F.col("source").alias("s"), "source_size", "target", "base", F.col("lo").alias("edge"), (2 * F.col("cum") + F.col("grp") < 2 * F.col("rest")).alias("edge_in"))
+    return ws.small(ws.keep(out.coalesce(1)))
+
+
+def copies(h: Column) -> Column:
+    """How often the plan takes a row with this hash."""
+    return F.col("base") + F.when((h < F.col("edge")) | ((h == F.col("edge")) & F.col("edge_in")), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken and source for every row of docs.
+
+    One scan of the texts makes a narrow table (id, source, size, hash); every later pass reads only that table.
+    """
+    ws = Workspace(session_of(docs), "mixing")
+    d = ws.keep(sized(docs, id_col, source_col, text_col))
+    plan = thresholds(d, ws)
+    out = d.join(plan, d.source.eqNullSafe(plan.s)).withColumn("copies", copies(F.col("h")))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "source")
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """docs with each row as often as the mix takes it. Blank texts of a source that is taken whole stay as often as others do.
+
+    What a row's hash decides is looked up in the plan, which has one row for each source; texts are filtered where they lie.
+    """
+    ws = Workspace(session_of(docs), "mixing")
+    d = ws.keep(sized(docs, id_col, source_col, text_col))
+    plan = thresholds(d, ws)
+    ws.drop(d)
+    names = {n: fresh(docs, n) for n in ("__source", "__h", "__k")}
+    own = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias(names["__k"]))
+    own = own.select(names["__k"], F.col("source").alias(names["__source"]), F.expr(HASH).alias(names["__h"]))
+    out = own.join(plan, own[names["__source"]].eqNullSafe(plan.s)).withColumn("n", copies(F.col(names["__h"]))).where("n > 0")
+    out = out.select(names["__k"], F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return out.select(f"{names['__k']}.*")

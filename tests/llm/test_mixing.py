@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from nestflow.llm import mixing
+from nestflow.llm import common, mixing
 
 from .helpers import DOCS, ODD, docs, tokens
 
@@ -60,7 +60,7 @@ def test_targets_are_met(spark, monkeypatch, bits, step):
     for s in goal:
         assert abs(taken[s] - goal[s]) <= most[s] / 2 + 1
     assert {(x.doc_id, x.taken) for x in got} == {(x.doc_id, x.taken) for x in mixing.mix(df.repartition(5)).collect()}
-    monkeypatch.setattr(mixing, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     assert {(x.doc_id, x.taken) for x in got} == {(x.doc_id, x.taken) for x in mixing.mix(df).collect()}
 
 
@@ -74,3 +74,23 @@ def test_mix_repeats_rows(spark):
     assert got == {k: want[k] * n for k, n in have.items() if want[k]} and mixing.apply_mix(d).columns == d.columns
     plan = mixing.apply_mix(d)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rows_without_id_and_ties(spark):
+    """Rows without an id are told apart by their text; equal rows go together."""
+    table = [(None, f"text number {i % 40} here", "", "s", 0) for i in range(80)] + [(i, "w", "", "t", 0) for i in range(50)]
+    d = spark.createDataFrame(table, DOCS)
+    m = mixing.mix(d).collect()
+    check(m, table)
+    want = collections.Counter()
+    for r in m:
+        want[r.doc_id, r.source] += r.copies
+    got = collections.Counter((r.doc_id, r.source) for r in mixing.apply_mix(d).collect())
+    assert got == +want
+    per = collections.Counter(r.text for r in mixing.apply_mix(d.where("source = 's'")).collect())
+    assert all(n % 2 == 0 for n in per.values())
+
+
+def test_texts_are_not_shuffled(spark):
+    plan = mixing.apply_mix(docs(spark, extra=True))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
