@@ -1,22 +1,24 @@
 """Benchmark decontamination: windows of test items found in training documents, with built-in functions only.
 
-A window is ``n`` consecutive words of an item; an item of fewer words (but not none) is one window. The distinct windows,
-hashed to 64 bits, are the broadcast hash set; each document position is hashed the same way and looked up, and each hit is
-verified word by word. The set is broadcast only below ``max_broadcast`` windows, beyond that the same join is shuffled.
-
-Defined results: a null or empty text has no words and no hits. A null item text has no windows. Items with a null id mark
-words as hit, but cannot be named in ``items``. Repeated document rows each get a row. Rows are told apart by id and a hash of
-the text, so rows that share an id but not a text stay apart. Only the two named columns of either table are read.
+A window is ``n`` consecutive words of an item; an item of fewer words (but not none) is one window. The distinct windows' hashes, 64 bits
+each, are the broadcast set. Each document position is hashed the same way and looked up; only where the hash is in the set are the words
+cut out and compared with the window's. If the set's files hold more than ``common.BROADCAST_BYTES``, positions and hashes are shuffled instead, without any words,
+and the words are cut out of the documents that have hits.
+
+Defined results
+* nulls: a null text has no words and no hits; a null item text has no windows; items with a null id mark words as hit, but are not named in ``items``.
+* empty and very long texts: a blank text has no words; a text of any length is read whole.
+* ties: windows of several items name all of them; overlapping hits count each word once.
+* repeated rows: document rows each get a row; rows that share an id but not a text are told apart by a hash of the text. Repeated items count once.
+* empty tables: without documents the result is empty, without windows no word is hit.
+* extra columns: only the two named columns of either table are read, so others may have any name.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, ascii_lower, null_safe, split_words
-
-#: Windows are broadcast up to this number (about 200 bytes each).
-MAX_BROADCAST = 500_000
+from .common import WORD_GAP, Workspace, ascii_lower, fresh, null_safe, session_of, split_words
 
 
 def words_of(c: Column) -> Column:
@@ -36,31 +38,47 @@ def _window_hash(length: int) -> Column:
     return F.xxhash64(*[F.get("w", F.col("pos") + i) for i in range(length)])
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def _positions(d: DataFrame, lengths: list[int], start: int) -> DataFrame:
+    """d, which has (id, fp, w, n_words), with a row for each position from ``start`` and length of a window: pos, len, h; h is null where no window fits."""
+    d = d.select("*", F.explode(F.sequence(F.lit(start), F.greatest(F.col("n_words") - 1, F.lit(start)))).alias("pos"))
+    of = lambda k: F.when((F.col("pos") >= 0) & (F.col("pos") + k <= F.col("n_words")), _window_hash(k))
+    if len(lengths) == 1:
+        return d.withColumn("len", F.lit(lengths[0])).withColumn("h", of(lengths[0]))
+    d = d.withColumn("k", F.explode(F.array(*[F.struct(F.lit(k).alias("len"), of(k).alias("h")) for k in lengths])))
+    return d.select("id", "fp", "w", "n_words", "pos", F.col("k.len").alias("len"), F.col("k.h").alias("h"))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: id, fp (hash of the text), n_words, n_hit, spans (word positions, [start, end)), items.
 
     The scan tokenises each text once. Only hits and one row per document are shuffled.
     """
-    win = benchmark_windows(benchmark, n)
-    sizes = win.groupBy("len").count().collect()  # at most n rows
-    if sum(r["count"] for r in sizes) <= max_broadcast:
-        win = F.broadcast(win)
+    ws = Workspace(session_of(docs), "windows")
+    win = ws.keep(benchmark_windows(benchmark, n))
+    lengths = sorted(r["len"] for r in win.select("len").distinct().collect()) or [n]  # n numbers at most
+    known = ws.keep(win.select(F.col("len").alias("k_len"), F.col("h").alias("k_h")).distinct())
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("fp"), words_of(F.col(text_col)).alias("w"))
     d = d.select("id", "fp", "w", F.size("w").alias("n_words"))
-    # position -1 stands for the document itself
-    d = d.select("*", F.explode(F.sequence(F.lit(-1), F.greatest(F.col("n_words") - 1, F.lit(-1)))).alias("pos"))
-    lengths = sorted(r["len"] for r in sizes)
-    if len(lengths) == 1:
-        d = d.withColumn("k_len", F.lit(lengths[0])).withColumn("k_h", F.when((F.col("pos") >= 0) & (F.col("pos") + lengths[0] <= F.col("n_words")), _window_hash(lengths[0])))
-    elif lengths:
-        of = lambda k: F.when((F.col("pos") >= 0) & (F.col("pos") + k <= F.col("n_words")), _window_hash(k))
-        d = d.withColumn("k", F.explode(F.array(*[F.struct(F.lit(k).alias("len"), of(k).alias("h")) for k in lengths])))
-        d = d.select("id", "fp", "w", "n_words", "pos", F.col("k.len").alias("k_len"), F.col("k.h").alias("k_h"))
+    cut = F.slice("w", F.greatest(F.col("pos") + 1, F.lit(1)), F.col("len")).alias("x")
+    same = lambda at: (at["h"] == known["k_h"]) & (at["len"] == known["k_len"])
+    if ws.is_small(known):
+        # position -1 stands for the document itself
+        at = _positions(d, lengths, -1)
+        hit = at.join(F.broadcast(known), same(at), "left").where(F.col("k_h").isNotNull() | ((F.col("pos") == -1) & (F.col("len") == lengths[0])))
+        hit = hit.select("id", "fp", "n_words", "pos", "len", "h", F.when(F.col("pos") >= 0, cut).alias("x"))
     else:
-        d = d.withColumn("k_len", F.lit(0)).withColumn("k_h", F.lit(None).cast("long"))
-    one = lengths[0] if lengths else 0
-    hit = d.join(win, (d.k_h == win.h) & (d.k_len == win.len) & (F.slice(d.w, F.greatest(d.pos + 1, F.lit(1)), d.k_len) == win.words), "left")
-    hit = hit.where(F.col("len").isNotNull() | ((F.col("pos") == -1) & (F.col("k_len") == one)))
+        at = _positions(d, lengths, 0).where("h is not null").select("id", "fp", "pos", "len", "h")
+        found = ws.keep(at.join(known, same(at), "left_semi").groupBy("id", "fp").agg(F.collect_set(F.struct("pos", "len", "h")).alias("hits")))
+        f = found.select(F.col("id").alias("i"), F.col("fp").alias("p"), "hits")
+        none = F.struct(F.lit(-1).alias("pos"), F.lit(lengths[0]).alias("len"), F.lit(None).cast("long").alias("h"))
+        both = d.join(f, null_safe(d, f, [("id", "i"), ("fp", "p")]), "left").select("id", "fp", "w", "n_words", F.explode(F.concat(F.array(none), F.coalesce("hits", F.array().cast("array<struct<pos:int,len:int,h:bigint>>")))).alias("k"))
+        hit = both.select("id", "fp", "w", "n_words", "k.pos", "k.len", "k.h").select("id", "fp", "n_words", "pos", "len", "h", F.when(F.col("pos") >= 0, cut).alias("x"))
+    # documents' own rows match no window, but are spread like the others
+    hit = hit.select("id", "fp", "n_words", "pos", F.when(F.col("pos") >= 0, F.col("len")).otherwise(-1).alias("len"), F.when(F.col("pos") >= 0, F.col("h")).otherwise(F.xxhash64("id", "fp")).alias("h"), "x")
+    w = ws.small(win).select(F.col("len").alias("w_len"), F.col("h").alias("w_h"), "words", "items")
+    # equal hashes are joined; that the words are equal is a check on what has been joined, not a key
+    hit = hit.join(w, (hit["len"] == F.col("w_len")) & (hit["h"] == F.col("w_h")), "left").withColumn("true", F.coalesce(F.col("x") == F.col("words"), F.lit(False)))
+    hit = hit.where("pos = -1 or true")
     hit = hit.select("id", "fp", "n_words", "items", F.when(F.col("pos") == -1, 1).otherwise(0).alias("rows"), F.when(F.col("pos") >= 0, F.struct("pos", (F.col("pos") + F.col("len")).alias("end"))).alias("span"))
     g = hit.groupBy("id", "fp", "n_words").agg(F.sum("rows").alias("rows"), F.sort_array(F.collect_set("span")).alias("raw"), F.collect_set("items").alias("sets"))
     # union of the sorted windows
@@ -85,22 +103,22 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "document", id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 1_000_000) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "document", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that hold a window (mode "document"), or with the hit words cut out (mode "span").
 
-    In span mode a hit word goes with the gap that follows it; all columns but the text stay as they are. The contaminated keys
-    are broadcast only if there are at most ``max_broadcast`` of them.
+    In span mode a hit word goes with the gap that follows it; all columns but the text stay as they are. The contaminated keys are broadcast
+    if they are few in bytes.
     """
-    bad = find_hits(docs, benchmark, n, id_col, text_col).where("n_hit > 0").select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__fp"])
-    bad = bad.persist()
-    if bad.count() <= max_broadcast:
-        bad = F.broadcast(bad)
-    keyed = docs.withColumn("__h", F.xxhash64(text_col))
-    cond = null_safe(keyed, bad, [(id_col, "__id"), ("__h", "__fp")])
+    ws = Workspace(session_of(docs), "contaminated")
+    spans = [F.col("spans").alias("__spans")] if mode == "span" else []
+    bad = ws.keep(find_hits(docs, benchmark, n, id_col, text_col).where("n_hit > 0").select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), *spans).dropDuplicates(["__id", "__fp"]))
+    b, h = ws.small(bad), fresh(docs, "__h")
+    keyed = docs.withColumn(h, F.xxhash64(text_col))
+    cond = null_safe(keyed, b, [(id_col, "__id"), (h, "__fp")])
     if mode == "document":
-        return keyed.join(bad, cond, "left_anti").select(*docs.columns)
+        return keyed.join(b, cond, "left_anti").select(*docs.columns)
     piece = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     lead = F.regexp_extract(text_col, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    left = F.filter(F.regexp_extract_all(text_col, F.lit(f"({piece})"), 1), lambda w, i: ~F.exists("__spans", lambda s: (s.pos <= i) & (i < s.end)))
-    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.concat(lead, F.array_join(left, "")))
-    return keyed.join(bad, cond, "left").select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    left = F.filter(F.regexp_extract_all(text_col, F.lit(f"({piece})"), 1), lambda w, i: ~F.exists(b["__spans"], lambda s: (s.pos <= i) & (i < s.end)))
+    text = F.when(b["__spans"].isNull(), F.col(text_col)).otherwise(F.concat(lead, F.array_join(left, "")))
+    return keyed.join(b, cond, "left").select(*[text.alias(c) if c == text_col else keyed[c] for c in docs.columns])

@@ -1,9 +1,10 @@
+import collections
 import hashlib
 import random
 
 import pytest
 
-from nestflow.llm import decontam
+from nestflow.llm import common, decontam
 
 from .helpers import CLASHES, DOCS, ODD, SHARED, docs, rows, words
 
@@ -47,7 +48,7 @@ def test_odd_tables(spark, items, extra):
     assert got == want
 
 
-def test_random_texts_and_shuffled_join(spark):
+def test_random_texts_and_shuffled_join(spark, monkeypatch):
     r = random.Random(1)
     items = [(i, " ".join(r.choice("ab") for _ in range(r.randint(1, 14)))) for i in range(12)]
     texts = [(i, " ".join(r.choice("abc") for _ in range(r.randint(0, 60))), "", "", 0) for i in range(40)]
@@ -55,15 +56,19 @@ def test_random_texts_and_shuffled_join(spark):
     want = sorted(brute(texts, items, 5))
     d = spark.createDataFrame(texts, DOCS)
     assert sorted(map(tuple, decontam.report(d, b, 5).collect())) == want
-    far = decontam.find_hits(d, b, 5, max_broadcast=0)
-    assert sorted((x.id, x.n_hit) for x in far.collect()) == [(x[0], x[2]) for x in want]
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, decontam.report(d, b, 5).collect())) == want
+    odd = docs(spark, extra=True)
+    assert rows(decontam.report(odd, spark.createDataFrame([(1, SHARED)], ITEM)), *COLS) == collections.Counter(brute(ODD, [(1, SHARED)]))
 
 
-def test_removal(spark):
+def test_removal(spark, monkeypatch):
     b = spark.createDataFrame([(1, SHARED)], ITEM)
     d = docs(spark)
     assert rows(decontam.remove(d, b), "doc_id") == rows(d.where("doc_id is null or doc_id not in (1, 8)"), "doc_id")
-    assert rows(decontam.remove(d, b, max_broadcast=0), "doc_id") == rows(d.where("doc_id is null or doc_id not in (1, 8)"), "doc_id")
+    with monkeypatch.context() as m:
+        m.setattr(common, "BROADCAST_BYTES", -1)
+        assert rows(decontam.remove(d, b), "doc_id") == rows(d.where("doc_id is null or doc_id not in (1, 8)"), "doc_id")
     cut = {x.doc_id: x.text for x in decontam.remove(d, b, mode="span").collect()}
     assert cut[1] == "Start end" and cut[8] == "långt ord " * 4000 and cut[9] == ODD[-1][1] and cut[2] is None
     assert decontam.remove(d.limit(0), b).count() == 0
