@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from nestflow.llm import urls
 
 CASES = {
@@ -22,17 +24,53 @@ def test_hosts_paths_and_rules(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
-def test_held_out_urls():
+def test_held_out_hosts():
+    """Five folds by registered name, so that no name is on both sides."""
     table = urls.labelled_urls()
-    random.Random(1).shuffle(table)
-    w, b = urls.train(table[:200])
-    hosts, paths = zip(*(urls._cut(u) for u, _ in table[200:]), strict=True)
-    import numpy as np
-
-    d, g, v = urls.vectors(list(hosts), list(paths))
-    z = np.bincount(d, w[g] * v, len(hosts)) + b
-    assert ((z > 0) == np.array([y for _, y in table[200:]])).mean() > 0.9
-    assert len({u for u, _ in table}) == len(table) < 400
+    assert len({u for u, _ in table}) == len(table) == 200
+    name = lambda u: urls._cut(u)[0].split(".")[-2]
+    names = sorted({name(u) for u, _ in table})
+    random.Random(1).shuffle(names)
+    fold = {n: i % 5 for i, n in enumerate(names)}
+    good, total, scores = 0, 0, []
+    for k in range(5):
+        w, b = urls.train([r for r in table if fold[name(r[0])] != k])
+        test = [r for r in table if fold[name(r[0])] == k]
+        hosts, paths = zip(*(urls._cut(u) for u, _ in test), strict=True)
+        d, g, v = urls.vectors(list(hosts), list(paths))
+        z = np.bincount(d, w[g] * v, len(hosts)) + b
+        y = np.array([y for _, y in test])
+        good, total = good + ((z > 0) == y).sum(), total + len(y)
+        scores += list(zip(z, y, strict=True))
+    auc = np.mean([(p > n) + 0.5 * (p == n) for p, a in scores if a for n, c in scores if not c])
+    print("accuracy", good / total, "AUC", auc)
+    assert good / total > 0.8 and auc > 0.88
+
+
+def test_table_and_pages_are_apart(spark):
+    """The labelled table was not made from the pages that it judges."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    seen = {r.host for r in urls.judge(pages).select("host").distinct().collect()}
+    assert not seen & {urls._cut(u)[0] for u, _ in urls.labelled_urls()}
+
+
+def test_scores_against_a_plain_model(spark):
+    """Score of each url from the definition: the logistic of the weights of its n-grams, scaled to length 1."""
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(["http://casino.io/a", "https://Quiet.Library.org/books?x", "", "http://ü.de/ß"])], "page_id long, url string")
+    w, b = urls.train(urls.labelled_urls())
+    for r in urls.judge(df).collect():
+        grams = []
+        for part, seed in ((r.host, 1), (r.path, 2)):
+            raw = b"^" + part.encode() + b"$"
+            for n in urls.SIZES:
+                for i in range(len(raw) - n + 1):
+                    h = (n + 16 * seed) & (2**64 - 1)
+                    for x in raw[i : i + n]:
+                        h = (h + x) * 0x9E3779B97F4A7C15 & (2**64 - 1)
+                        h ^= h >> 31
+                    grams.append((h * 0xD6E8FEB86659FD93 & (2**64 - 1)) >> (64 - urls.BITS))
+        z = sum(w[g] for g in grams) / max(1, len(grams)) ** 0.5 + b
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9
 
 
 def test_caller_rules_and_table(spark):
