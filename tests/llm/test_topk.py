@@ -44,3 +44,22 @@ def test_bounds_hold():
     x, y = rng.normal(size=(50, 32)), rng.normal(size=(60, 32))
     for k in topk.resolutions(32):
         assert (topk.statistics(x, k) @ topk.statistics(y, k).T >= x @ y.T - 1e-9).all()
+
+
+@pytest.mark.parametrize("spread, stream, group", [(1, 1000, 1), (2, 2, 2), (64, 16, 8)])
+def test_grids(spark, monkeypatch, spread, stream, group):
+    for name, x in (("VECTORS", 16), ("QUERIES", 8), ("SPREAD", spread), ("STREAM", stream), ("GROUP", group)):
+        monkeypatch.setattr(topk, name, x)
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(size=12)], 0) for i in range(200)] + [(i, [0.5], 0) for i in range(200, 260)]
+    assert run(spark, rows) == brute(rows, {r[0] for r in rows if r[0] % 3 == 0})
+
+
+def test_levels_prune(spark):
+    """Vectors that are nearly constant in segments: most pairs go before their products are made, and the counts only fall."""
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in np.repeat(rng.normal(size=8) * 3, 8) + rng.normal(size=64) * 0.1], 0) for i in range(5000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = dict(map(tuple, topk.survivors(df, df.where("vec_id % 50 = 0")).collect()))
+    n = [got[i] for i in sorted(got)]
+    assert n[0] == 100 * 4999 and all(a >= b for a, b in zip(n, n[1:])) and n[-2] < 0.1 * n[0] and n[-1] >= 500
