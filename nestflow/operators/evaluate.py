@@ -1,6 +1,8 @@
-"""Evaluation of classifiers: folds, candidate selection, scaling, bags, metrics and bootstrap intervals. Built-in functions only; draws are hashes."""
+"""Evaluation of classifiers: folds, candidate selection, scaling, bags, metrics and bootstrap intervals. Built-in functions, but for multinomial draws over cells of counts."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,13 +82,13 @@ def bag_means(bagged: DataFrame, features: DataFrame, key: str = "id") -> DataFr
     return bagged.join(features, key).groupBy("label", "bag", "idx").agg(F.avg("value").alias("value"))
 
 
-def confusion(predictions: DataFrame, by: tuple[str, ...] = (), prediction: str = "prediction") -> DataFrame:
-    return predictions.groupBy(*by, "label", F.col(prediction).alias("prediction")).agg(F.count("*").alias("n"))
+def confusion(predictions: DataFrame, by: tuple[str, ...] = (), prediction: str = "prediction", weight: str | None = None) -> DataFrame:
+    return predictions.groupBy(*by, "label", F.col(prediction).alias("prediction")).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
 
 
-def metrics(predictions: DataFrame, by: tuple[str, ...] = (), prediction: str = "prediction") -> DataFrame:
-    """accuracy and macro_f1, over the classes that occur as labels; F1 = 2 TP / (true + predicted)."""
-    c = confusion(predictions, by, prediction)
+def metrics(predictions: DataFrame, by: tuple[str, ...] = (), prediction: str = "prediction", weight: str | None = None) -> DataFrame:
+    """accuracy and macro_f1, over the classes that occur as labels; F1 = 2 TP / (true + predicted). With weight, a row counts that often."""
+    c = confusion(predictions, by, prediction, weight)
     true = c.groupBy(*by, "label").agg(F.sum("n").alias("true"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("tp"))
     said = c.groupBy(*by, F.col("prediction").alias("label")).agg(F.sum("n").alias("said"))
     f = true.join(said, [*by, "label"], "left").withColumn("f1", 2 * F.col("tp") / (F.col("true") + F.coalesce("said", F.lit(0))))
@@ -102,56 +104,114 @@ def paired_difference(first: DataFrame, second: DataFrame, key: str, value: str)
     return first.join(second.select(key, F.col(value).alias("_other")), key).select(key, (F.col(value) - F.col("_other")).alias("difference"))
 
 
-def resample(samples: DataFrame, replicates: int, seed: int, stratum: str = "stratum", key: str = "id", draw: Column | None = None) -> DataFrame:
-    """replicate and the columns of samples: within each stratum as many draws with replacement as it has samples.
+_PRIME = 2147483647
 
-    A draw is a hash of seed, replicate, stratum and place, so it is the same wherever it is made.
-    """
-    w = Window.partitionBy(stratum).orderBy(key)
-    s = samples.withColumn("_place", F.row_number().over(w) - 1)
-    n = s.groupBy(stratum).agg(F.count("*").alias("_n"))
-    asks = s.select(stratum, F.col("_place").alias("_i")).join(n, stratum).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    pick = draw if draw is not None else F.xxhash64(F.lit(seed), "replicate", stratum, "_i")
-    asks = asks.select("replicate", stratum, F.pmod(pick, F.col("_n")).cast("int").alias("_place"))
-    return asks.join(s, [stratum, "_place"]).drop("_place")
 
+def shared_draw(seed: int, stratum: Column, replicate: Column, i: Column) -> Column:
+    """A draw, at least 0, that any SQL engine can repeat: products and remainders of numbers below 2^31, and a key for the stratum from an md5."""
+    prime = F.lit(_PRIME).cast("long")
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), stratum.cast("string"))), 1, 8), 16, 10).cast("long") % prime
+    a = ((key + (replicate * 1000003) % prime + (i * 7919) % prime) % prime * 48271 + 11) % prime
+    return (a.bitwiseXOR(F.shiftright(a, 13)) * 69621 + 7) % prime
 
-def shared_draw(seed: int) -> Column:
-    """A draw that any SQL engine can repeat: 15 hex digits of an md5."""
-    text = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("stratum").cast("string"), F.col("_i").cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
+def resampled_cells(samples: DataFrame, cells: tuple[str, ...], replicates: int, seed: int, stratum: str = "stratum", draw=None) -> DataFrame:
+    """(replicate, cells, times): for each replicate how often a sample of each cell is drawn, with replacement, as many in each stratum as it has samples.
 
-def interval(values: DataFrame, value: str, level: float = 0.95, by: tuple[str, ...] = ()) -> DataFrame:
-    """mean, lower, upper: percentiles with linear interpolation."""
+    Samples of a stratum with equal cells are alike, so only their numbers are drawn, from the multinomial distribution: no replicate reads the samples. With ``draw``, a function like ``shared_draw``, each draw is
+    made by itself instead, so that another engine can repeat it.
+    """
+    spark = samples.sparkSession
+    counts = samples.groupBy(F.col(stratum).alias("_s"), *cells).agg(F.count("*").alias("_c"))
+    every = spark.range(replicates).select(F.col("id").alias("replicate"))
+    if draw is None:
+        rows = sorted(counts.collect(), key=lambda r: str(tuple(r)))  # strata x kinds of cells, whatever the number of samples
+        table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "_i int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema))
+        where: dict = {}
+        for i, r in enumerate(rows):
+            where.setdefault(r["_s"], []).append((i, r["_c"]))
+        sizes = [np.array(v) for v in where.values()]
+
+        def run(batches):
+            for b in batches:
+                for r in b.column(0).to_pylist():
+                    rng = np.random.Generator(np.random.Philox(key=[seed & 0xFFFFFFFFFFFFFFFF, r]))
+                    n = [rng.multinomial(int(c[:, 1].sum()), c[:, 1] / c[:, 1].sum()) for c in sizes]
+                    at, n = np.concatenate([c[:, 0] for c in sizes]), np.concatenate(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r)), pa.array(at.astype(np.int32)), pa.array(n)], names=["replicate", "_i", "times"])
+
+        drawn = every.mapInArrow(run, "replicate long, _i int, times long") if rows else every.where("false").select("replicate", F.lit(0).alias("_i"), F.lit(0).cast("long").alias("times"))
+        return drawn.where("times > 0").join(F.broadcast(table), "_i").select("replicate", *cells, "times")
+    numbered = counts.withColumn("_i", F.row_number().over(Window.partitionBy("_s").orderBy(*cells)))
+    places = numbered.groupBy("_s").agg(F.sort_array(F.collect_list(F.struct("_i", "_c"))).alias("x"), F.sum("_c").alias("_n"))
+    places = places.select("_s", "_n", F.flatten(F.transform("x", lambda v: F.array_repeat(v["_i"], v["_c"].cast("int")))).alias("_of"))
+    asks = every.join(F.broadcast(places)).select("replicate", "_s", "_n", "_of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_k"))
+    pick = (draw(seed, F.col("_s"), F.col("replicate"), F.col("_k")) % F.col("_n")).cast("int")
+    drawn = asks.select("replicate", "_s", F.element_at("_of", pick + 1).alias("_i")).groupBy("replicate", "_s", "_i").agg(F.count("*").alias("times"))
+    return drawn.join(numbered, ["_s", "_i"]).select("replicate", *cells, "times")
+
+
+def interval(values: DataFrame, observed: DataFrame, names: dict[str, str], level: float = 0.95) -> DataFrame:
+    """metric, observed, mean, sd, lower, upper: of each column of values that names lists, over the rows; percentiles with linear interpolation. observed: one row with the same columns."""
     a = (1 - level) / 2
-    return values.groupBy(*by).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(a)).alias("lower"), F.percentile(value, F.lit(1 - a)).alias("upper"))
+    stack = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("value")) for n, c in names.items()])).alias("x")).select("x.metric", "x.value")
+    out = stack(values).groupBy("metric").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"), F.percentile("value", F.lit(a)).alias("lower"), F.percentile("value", F.lit(1 - a)).alias("upper"))
+    return out.join(stack(observed).withColumnRenamed("value", "observed"), "metric").select("metric", "observed", "mean", "sd", "lower", "upper")
+
+
+def _paired(first: DataFrame, second: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    f, s = (d.select(*by, F.col("accuracy").alias("a" + k), F.col("macro_f1").alias("f" + k)) for d, k in ((first, "1"), (second, "2")))
+    d = f.join(s, list(by)) if by else f.join(F.broadcast(s))  # a row each
+    return d.withColumn("a3", F.col("a1") - F.col("a2")).withColumn("f3", F.col("f1") - F.col("f2"))
+
 
+_SIX = {"accuracy first": "a1", "accuracy second": "a2", "accuracy difference": "a3", "macro_f1 first": "f1", "macro_f1 second": "f2", "macro_f1 difference": "f3"}
 
-def bootstrap(predictions: DataFrame, replicates: int, seed: int, level: float = 0.95, draw: Column | None = None) -> DataFrame:
-    """Interval of the accuracy over stratified resamples."""
-    r = metrics(resample(predictions, replicates, seed, draw=draw), ("replicate",))
-    return interval(r, "accuracy", level)
 
+def need_classes(predictions: DataFrame) -> DataFrame:
+    """predictions, or an error if they have fewer than two labels."""
+    if predictions.select("label").distinct().limit(2).count() < 2:
+        raise ValueError("fewer than two classes")
+    return predictions
 
-def paired_bootstrap(predictions: DataFrame, replicates: int, seed: int, level: float = 0.95, draw: Column | None = None) -> DataFrame:
-    """Interval of the difference in accuracy between ``prediction`` and ``second``, both on the same resamples."""
-    r = resample(predictions, replicates, seed, draw=draw)
-    hit = lambda c: F.avg(F.when(F.col(c) == F.col("label"), 1.0).otherwise(0.0))
-    return interval(r.groupBy("replicate").agg((hit("prediction") - hit("second")).alias("difference")), "difference", level)
 
+def bootstrap(predictions: DataFrame, replicates: int, seed: int, level: float = 0.95, draw=None) -> DataFrame:
+    """metric, observed, mean, sd, lower, upper of accuracy and macro_f1 over stratified resamples."""
+    need_classes(predictions)
+    r = resampled_cells(predictions, ("label", "prediction"), replicates, seed, draw=draw)
+    return interval(metrics(r, ("replicate",), weight="times"), metrics(predictions), {"accuracy": "accuracy", "macro_f1": "macro_f1"}, level)
 
-def hierarchical_bootstrap(scores: DataFrame, replicates: int, seed: int, level: float = 0.95) -> DataFrame:
-    """Interval of the mean of (id, stratum, realization, difference): samples are drawn, and for each draw as many of its realizations as there are."""
-    ids = scores.select("id", "stratum").distinct()
-    drawn = resample(ids, replicates, seed).withColumn("_copy", F.row_number().over(Window.partitionBy("replicate", "id").orderBy("stratum")))
-    w = Window.partitionBy("id").orderBy("realization")
-    s = scores.withColumn("_place", F.row_number().over(w) - 1)
-    n = s.groupBy("id").agg(F.count("*").alias("_m"))
-    asks = drawn.join(n, "id").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))))
-    asks = asks.withColumn("_place", F.pmod(F.xxhash64(F.lit(seed + 1), "replicate", "id", "_copy", "_k"), F.col("_m")).cast("int"))
-    got = asks.join(s.select("id", "_place", "difference"), ["id", "_place"])
-    return interval(got.groupBy("replicate").agg(F.avg("difference").alias("difference")), "difference", level)
+
+def paired_bootstrap(predictions: DataFrame, replicates: int, seed: int, level: float = 0.95, draw=None) -> DataFrame:
+    """The same of ``prediction`` (first), of ``second`` and of their difference, all on the same resamples."""
+    need_classes(predictions)
+    r = resampled_cells(predictions, ("label", "prediction", "second"), replicates, seed, draw=draw)
+    values = _paired(metrics(r, ("replicate",), weight="times"), metrics(r, ("replicate",), "second", "times"), ("replicate",))
+    return interval(values, _paired(metrics(predictions), metrics(predictions, (), "second")), _SIX, level)
+
+
+def hierarchical_bootstrap(predictions: DataFrame, replicates: int, seed: int, level: float = 0.95, draw=None) -> DataFrame:
+    """The same of (id, stratum, label, realization, prediction, second), where the first method has a prediction for each realization, from 0, and the second one for all.
+
+    A replicate draws samples once, and as many realizations as there are, for all samples; the first method's value is the mean over the drawn realizations.
+    """
+    need_classes(predictions)
+    spark = predictions.sparkSession
+    said = F.transform(F.sort_array(F.collect_list(F.struct("realization", "prediction"))), lambda x: x["prediction"])
+    wide = predictions.groupBy("id", "stratum", "label", "second").agg(said.alias("said"))
+    m = predictions.agg(F.max("realization")).first()[0] + 1
+    cols = [f"p{i}" for i in range(m)]
+    wide = wide.select("id", "stratum", "label", "second", *[F.col("said")[i].alias(c) for i, c in enumerate(cols)])
+    r = resampled_cells(wide, ("label", *cols, "second"), replicates, seed, draw=draw)
+    each = lambda df, by, w: metrics(df.select(*by, "label", *w, F.posexplode(F.array(*cols)).alias("realization", "prediction")), (*by, "realization"), weight=w[0] if w else None)
+    of = draw or (lambda s, key, rep, i: F.pmod(F.xxhash64(F.lit(s), key, rep, i), F.lit(_PRIME)))
+    picks = spark.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("i"))
+    picks = picks.select("replicate", (of(seed, F.lit("realization"), F.col("replicate"), F.col("i")) % m).cast("int").alias("realization")).groupBy("replicate", "realization").agg(F.count("*").alias("w"))
+    mean = lambda c: (F.sum(F.col("w") * F.col(c)) / m).alias(c)
+    first = each(r, ("replicate",), ("times",)).join(picks, ["replicate", "realization"]).groupBy("replicate").agg(mean("accuracy"), mean("macro_f1"))
+    values = _paired(first, metrics(r, ("replicate",), "second", "times"), ("replicate",))
+    seen = each(wide, (), ()).agg(F.avg("accuracy").alias("accuracy"), F.avg("macro_f1").alias("macro_f1"))
+    return interval(values, _paired(seen, metrics(wide, (), "second")), _SIX, level)
 
 
 def timing_summary(timings: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:

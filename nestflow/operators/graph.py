@@ -97,8 +97,43 @@ def triangle_support(edges: DataFrame) -> DataFrame:
     return edges.select("g", "u", "v").join(n, ["g", "u", "v"], "left").select("g", "u", "v", F.coalesce("n", F.lit(0)).alias("triangles"))
 
 
-def trussness(edges: DataFrame) -> DataFrame:
-    """g, u, v, trussness: the largest k for which the edge lies in k - 2 triangles of a subgraph of such edges; one kernel per graph."""
+#: Edges of a graph up to which one task peels it.
+KERNEL_EDGES = 1_000_000
+
+
+def trussness(edges: DataFrame, most: int = KERNEL_EDGES) -> DataFrame:
+    """g, u, v, trussness: the largest k for which the edge lies in k - 2 triangles of a subgraph of such edges. Graphs of up to ``most`` edges are peeled in a task each, larger ones by ``trussness_spread``."""
+    sizes = edges.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > most).select("g")
+    if not sizes.limit(1).count():
+        return trussness_kernel(edges)
+    return trussness_kernel(edges.join(sizes, "g", "left_anti")).unionByName(trussness_spread(edges.join(sizes, "g", "left_semi")))
+
+
+def trussness_spread(edges: DataFrame) -> DataFrame:
+    """The same by joins and aggregates alone: an edge's level starts as its number of triangles and falls to the h-index of what its triangles' other two edges allow, until none falls.
+
+    Levels are written to the checkpoint folder after each pass.
+    """
+    t = triangles(edges).select("g", *[F.struct(F.col(x).alias("u"), F.col(y).alias("v")).alias(x + y) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))])
+    sides = None
+    for own, f, h in (("ab", "ac", "bc"), ("ac", "ab", "bc"), ("bc", "ab", "ac")):
+        one = t.select("g", F.col(own).alias("e"), F.col(f).alias("f"), F.col(h).alias("h"))
+        sides = one if sides is None else sides.unionByName(one)
+    sides = sides.checkpoint()
+    level = sides.groupBy("g", "e").agg(F.count("*").cast("int").alias("level")).checkpoint()
+    while True:
+        of = lambda name, as_: level.select("g", F.col("e").alias(name), F.col("level").alias(as_))
+        least = sides.join(of("f", "l1"), ["g", "f"]).join(of("h", "l2"), ["g", "h"]).groupBy("g", "e").agg(F.sort_array(F.collect_list(F.least("l1", "l2")), False).alias("x"))
+        new = least.join(level, ["g", "e"]).select("g", "e", F.least("level", F.size(F.filter("x", lambda x, i: x > i))).alias("level"), "level").toDF("g", "e", "level", "old").checkpoint()
+        level = new.drop("old")
+        if not new.where("level < old").limit(1).count():
+            break
+    found = level.select("g", "e.u", "e.v", (F.col("level") + 2).cast("int").alias("trussness"))
+    return edges.select("g", "u", "v").join(found, ["g", "u", "v"], "left").select("g", "u", "v", F.coalesce("trussness", F.lit(2)).alias("trussness"))
+
+
+def trussness_kernel(edges: DataFrame) -> DataFrame:
+    """The same, each graph peeled in one task from the weakest edge on."""
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -140,14 +175,14 @@ def cohesion(edges: DataFrame, truss: DataFrame) -> DataFrame:
 
 
 def cohesion_filtration(keys: DataFrame) -> DataFrame:
-    """Adds step and time = step / steps: strongest first by trussness, then by ratio; equal keys share a step.
+    """Adds step and time = step / (steps + 1), below 1: strongest first by trussness, then by ratio; equal keys share a step.
 
     Two different ratios of graphs of up to 9 x 10^7 neighbours differ in the 16 decimals that are compared, and equal ones have equal decimals.
     """
     ratio = F.floor(F.col("num").cast("decimal(19,0)") * F.lit(10**16).cast("decimal(18,0)") / F.col("den").cast("decimal(19,0)"))
     w = Window.partitionBy("g").orderBy(F.desc("trussness"), F.desc("ratio"))
     k = keys.withColumn("ratio", ratio).withColumn("step", F.dense_rank().over(w))
-    return k.withColumn("time", F.col("step") / F.max("step").over(Window.partitionBy("g"))).drop("ratio")
+    return k.withColumn("time", F.col("step") / (F.max("step").over(Window.partitionBy("g")) + 1)).drop("ratio")
 
 
 def clique_complex(edges: DataFrame) -> DataFrame:

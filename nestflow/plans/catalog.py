@@ -41,7 +41,7 @@ def _values(spec: list[tuple]) -> str:
     return "spec(idx, family, w0, w1) AS (VALUES " + ", ".join(f"({i}, '{f}', {a!r}::DOUBLE, {b!r}::DOUBLE)" for i, f, a, b in spec) + ")"
 
 
-A, B, E, S, L = "WITH " + fx.ATOMS_SQL, "WITH " + fx.ATOMS_SQL + ", " + fx.BATCHES_SQL, "WITH " + fx.EDGES_SQL, "WITH " + fx.SMALL_SQL, "WITH " + fx.LABELS_SQL
+A, B, E, L = "WITH " + fx.ATOMS_SQL, "WITH " + fx.ATOMS_SQL + ", " + fx.BATCHES_SQL, "WITH " + fx.EDGES_SQL, "WITH " + fx.LABELS_SQL
 _NESTED = "t.birth <= s.birth AND s.death <= t.death AND (s.birth <> t.birth OR s.death <> t.death)"
 
 # ---- diagrams
@@ -346,7 +346,7 @@ def edge_violations(spark, sf):
     return graph.edge_violations(bad, e.where("g <> 'click'").groupBy("g").agg(F.median("v").alias("n")))
 
 
-_CPX = f"{S}, {_RANK.format(t='small')}, {_TRI.format(t='small')}"
+_CPX = f"{E}, {_RANK.format(t='edges')}, {_TRI.format(t='edges')}"
 
 
 @query(f"{_CPX}, s AS (SELECT DISTINCT g, [x] AS vertices, 0 AS dim, 0.0::DOUBLE AS filtration FROM (SELECT g, u AS x FROM fl UNION ALL SELECT g, v FROM fl) UNION ALL SELECT g, [u, v], 1, time FROM fl UNION ALL SELECT t.g, [a, b, c], 2, greatest(p.time, q.time, r.time) FROM tri t JOIN fl p ON p.g = t.g AND p.u = a AND p.v = b JOIN fl q ON q.g = t.g AND q.u = a AND q.v = c JOIN fl r ON r.g = t.g AND r.u = b AND r.v = c) SELECT g, vertices, dim, round(filtration, 6) AS filtration, CAST(row_number() OVER (PARTITION BY g ORDER BY s.filtration, dim, vertices) - 1 AS INT) AS place FROM s")
@@ -359,32 +359,57 @@ def h1_persistence(spark, sf):
     return _round(homology.h1(graph.clique_complex(graph.rank_filtration(fx.edges(spark, sf)))), "birth", "death")
 
 
-@query(f"""{S}, nb AS (SELECT g, u AS x, v AS y FROM small UNION ALL SELECT g, v, u FROM small), comp AS (WITH RECURSIVE r(g, x, c) AS (SELECT DISTINCT g, x, x FROM nb UNION SELECT nb.g, nb.y, r.c FROM r JOIN nb ON nb.g = r.g AND nb.x = r.x) SELECT g, x, min(c) AS c FROM r GROUP BY 1, 2)
-SELECT g, (SELECT count(*) FROM small s WHERE s.g = comp.g) - count(*) + count(DISTINCT c) AS classes FROM comp GROUP BY g""")
+@query(f"""{E}, nb AS (SELECT g, u AS x, v AS y FROM edges UNION ALL SELECT g, v, u FROM edges), comp AS (WITH RECURSIVE r(g, x, c) AS (SELECT DISTINCT g, x, x FROM nb UNION SELECT nb.g, nb.y, r.c FROM r JOIN nb ON nb.g = r.g AND nb.x = r.x) SELECT g, x, min(c) AS c FROM r GROUP BY 1, 2)
+SELECT g, (SELECT count(*) FROM edges s WHERE s.g = comp.g) - count(*) + count(DISTINCT c) AS classes FROM comp GROUP BY g""")
 def h1_class_count(spark, sf):
     """The coefficients of an uncleaned diagram add up to edges - vertices + components."""
     d = homology.h1(graph.clique_complex(graph.rank_filtration(fx.edges(spark, sf))), drop_empty=False)
     return d.groupBy(F.col("obs").alias("g")).agg(F.sum("coefficient").cast("long").alias("classes"))
 
 
-@query()
+# all edges whose triangles no longer suffice leave at once; a graph without such edges rises by a level
+_TRUSS = """peel(g, u, v, k, gone) AS (
+  SELECT g, u, v, 2, false FROM edges
+  UNION ALL (
+  WITH live AS (SELECT g, u, v, k FROM peel WHERE NOT gone),
+  side AS (SELECT x.g, x.u AS a, x.v AS b, y.v AS c FROM live x JOIN live y ON x.g = y.g AND x.v = y.u JOIN live z ON z.g = x.g AND z.u = x.u AND z.v = y.v),
+  cnt AS (SELECT g, u, v, count(*) AS n FROM (SELECT g, a AS u, b AS v FROM side UNION ALL SELECT g, a, c FROM side UNION ALL SELECT g, b, c FROM side) GROUP BY 1, 2, 3),
+  now AS (SELECT live.*, coalesce(n, 0) <= k - 2 AS weak, bool_or(coalesce(n, 0) <= k - 2) OVER (PARTITION BY live.g) AS any_weak FROM live LEFT JOIN cnt USING (g, u, v))
+  SELECT g, u, v, CASE WHEN any_weak THEN k ELSE k + 1 END, weak FROM now)),
+truss AS (SELECT g, u, v, CAST(k AS INT) AS trussness FROM peel WHERE gone)"""
+_RE = E.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(f"{_RE}, {_TRUSS} SELECT g, u, v, trussness FROM truss")
 def trussness(spark, sf):
     return graph.trussness(fx.edges(spark, sf))
 
 
+@query(f"{_RE}, {_TRUSS} SELECT g, u, v, trussness FROM truss")
+def trussness_by_joins(spark, sf):
+    """The plan for graphs that no task holds."""
+    return graph.trussness_spread(fx.edges(spark, sf))
+
+
 @query(f"{E}, {_TRI.format(t='edges')}, {_SUP.format(t='edges')}, {_DEG.format(t='edges')}, k AS (SELECT s.g, u, v, triangles AS common, least(a.d, b.d) - 1 AS available FROM sup s JOIN deg a ON a.g = s.g AND a.x = u JOIN deg b ON b.g = s.g AND b.x = v) SELECT g, u, v, CAST(2 AS INT) AS trussness, common, available, CASE WHEN available = 0 THEN 1 ELSE common END AS num, CASE WHEN available = 0 THEN 1 ELSE available END AS den FROM k")
 def cohesion_key(spark, sf):
     e = fx.edges(spark, sf)
     return graph.cohesion(e, e.select("g", "u", "v", F.lit(2).alias("trussness")))
 
 
-@query(f"{E}, {_TRI.format(t='edges')}, {_SUP.format(t='edges')}, {_DEG.format(t='edges')}, k AS (SELECT s.g, u, v, 2 + triangles AS truss, triangles AS common, least(a.d, b.d) - 1 AS available FROM sup s JOIN deg a ON a.g = s.g AND a.x = u JOIN deg b ON b.g = s.g AND b.x = v), l AS (SELECT g, u, v, dense_rank() OVER (PARTITION BY g ORDER BY truss DESC, CASE WHEN available = 0 THEN 1.0::DOUBLE ELSE common / available END DESC) AS step FROM k) SELECT g, u, v, CAST(step AS INT) AS step, round(step / max(step) OVER (PARTITION BY g), 6) AS time FROM l")
+@query(f"{E}, {_TRI.format(t='edges')}, {_SUP.format(t='edges')}, {_DEG.format(t='edges')}, k AS (SELECT s.g, u, v, 2 + triangles AS truss, triangles AS common, least(a.d, b.d) - 1 AS available FROM sup s JOIN deg a ON a.g = s.g AND a.x = u JOIN deg b ON b.g = s.g AND b.x = v), l AS (SELECT g, u, v, dense_rank() OVER (PARTITION BY g ORDER BY truss DESC, CASE WHEN available = 0 THEN 1.0::DOUBLE ELSE common / available END DESC) AS step FROM k) SELECT g, u, v, CAST(step AS INT) AS step, round(step / (max(step) OVER (PARTITION BY g) + 1), 6) AS time FROM l")
 def cohesion_filtration(spark, sf):
     e = fx.edges(spark, sf)
     keys = graph.cohesion(e, graph.triangle_support(e).select("g", "u", "v", (F.col("triangles") + 2).cast("int").alias("trussness")))
     return _round(graph.cohesion_filtration(keys).select("g", "u", "v", "step", "time"), "time")
 
 
+@query(f"{_RE}, {_TRUSS}, {_TRI.format(t='edges')}, {_SUP.format(t='edges')}, {_DEG.format(t='edges')}, k AS (SELECT s.g, u, v, triangles AS common, least(a.d, b.d) - 1 AS available FROM sup s JOIN deg a ON a.g = s.g AND a.x = u JOIN deg b ON b.g = s.g AND b.x = v), l AS (SELECT g, u, v, trussness, dense_rank() OVER (PARTITION BY g ORDER BY trussness DESC, CASE WHEN available = 0 THEN 1.0::DOUBLE ELSE common / available END DESC) AS step FROM k JOIN truss USING (g, u, v)) SELECT g, u, v, trussness, CAST(step AS INT) AS step, round(step / (max(step) OVER (PARTITION BY g) + 1), 6) AS time FROM l")
+def clique_cohesion_times(spark, sf):
+    """The filtration that ``clique_cohesion_graphs`` starts from."""
+    return _round(studies.cohesion_filtered(fx.edges(spark, sf)).select("g", "u", "v", "trussness", "step", "time"), "time")
+
+
 @query()
 def clique_cohesion_graphs(spark, sf):
     """Edges to features: trussness, cohesion, filtration, complex, persistence and harmonic coordinates."""
@@ -459,6 +484,13 @@ def edge_swaps(spark, sf):
     return perturb.swap_edges(e, 0.2, 7)
 
 
+@query(f"WITH {_LOCAL}, {_DEG.format(t='ed')} SELECT g, x AS vertex, d AS degree FROM deg")
+def edge_swap_degrees(spark, sf):
+    """Swaps leave all degrees as they were, so the SQL has those of the graphs before."""
+    _, e = _local(spark, sf)
+    return graph.degrees(perturb.swap_edges(e, 0.2, 7))
+
+
 # ---- generators
 
 _MODELS = {
@@ -478,6 +510,15 @@ def random_graphs(spark, sf):
     return _round(generate.generate(out), "support")
 
 
+@query("WITH m AS (SELECT unnest([" + ", ".join(f"'{m}'" for m in _MODELS) + "]) AS model) SELECT model, 2 AS graphs, CASE model WHEN 'barabasi_albert' THEN 2 * (5 * 4 // 2 + (30 - 5) * 2) WHEN 'kleinberg' THEN 2 * (5 * (6 - 1) + (5 - 1) * 6 + 11) ELSE 2 * 60 END ::INT AS edges, 0 AS loops, 0 AS repeats, 0 AS outside FROM m")
+def random_graph_counts(spark, sf):
+    """What every model must keep to: graphs and edges, no loop, no repeated edge, no vertex outside."""
+    e = random_graphs(spark, sf).withColumn("model", F.regexp_replace("g", "-[0-9]+$", ""))
+    edge, bad = F.struct("g", F.least("u", "v"), F.greatest("u", "v")), lambda c: F.count(F.when(c, 1))
+    r = e.groupBy("model").agg(F.countDistinct("g").alias("graphs"), F.count("*").alias("edges"), bad(F.col("u") == F.col("v")).alias("loops"), (F.count("*") - F.countDistinct(edge)).alias("repeats"), bad((F.least("u", "v") < 0) | (F.greatest("u", "v") >= 30)).alias("outside"))
+    return r.select("model", *[F.col(c).cast("int").alias(c) for c in r.columns[1:]])
+
+
 @query(f"WITH {_SIZES}, d AS (SELECT g, u.range AS u, v.range AS v, n FROM sizes, range(0, 60) u, range(0, 60) v WHERE u.range < v.range AND v.range < n) SELECT g, count(*) AS dyads, least(count(*), any_value(n)) AS edges FROM d GROUP BY 1")
 def uniform_graphs(spark, sf):
     s = _sizes(spark, sf)
@@ -615,11 +656,11 @@ def bag_means(spark, sf):
     return _round(evaluate.bag_means(b, f.drop("label")), "value")
 
 
-def _sql_metrics(by: str, source: str, p: str = "prediction") -> str:
+def _sql_metrics(by: str, source: str, p: str = "prediction", mark: str = "", n: str = "1") -> str:
+    """mt with accuracy and macro_f1 of the rows of source, each counted n times, by the columns in by; its tables' names end in mark."""
     k = by + ", " if by else ""
-    using = f"({k}label)"
-    return f"""tr AS (SELECT {k}label, count(*) AS n, count(*) FILTER (label = {p}) AS tp FROM {source} GROUP BY ALL), sd AS (SELECT {k}{p} AS label, count(*) AS said FROM {source} GROUP BY ALL),
-mt AS (SELECT {k}sum(tp) / sum(n) AS accuracy, avg(2 * tp / (n + coalesce(said, 0))) AS macro_f1 FROM tr LEFT JOIN sd USING {using} {'GROUP BY ' + by if by else ''})"""
+    return f"""tr{mark} AS (SELECT {k}label, sum({n}) AS n, coalesce(sum({n}) FILTER (label = {p}), 0) AS tp FROM {source} GROUP BY ALL), sd{mark} AS (SELECT {k}{p} AS label, sum({n}) AS said FROM {source} GROUP BY ALL),
+mt{mark} AS (SELECT {k}sum(tp) / sum(n) AS accuracy, avg(2 * tp / (n + coalesce(said, 0))) AS macro_f1 FROM tr{mark} LEFT JOIN sd{mark} USING ({k}label) {'GROUP BY ' + by if by else ''})"""
 
 
 @query(f"{L}, {_sql_metrics('', 'predicted')} SELECT round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1 FROM mt")
@@ -640,25 +681,50 @@ def paired_difference(spark, sf):
     return _round(evaluate.paired_difference(acc("prediction"), acc("second"), "stratum", "a"), "difference")
 
 
-_BOOT = """pl AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY id) - 1 AS place, count(*) OVER (PARTITION BY stratum) AS n FROM predicted),
-ask AS (SELECT r.range AS replicate, stratum, CAST('0x' || substr(md5('17:' || r.range || ':' || stratum || ':' || place), 1, 15) AS BIGINT) % n AS pick FROM pl, range(40) r),
-rs AS (SELECT ask.replicate, pl.* FROM ask JOIN pl ON pl.stratum = ask.stratum AND pl.place = ask.pick)"""
+REPLICATES = 10_000
+
+
+def _sql_draws(source: str, cells: str) -> str:
+    """rs (replicate, stratum, cells, c): how often each replicate draws each cell; a stratum's samples are drawn from in order of their cells, by numbers that both engines compute alike."""
+    return f"""sizes AS (SELECT stratum, count(*) AS n, CAST('0x' || substr(md5('17:' || stratum), 1, 8) AS BIGINT) % 2147483647 AS key FROM {source} GROUP BY 1),
+mix AS (SELECT r.range AS replicate, stratum, n, ((key + (r.range * 1000003) % 2147483647 + (i.i * 7919) % 2147483647) % 2147483647 * 48271 + 11) % 2147483647 AS a FROM (SELECT *, unnest(range(n)) AS i FROM sizes) i, range({REPLICATES}) r),
+ask AS (SELECT replicate, stratum, ((xor(a, a >> 13) * 69621 + 7) % 2147483647) % n AS pick, count(*) AS times FROM mix GROUP BY ALL),
+cells AS (SELECT stratum, {cells}, count(*) AS k FROM {source} GROUP BY ALL), edges AS (SELECT *, sum(k) OVER (PARTITION BY stratum ORDER BY {cells}) AS upto FROM cells),
+places AS (SELECT stratum, {cells}, unnest(range(CAST(upto - k AS BIGINT), CAST(upto AS BIGINT))) AS pick FROM edges),
+rs AS (SELECT replicate, {cells}, CAST(sum(times) AS BIGINT) AS c FROM ask JOIN places USING (stratum, pick) GROUP BY ALL)"""
+
+
+def _sql_intervals(values: str, observed: str, what: list[tuple[str, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS metric, round((SELECT {c} FROM {observed}), 6) + 0.0 AS observed, round(avg({c}), 6) + 0.0 AS mean, round(stddev_samp({c}), 6) AS sd, round(quantile_cont({c}, 0.025), 6) + 0.0 AS lower, round(quantile_cont({c}, 0.975), 6) + 0.0 AS upper FROM {values}" for name, c in what)
+
 
+_PAIR_OF = "SELECT {k}x.accuracy AS a1, y.accuracy AS a2, x.accuracy - y.accuracy AS a3, x.macro_f1 AS f1, y.macro_f1 AS f2, x.macro_f1 - y.macro_f1 AS f3 FROM {x} x {y}"
+_SIX = [("accuracy first", "a1"), ("accuracy second", "a2"), ("accuracy difference", "a3"), ("macro_f1 first", "f1"), ("macro_f1 second", "f2"), ("macro_f1 difference", "f3")]
+_RANGES = ("observed", "mean", "sd", "lower", "upper")
 
-@query(f"{L}, {_BOOT}, {_sql_metrics('replicate', 'rs')} SELECT round(avg(accuracy), 6) AS mean, round(quantile_cont(accuracy, 0.025), 6) AS lower, round(quantile_cont(accuracy, 0.975), 6) AS upper FROM mt")
+
+@query(f"{L}, {_sql_draws('predicted', 'label, prediction')}, {_sql_metrics('replicate', 'rs', n='c')}, {_sql_metrics('', 'predicted', mark='0')} " + _sql_intervals("mt", "mt0", [("accuracy", "accuracy"), ("macro_f1", "macro_f1")]))
 def bootstrap_ci(spark, sf):
-    return _round(evaluate.bootstrap(fx.predictions(spark, sf), 40, 17, draw=evaluate.shared_draw(17)), "mean", "lower", "upper")
+    return _round(evaluate.bootstrap(fx.predictions(spark, sf), REPLICATES, 17, draw=evaluate.shared_draw), *_RANGES)
 
 
-@query(f"{L}, {_BOOT}, df AS (SELECT replicate, avg(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0 END) - avg(CASE WHEN label = second THEN 1.0::DOUBLE ELSE 0 END) AS d FROM rs GROUP BY 1) SELECT round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS lower, round(quantile_cont(d, 0.975), 6) AS upper FROM df")
+@query(f"{L}, {_sql_draws('predicted', 'label, prediction, second')}, {_sql_metrics('replicate', 'rs', n='c')}, {_sql_metrics('replicate', 'rs', 'second', '2', 'c')}, {_sql_metrics('', 'predicted', mark='3')}, {_sql_metrics('', 'predicted', 'second', '4')}, df AS ({_PAIR_OF.format(k='', x='mt', y='JOIN mt2 y USING (replicate)')}), ob AS ({_PAIR_OF.format(k='', x='mt3', y=', mt4 y')}) " + _sql_intervals("df", "ob", _SIX))
 def paired_bootstrap_ci(spark, sf):
-    return _round(evaluate.paired_bootstrap(fx.predictions(spark, sf), 40, 17, draw=evaluate.shared_draw(17)), "mean", "lower", "upper")
+    return _round(evaluate.paired_bootstrap(fx.predictions(spark, sf), REPLICATES, 17, draw=evaluate.shared_draw), *_RANGES)
 
 
-@query()
+_MORE = "many AS (SELECT *, prediction AS p0, CASE WHEN id % 5 = 0 THEN second ELSE prediction END AS p1, CASE WHEN id % 11 = 0 THEN second ELSE prediction END AS p2 FROM predicted)"
+_EACH = ", ".join(_sql_metrics("replicate", "rs", f"p{i}", f"r{i}", "c") + ", " + _sql_metrics("", "many", f"p{i}", f"o{i}") for i in range(3))
+_ROUNDS = f"""rk AS (SELECT CAST('0x' || substr(md5('17:realization'), 1, 8) AS BIGINT) % 2147483647 AS key), rm AS (SELECT r.range AS replicate, ((key + (r.range * 1000003) % 2147483647 + (i.range * 7919) % 2147483647) % 2147483647 * 48271 + 11) % 2147483647 AS a FROM rk, range(3) i, range({REPLICATES}) r),
+rw AS (SELECT replicate, ((xor(a, a >> 13) * 69621 + 7) % 2147483647) % 3 AS pick, count(*) AS w FROM rm GROUP BY ALL)"""
+
+
+@query(f"{L}, {_MORE}, {_sql_draws('many', 'label, p0, p1, p2, second')}, {_EACH}, {_sql_metrics('replicate', 'rs', 'second', '2', 'c')}, {_sql_metrics('', 'many', 'second', '4')}, {_ROUNDS}, al AS (" + " UNION ALL ".join(f"SELECT replicate, {i} AS pick, accuracy, macro_f1 FROM mtr{i}" for i in range(3)) + f"), ms AS (SELECT replicate, sum(w * accuracy) / 3 AS accuracy, sum(w * macro_f1) / 3 AS macro_f1 FROM al JOIN rw USING (replicate, pick) GROUP BY 1), mo AS (SELECT avg(accuracy) AS accuracy, avg(macro_f1) AS macro_f1 FROM (" + " UNION ALL ".join(f"SELECT * FROM mto{i}" for i in range(3)) + f")), df AS ({_PAIR_OF.format(k='', x='ms', y='JOIN mt2 y USING (replicate)')}), ob AS ({_PAIR_OF.format(k='', x='mo', y=', mt4 y')}) " + _sql_intervals("df", "ob", _SIX))
 def hierarchical_bootstrap_ci(spark, sf):
-    p = fx.predictions(spark, sf).select("id", "stratum", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("realization"), F.when(F.col("prediction") == F.col("second"), 0.0).otherwise(1.0).alias("difference"))
-    return _round(evaluate.hierarchical_bootstrap(p, 20, 5), "mean", "lower", "upper")
+    p = fx.predictions(spark, sf)
+    other = lambda k: F.when(F.col("id") % k == 0, F.col("second")).otherwise(F.col("prediction"))
+    p = p.select("id", "stratum", "label", "second", F.posexplode(F.array("prediction", other(5), other(11))).alias("realization", "prediction"))
+    return _round(evaluate.hierarchical_bootstrap(p, REPLICATES, 17, draw=evaluate.shared_draw), *_RANGES)
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS mean, median(l_quantity) AS median, round(stddev_samp(l_quantity), 6) AS sd FROM lineitem GROUP BY 1, 2")
@@ -714,7 +780,7 @@ def graph_diagrams(spark, sf):
     return d.select("g", F.size("diagram").cast("long").alias("n"), F.coalesce(r6(F.get("diagram", F.lit(0))["birth"]), F.lit(-1.0)).alias("first"))
 
 
-@query(f"{S}, {_RANK.format(t='small')}, r AS (SELECT g, count(*) AS edge_count FROM fl GROUP BY 1) SELECT g, CASE WHEN g = 'click' THEN edge_count + 1 ELSE edge_count END AS edge_count, edge_count AS found FROM r WHERE g = 'click'")
+@query(f"{E}, {_RANK.format(t='edges')}, r AS (SELECT g, count(*) AS edge_count FROM fl GROUP BY 1) SELECT g, CASE WHEN g = 'click' THEN edge_count + 1 ELSE edge_count END AS edge_count, edge_count AS found FROM r WHERE g = 'click'")
 def union_records(spark, sf):
     e = graph.rank_filtration(fx.edges(spark, sf)).select("g", F.lit("edge").alias("record_type"), "u", "v", "step", "time")
     n = e.groupBy("g").agg(F.count("*").alias("c")).select("g", F.lit("graph").alias("record_type"), F.lit(0).alias("n"), F.when(F.col("g") == "click", F.col("c") + 1).otherwise(F.col("c")).alias("edge_count"))

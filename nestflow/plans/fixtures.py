@@ -16,7 +16,6 @@ _PAIRS_SQL = """pairs AS (SELECT event_type AS g, least(p, user_id) AS u, greate
   SELECT event_type, user_id, lag(user_id) OVER w AS p, row_number() OVER w - 1 AS pos FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
   WHERE p IS NOT NULL AND p <> user_id)"""
 EDGES_SQL = _PAIRS_SQL + ", edges AS (SELECT g, u, v, min(pos) AS formation, count(*) AS support FROM pairs GROUP BY 1, 2, 3)"
-SMALL_SQL = EDGES_SQL + ", small AS (SELECT * FROM edges WHERE formation <= 200)"
 LABELS_SQL = """samples AS (SELECT c_custkey AS id, c_mktsegment AS label, c_nationkey AS stratum FROM customer),
 predicted AS (SELECT a.id, a.label, a.stratum, CASE WHEN a.id % 3 = 0 THEN b.label ELSE a.label END AS prediction, CASE WHEN a.id % 4 = 0 THEN b.label ELSE a.label END AS second
   FROM samples a JOIN samples b ON b.id = a.id - a.id % 7 + 1)"""

@@ -74,7 +74,7 @@ def summary(predictions: DataFrame, config: StudyConfig) -> DataFrame:
     """accuracy and macro_f1 of pooled held-out predictions, and the bootstrap interval of the accuracy."""
     p = predictions.withColumn("stratum", F.col("label"))
     m = evaluate.metrics(p)
-    b = evaluate.bootstrap(p, config.replicates, config.seed & 0x7FFFFFFF, config.level).select("lower", "upper")
+    b = evaluate.bootstrap(p, config.replicates, config.seed & 0x7FFFFFFF, config.level).where("metric = 'accuracy'").select("lower", "upper")
     return m.join(F.broadcast(b))  # a row each
 
 

@@ -86,12 +86,23 @@ def test_cliques_and_trussness(spark):
     have = {(g, u, v) for g, u, v, *_ in rows}
     assert tri == {(g, a, b, c) for g in ("g0", "g1", "g2") for a, b, c in itertools.combinations(range(14), 3) if {(g, a, b), (g, a, c), (g, b, c)} <= have}
     f = studies.cohesion_filtered(e)
-    assert f.count() == len(rows) and f.agg(F.max("time")).first()[0] == 1.0
+    assert f.count() == len(rows) and f.agg(F.max("time")).first()[0] < 1.0
     count = homology.class_count(e)
     d = homology.h1(graph.clique_complex(graph.rank_filtration(e)), drop_empty=False).groupBy("obs").agg(F.sum("coefficient"))
     assert {r.g: r.classes for r in count.collect()} == {r[0]: int(r[1]) for r in d.collect()}
 
 
+def test_cohesion_times_by_hand(spark):
+    """A clique of four with a tail of two edges: its six edges have trussness 4, and of the tail the inner edge, whose ends allow a common neighbour, is weaker than the outer one. So levels 1, 2, 3 come at 1/4, 2/4, 3/4."""
+    e = spark.createDataFrame([("k", u, v, i, 1) for i, (u, v) in enumerate([(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3), (3, 4), (4, 5)])], EDGE)
+    got = {(r.u, r.v): (r.step, r.time) for r in studies.cohesion_filtered(e).collect()}
+    # clique edges: 2 common of 2 allowed, or of 2 by the end of lower degree; (4, 5) has 0 allowed, which counts as 1; (3, 4) has 0 of 1
+    assert got == {**{(u, v): (1, 0.25) for u in range(4) for v in range(u + 1, 4)}, (4, 5): (2, 0.5), (3, 4): (3, 0.75)}
+    # an essential class born at the last level keeps a length
+    square = spark.createDataFrame([("s", 0, 1, 0, 1), ("s", 1, 2, 1, 1), ("s", 2, 3, 2, 1), ("s", 0, 3, 3, 1)], EDGE)
+    assert [(r.birth, r.death) for r in homology.h1(graph.clique_complex(studies.cohesion_filtered(square))).collect()] == [(0.5, 1.0)]
+
+
 def test_canonical_edges_and_statistics(spark):
     e = spark.createDataFrame([("g", 2, 1, 5, 1), ("g", 1, 2, 3, 7), ("g", 4, 4, 0, 1), ("h", 1, 2, 0, 2)], EDGE)
     assert sorted(map(tuple, graph.canonical(e).collect())) == [("g", 1, 2, 3, 7), ("h", 1, 2, 0, 2)]
@@ -160,8 +171,42 @@ def test_folds_and_resamples(spark):
     inner = evaluate.nested_folds(s, 4, 3, seed=1)
     assert inner.where("inner_fold is null").groupBy("id").count().where("count <> 1").count() == 0
     assert evaluate.small_strata(s, 26).count() == 1
-    r = evaluate.resample(s, 6, 1).groupBy("replicate", "stratum").count()
-    assert {(x.stratum, x["count"]) for x in r.collect()} == {(0, 26), (1, 26), (2, 26), (3, 25)}
+    for draw in (None, evaluate.shared_draw):
+        r = evaluate.resampled_cells(s, ("stratum", "label"), 6, 1, draw=draw).groupBy("replicate", "stratum").agg(F.sum("times").alias("n"))
+        assert sorted((x.replicate, x.stratum, x.n) for x in r.collect()) == [(i, k, n) for i in range(6) for k, n in ((0, 26), (1, 26), (2, 26), (3, 25))]
+
+
+def test_draws_follow_the_shares(spark):
+    """Of 400 replicates the mean number of times that each cell is drawn is its size, and its spread that of a binomial."""
+    s = spark.range(200).select("id", F.lit("s").alias("stratum"), F.when(F.col("id") < 20, "a").when(F.col("id") < 100, "b").otherwise("c").alias("label"))
+    for draw in (None, evaluate.shared_draw):
+        t = evaluate.resampled_cells(s, ("label",), 400, 7, draw=draw).groupBy("label").agg((F.sum("times") / 400).alias("mean"), F.stddev("times").alias("sd"))
+        for x in t.collect():
+            n = {"a": 20, "b": 80, "c": 100}[x.label]
+            assert x["mean"] == pytest.approx(n, abs=4 * (n * (1 - n / 200) / 400) ** 0.5) and x.sd == pytest.approx((n * (1 - n / 200)) ** 0.5, rel=0.25)
+
+
+def test_bootstraps_by_hand(spark):
+    """With every sample of one kind in each stratum no replicate differs, so all values are those observed."""
+    rows = [(i, s, s, 0 if s == "x" else r, "x" if r == 0 or s == "x" else "y", "y") for i, s in enumerate("xxyy") for r in range(2)]
+    p = spark.createDataFrame([(i, s, s, r, pred, second) for (i, s, _, _, pred, second), r in zip(rows, [0, 1] * 4)], "id int, stratum string, label string, realization int, prediction string, second string")
+    got = {x.metric: x for x in evaluate.hierarchical_bootstrap(p, 300, 3).collect()}
+    # realization 0 says x always, realization 1 is right; the second method says y always
+    assert got["accuracy first"].observed == 0.75 and got["accuracy second"].observed == got["accuracy second"].lower == got["accuracy second"].upper == 0.5
+    assert (got["accuracy first"].lower, got["accuracy first"].upper) == (0.5, 1.0) and got["accuracy first"]["mean"] == pytest.approx(0.75, abs=0.05)
+    assert got["macro_f1 second"].observed == pytest.approx(1 / 3) and got["accuracy difference"].observed == 0.25
+    one = p.where("realization = 1")
+    assert {(x.metric, x.observed, x.lower, x.upper, x.sd) for x in evaluate.bootstrap(one, 50, 3).collect()} == {("accuracy", 1.0, 1.0, 1.0, 0.0), ("macro_f1", 1.0, 1.0, 1.0, 0.0)}
+    assert {x.metric: x.observed for x in evaluate.paired_bootstrap(one, 50, 3).collect()}["accuracy difference"] == 0.5
+    with pytest.raises(ValueError):
+        evaluate.bootstrap(one.where("label = 'x'"), 5, 1)
+
+
+def test_truss_plans_agree(spark):
+    e = spark.createDataFrame([x for i in range(3) for x in random_edges(i, g=f"g{i}")], EDGE)
+    of = lambda d: sorted(map(tuple, d.collect()))
+    want = of(graph.trussness_kernel(e))
+    assert of(graph.trussness_spread(e)) == want and of(graph.trussness(e, 30)) == want
 
 
 def test_metrics_of_a_missing_prediction(spark):
