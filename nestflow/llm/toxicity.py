@@ -1,12 +1,17 @@
 """Toxicity scores: gradient-boosted trees over dense features of a text, calibrated by isotonic regression.
 
 Features: densities of a fixed list of insults and of a lexicon of words and word beginnings learnt from labelled texts, second-person
-words near such hits, capitals, punctuation, and rates of obfuscated spelling. Texts are read where they lie; the driver sees
+words near such hits, capitals, punctuation, and rates of obfuscated spelling. Texts are read where they lie; the driver sees the lexicon,
 counts and feature rows of at most ``SAMPLE`` labelled documents. A label belongs to a doc_id; of several, the highest counts. Of the
 sample one part makes the lexicon, one the trees, one the calibration.
 
-Defined results: a null text is an empty one, and empty texts are scored as well; rows without an id or a label are not learnt from but
-scored; repeated rows get equal scores. Without both classes among the labels every score is the share of toxic ones.
+Defined results
+* nulls: a null text is an empty one; rows without an id or a label are not learnt from but scored, and a null id is held out.
+* empty and very long texts: empty texts are scored as well; a text of any length is read whole.
+* ties: of several labels of an id the highest counts; of entries of equal weight all are in the lexicon.
+* repeated rows: each is learnt from if its id is in the sample, and gets a row with an equal score.
+* empty tables: without documents the result is empty; without both classes among the labels every score is the share of toxic ones.
+* extra columns: ``report`` reads doc_id and text alone; ``reject`` hands all columns on, whatever their names.
 """
 from __future__ import annotations
 
@@ -19,13 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_batches
+from .common import fresh, text_batches
 from .tokens import slices, split_tokens
 
 #: Labelled rows learnt from, at most; the rows with the least hashes of their ids.
 SAMPLE = 20_000
-#: Entries of the learnt lexicon, at most.
-LEXICON = 6_000
+#: Log-odds from which a word or a beginning belongs to the lexicon; the sample bounds their number.
+ODDS = 1.5
 SEED_WORDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "hate", "kill", "ugly")
 SECOND_PERSON = ("you", "your", "yours", "u", "ur", "du", "dein", "deine", "dich", "dir", "ihr", "tu", "te", "ton", "ta", "tes", "toi", "vous", "votre", "usted", "tú", "ti", "tus")
 EDGES = ".,;:!?\"'()[]{}<>«»¡¿-_*#~`"
@@ -115,8 +120,8 @@ def features(texts: pa.Array, words: dict[str, float], stems: dict[str, float])
     take = lambda v: _sums(v[code].astype(float), size)
     w_hits, s_hits, hits = take(word_w > 0), take(stem_w > 0), take(hit)
     return np.column_stack([
-        np.log1p(size), take(seed) / n, w_hits / n, np.log1p(w_hits), _sums(word_w[code], size, np.maximum), np.minimum(take(word_w), 40), s_hits / n, np.log1p(s_hits),
-        _sums(stem_w[code], size, np.maximum), np.minimum(take(stem_w), 40), _sums(near.astype(float), size) / np.maximum(hits, 1), take(you) / n,
+        np.log1p(size), take(seed) / n, w_hits / n, np.log1p(w_hits), _sums(word_w[code], size, np.maximum), take(word_w), s_hits / n, np.log1p(s_hits),
+        _sums(stem_w[code], size, np.maximum), take(stem_w), _sums(near.astype(float), size) / np.maximum(hits, 1), take(you) / n,
         letters[:, 0] / total, letters[:, 2] / n, letters[:, 3] / n, take(odd) / n, take(bare > 0), take(drawn) / n,
     ])
 
@@ -222,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     least = max(2, a[1] // 500)
     seen = rows.where("part < 10").select("text", "y").mapInArrow(keys, "k string, neg long, pos long").groupBy("k").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     odds = F.log((F.col("pos") + 0.5) / (a[1] + 1)) - F.log((F.col("neg") + 0.5) / (a[0] + 1))
-    top = seen.where(F.col("pos") >= least).select("k", odds.alias("w")).where("w > 1.5").orderBy(F.desc("w"), "k").limit(LEXICON).collect()
+    top = seen.where(F.col("pos") >= least).select("k", odds.alias("w")).where(F.col("w") > ODDS).collect()
     words = {r["k"][1:]: r["w"] for r in top if r["k"][0] == "="}
     stems = {r["k"][1:]: r["w"] for r in top if r["k"][0] == "^"}
 
@@ -247,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return dataclasses.replace(raw, knots=isotonic(raw.score(x[rest]), y[rest]))
 
 
-def add_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "__score") -> DataFrame:
+def add_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with the score as one more column."""
     text_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
@@ -267,9 +272,10 @@ def add_score(docs: DataFrame, model: Model, text_col: str = "text", name: str =
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     scored = add_score(docs.select("doc_id", "text"), train(docs, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
     """docs without those that score ``at`` or more."""
-    return add_score(docs, train(docs, labels)).where(F.col("__score") < at).select(*docs.columns)
+    name = fresh(docs, "score")
+    return add_score(docs, train(docs, labels), name=name).where(F.col(name) < at).select(*docs.columns)

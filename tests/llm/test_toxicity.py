@@ -62,3 +62,27 @@ def test_isotonic_fit_rises():
     p = rng.random(500)
     x, v = toxicity.isotonic(p, (rng.random(500) < p).astype(float))
     assert (np.diff(v) >= 0).all() and (np.diff(x) >= 0).all() and abs(np.interp(0.5, x, v) - 0.5) < 0.15
+
+
+def test_more_labels_than_the_sample(spark):
+    """Beyond the bound the labels with the least hashes are learnt from, and every text is scored."""
+    table, mark = corpus(1500)
+    df = spark.createDataFrame(table, DOCS)
+    got = toxicity.add_score(df, toxicity.train(df, labels(spark, mark), sample=600)).collect()
+    truth = {i: y for i, _, y in mark}
+    assert len(got) == 1500 and np.mean([(r.score >= 0.5) == truth[r.doc_id] for r in got if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]) > 0.9
+
+
+def test_trees_against_a_walk():
+    rng = np.random.default_rng(2)
+    x, y = rng.random((400, 4)), (rng.random(400) < 0.5).astype(float)
+    trees, base = toxicity.boost(x, y, rounds=5)
+    m = toxicity.Model({}, {}, trees, base, (np.zeros(0), np.zeros(0)))
+    for row, got in zip(x, m.score(x), strict=True):
+        z = base
+        for feature, cut, leaf in trees:
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + int(row[feature[node]] > cut[node])
+            z += leaf[node - len(feature)]
+        assert abs(got - 1 / (1 + math.exp(-z))) < 1e-12
