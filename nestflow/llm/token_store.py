@@ -5,8 +5,13 @@ row (ascends in the files' order), n_tokens, ids (list of int). Ids are dictiona
 ``encoding="delta"``, DELTA_BINARY_PACKED. Pages hold ``page_rows`` rows at most and row groups ``row_group_mb``; column and offset
 indexes are written, so a reader of a range of ids fetches only those pages, and one of metadata never touches the lists.
 
-Defined results: a null text is encoded as an empty one, that is, as the end id alone. Rows that share an id are ordered by a hash
-of the text; a null doc_id comes first. Special-token strings in a text are ordinary text.
+Defined results
+* nulls: a null text is encoded as an empty one; a null doc_id comes first.
+* empty and very long texts: an empty text is the end id alone; a text of any length is encoded whole, and is one row.
+* ties: rows that share an id are ordered by a hash of the text.
+* repeated rows: each is written; equal rows stand side by side.
+* an empty table gives files without rows, and an empty result.
+* extra columns: only doc_id and text are read, so others may have any name. Special-token strings in a text are ordinary text.
 """
 from __future__ import annotations
 
@@ -203,8 +208,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, encoding:
     """Encodes docs and writes the files under path. Texts are dealt out by ranges of ids before they are encoded."""
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding {encoding!r}")
-    d = docs.select("doc_id", "text")
-    d = d.repartitionByRange(partitions, "doc_id") if partitions else d.repartitionByRange("doc_id")
+    d, keys = docs.select("doc_id", "text"), ["doc_id"]
+    if d.where("doc_id is null").limit(1).count():  # rows without an id are dealt out by hashes of their texts
+        keys.append(F.xxhash64("text"))
+    d = d.repartitionByRange(partitions, *keys) if partitions else d.repartitionByRange(*keys)
     e = encode(d.sortWithinPartitions("doc_id", F.xxhash64("text")), tokenizer, end_id)
     e = e.select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "n_tokens", "ids")
     e.write.options(**{

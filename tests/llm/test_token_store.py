@@ -57,3 +57,28 @@ def test_files(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,100)" in plan and "ids" not in plan.split("ReadSchema")[-1]
     with pytest.raises(ValueError):
         token_store.write(df, out, PATH, encoding="other")
+
+
+@pytest.mark.parametrize("encoding, want", [("delta", "DELTA_BINARY_PACKED"), ("dictionary", "RLE_DICTIONARY")])
+def test_encoding_of_pages(spark, tmp_path, encoding, want):
+    out = tmp_path / "t"
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the same few words "), F.col("id") % 7).alias("text"))
+    token_store.write(df, str(out), PATH, encoding=encoding, partitions=1, page_rows=200)
+    (file,) = out.glob("*.parquet")
+    group = pq.ParquetFile(file).metadata.row_group(0)
+    columns = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+    ids = next(c for k, c in columns.items() if k.startswith("ids"))
+    assert want in ids.encodings and all(c.has_offset_index and c.has_column_index for c in columns.values())
+
+
+def test_rows_without_id_are_dealt_out(spark, tmp_path):
+    table = [(None, f"text {i} of many", "", "", 0) for i in range(300)] + [(i, "with an id", "", "", 0) for i in range(30)]
+    d = docs(spark, table)
+    out = tmp_path / "t"
+    token_store.write(d, str(out), PATH, partitions=4)
+    holding = [f for f in out.glob("*.parquet") if pq.read_table(f, columns=["doc_id"])["doc_id"].null_count]
+    assert len(holding) > 1
+    got = token_store.round_trip(d, PATH, partitions=4).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.start) for r in got)[299:301][0][0] is False and len({r.start for r in got}) == 330
+    ends = sorted((r.start, r.start + r.n_tokens) for r in got)
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
