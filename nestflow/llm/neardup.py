@@ -302,9 +302,9 @@ def grouped(docs: DataFrame, width: int, percent: int, ws: Workspace, id_col: st
         links = ws.keep(link_blocks(met, percent, MISS))
     labels = merge_components(ws, labels, few_links.unionByName(links))
     ws.drop(buckets, sets, at, big, few_links, links)
-    tops = reps.join(labels, "v", "left").select("key", "least", F.coalesce("c", "v").alias("c"))
-    names = tops.groupBy("c").agg(F.min("least").alias("component"))
-    tops = tops.join(names, "c").select("key", "c", "component")
+    tops = reps.join(labels, "v", "left").select("key", "least", "c", F.coalesce("c", "v").alias("own"))
+    names = ws.small(ws.keep(tops.where("c is not null").groupBy(F.col("c").alias("own")).agg(F.min("least").alias("component"))))
+    tops = tops.join(names, "own", "left").select("key", F.col("own").alias("c"), F.coalesce("component", "least").alias("component"))
     out = s.join(tops, "key", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
