@@ -38,7 +38,7 @@ UNSAFE = f"{_WHITE} {_WHITE}"
 #: Marks at the end of a word, and the letters behind which the tokenizer surely cuts them off.
 MARKS, LETTER = ".,!?;:", "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]$"
 #: Texts that are encoded at a time, in bytes.
-CHUNK = 8_000_000
+CHUNK = 4_000_000
 
 
 class Pieces:
