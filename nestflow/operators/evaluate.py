@@ -78,6 +78,13 @@ def bags(samples: DataFrame, size: int, key: str = "id", seed: int | None = None
     return b.where("bag < _n").select(key, "label", "bag")
 
 
+def need_bags(samples: DataFrame, size: int) -> DataFrame:
+    """samples, or an error if a class has too few for one bag."""
+    if few := [r["label"] for r in samples.groupBy("label").count().where(F.col("count") < size).limit(5).collect()]:
+        raise ValueError(f"classes without a bag of {size}: {few}")
+    return samples
+
+
 def bag_means(bagged: DataFrame, features: DataFrame, key: str = "id") -> DataFrame:
     return bagged.join(features, key).groupBy("label", "bag", "idx").agg(F.avg("value").alias("value"))
 

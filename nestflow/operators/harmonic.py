@@ -143,8 +143,9 @@ def with_empty(features: DataFrame, observations: DataFrame, spec: list[tuple])
 
 
 def batch_mean(features: DataFrame, members: DataFrame) -> DataFrame:
-    """batch, idx, re, im: means over a batch's observations, empty diagrams among them."""
-    return members.select("batch", "obs").join(features, "obs").groupBy("batch", "idx").agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
+    """batch, idx, re, im: means over a batch's observations, empty diagrams among them, for which ``with_empty`` puts zeros. An observation without features, and so a batch without any, is an error."""
+    idx = F.coalesce("idx", F.raise_error(F.lit("an observation of a batch has no features")).cast("int"))
+    return members.select("batch", "obs").join(features, "obs", "left").groupBy("batch", idx.alias("idx")).agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
 
 
 def vectors(features: DataFrame, key: str = "obs") -> DataFrame:
@@ -173,21 +174,62 @@ def no_order(atoms: DataFrame, spec: list[tuple]) -> DataFrame:
     return g.select("obs", "idx", F.when(pair, F.col("x") ** 2 + F.col("y") ** 2 - F.col("q")).otherwise(F.col("x")).alias("re"), F.when(pair, F.lit(0.0)).otherwise(F.col("y")).alias("im"))
 
 
-def cross_observation(atoms: DataFrame, partner: DataFrame, spec: list[tuple]) -> DataFrame:
-    """obs, idx, re, im with relationship coordinates between an observation's intervals (sources) and its partner's (targets).
+def cyclic_partners(members: DataFrame) -> DataFrame:
+    """(batch, obs, other): in each batch of (batch, obs) the next observation, after the last the first; a batch of one has no derangement and is left out."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("batch")
+    m = members.select("batch", "obs").distinct().withColumn("n", F.count("*").over(w))
+    return m.where("n > 1").select("batch", "obs", F.coalesce(F.lead("obs").over(w.orderBy("obs")), F.min("obs").over(w)).alias("other"))
+
+
+def cross_sums(sources: tuple, targets: tuple, spec: list[tuple]) -> list[complex]:
+    """Relationship features between (birth, death, c) of sources and of targets: one sweep over both, targets before sources that equal them, so equal intervals do not count."""
+    (sb, sd, sc), (tb, td, tc) = sources, targets
+    birth, death = np.concatenate([tb, sb]), np.concatenate([td, sd])
+    out = []
+    for _, family, w0, w1 in spec:
+        cs, ct = (sc * (sd - sb), tc * (td - tb)) if family.startswith("weighted") else (sc, tc)
+        z = cs * np.exp(-1j * (w0 * sb + w1 * sd))
+        inside = later_sums(birth, death, np.concatenate([np.zeros(len(tb), complex), z])[:, None])[: len(tb), 0]
+        z = ct * np.exp(1j * (w0 * tb + w1 * td)) * inside
+        out.append(complex(math.fsum(z.real), math.fsum(z.imag)))
+    return out
+
 
-    partner: (obs, other), a permutation without fixed points. Pairs of equal intervals do not count.
+def cross_observation(atoms: DataFrame, partner: DataFrame, spec: list[tuple], most: int = KERNEL_MOST) -> DataFrame:
+    """obs, idx, re, im with relationship coordinates between an observation's intervals (sources) and its partner's (targets); 0 where no pair nests.
+
+    partner: (obs, other), a permutation without fixed points. Pairs of equal intervals do not count. Two observations of up to ``most`` intervals together are swept in one task; of larger ones the pairs are joined.
     """
     spark = atoms.sparkSession
     own = [s for s in spec if "relationship" not in s[1]]
     pairs = [s for s in spec if "relationship" in s[1]]
-    out = _join(atoms, own) if own else None
-    targets = partner.join(atoms.select(F.col("obs").alias("other"), "birth", "death", "coefficient"), "other").select("obs", "birth", "death", "coefficient")
-    f = F.broadcast(spec_frame(spark, pairs))
-    c = F.col("s_coefficient") * F.col("t_coefficient")
-    c = F.when(F.col("family").startswith("weighted"), c * (F.col("s_death") - F.col("s_birth")) * (F.col("t_death") - F.col("t_birth"))).otherwise(c)
-    arg = F.col("w0") * (F.col("t_birth") - F.col("s_birth")) + F.col("w1") * (F.col("t_death") - F.col("s_death"))
-    z = nested_pairs(atoms, targets).join(f).groupBy("obs", "idx").agg(F.sum(c * F.cos(arg)).alias("re"), F.sum(c * F.sin(arg)).alias("im"))
+    atoms = atoms.select("obs", "birth", "death", "coefficient")
+    out = _join(atoms.join(partner.select("obs"), "obs", "left_semi"), own) if own else None
+    if not pairs:
+        return out
+    sources = atoms.join(partner.select("obs"), "obs", "left_semi")
+    targets = partner.select("obs", "other").join(atoms.withColumnRenamed("obs", "other"), "other").select("obs", "birth", "death", "coefficient")
+    both = sources.withColumn("target", F.lit(False)).unionByName(targets.withColumn("target", F.lit(True)))
+    large = both.groupBy("obs").count().where(F.col("count") > most).select("obs")
+    kind = atoms.schema["obs"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = lambda d: tuple(d[c].to_numpy(float) for c in ("birth", "death", "coefficient"))
+        z = cross_sums(side(pdf[~pdf["target"]]), side(pdf[pdf["target"]]), pairs)
+        return pd.DataFrame({"obs": pdf["obs"].iloc[0], "idx": [s[0] for s in pairs], "re": [x.real for x in z], "im": [x.imag for x in z]})
+
+    schema = f"obs {kind}, idx int, re double, im double"
+    if large.limit(1).count():
+        c = F.col("s_coefficient") * F.col("t_coefficient")
+        c = F.when(F.col("family").startswith("weighted"), c * (F.col("s_death") - F.col("s_birth")) * (F.col("t_death") - F.col("t_birth"))).otherwise(c)
+        arg = F.col("w0") * (F.col("t_birth") - F.col("s_birth")) + F.col("w1") * (F.col("t_death") - F.col("s_death"))
+        joined = nested_pairs(sources.join(large, "obs", "left_semi"), targets.join(large, "obs", "left_semi")).join(F.broadcast(spec_frame(spark, pairs)))
+        z = with_empty(joined.groupBy("obs", "idx").agg(F.sum(c * F.cos(arg)).alias("re"), F.sum(c * F.sin(arg)).alias("im")), large, pairs)
+        z = both.join(large, "obs", "left_anti").groupBy("obs").applyInPandas(run, schema).unionByName(z)
+    else:
+        z = both.groupBy("obs").applyInPandas(run, schema)
     return z if out is None else out.unionByName(z)
 
 

@@ -13,7 +13,7 @@ from ..functions import expressions as X
 from ..functions import seeds
 from ..functions.expressions import r6
 from ..operators import diagrams, evaluate, generate, graph, harmonic, homology, perturb, quality, sample, svm, transport, vectorize
-from ..sources import tables
+from ..sources import tables, tu
 from . import fixtures as fx
 from . import studies
 from .config import StudyConfig
@@ -209,13 +209,24 @@ def ablation_no_preorder(spark, sf):
 _CROSS = [s for s in SPEC if s[1] in ("linear", "mass", "relationship", "relationship_mass")]
 
 
-@query(f"""{A}, {_values(_CROSS)}, o AS (SELECT DISTINCT obs FROM atoms), m AS (SELECT obs, coalesce(lead(obs) OVER (ORDER BY obs), min(obs) OVER ()) AS other FROM o),
-f AS ({_OWN} UNION ALL SELECT m.obs, idx, sum({_PCOEF} * cos({_PARG})), sum({_PCOEF} * sin({_PARG})) FROM m JOIN atoms s ON s.obs = m.obs JOIN atoms t ON t.obs = m.other AND {_NESTED}, spec WHERE family LIKE '%relationship%' GROUP BY m.obs, idx) {_OUT}""")
+_CROSS_SQL = f"own AS ({_OWN}), crossed AS (SELECT m.obs, idx, sum({_PCOEF} * cos({_PARG})) AS re, sum({_PCOEF} * sin({_PARG})) AS im FROM m JOIN atoms s ON s.obs = m.obs JOIN atoms t ON t.obs = m.other AND {_NESTED}, spec WHERE family LIKE '%relationship%' GROUP BY m.obs, idx), f AS (SELECT own.* FROM own SEMI JOIN m USING (obs) UNION ALL SELECT m.obs, spec.idx, coalesce(re, 0), coalesce(im, 0) FROM m CROSS JOIN spec LEFT JOIN crossed ON crossed.obs = m.obs AND crossed.idx = spec.idx WHERE family LIKE '%relationship%')"
+
+
+@query(f"{A}, {_values(_CROSS)}, o AS (SELECT DISTINCT obs FROM atoms), m AS (SELECT obs, coalesce(lead(obs) OVER (ORDER BY obs), min(obs) OVER ()) AS other FROM o), {_CROSS_SQL} {_OUT}")
 def ablation_cross_observation(spark, sf):
     a = fx.atoms(spark, sf)
     return _round(harmonic.cross_observation(a, _partners(a), _CROSS), "re", "im")
 
 
+@query(f"{B}, {_values(_CROSS)}, o AS (SELECT batch, obs, count(*) OVER (PARTITION BY batch) AS n FROM batches SEMI JOIN atoms USING (obs)), m AS (SELECT batch, obs, coalesce(lead(obs) OVER (PARTITION BY batch ORDER BY obs), min(obs) OVER (PARTITION BY batch)) AS other FROM o WHERE n > 1), {_CROSS_SQL} SELECT batch, CAST(idx AS INT) AS idx, round(avg(re), 6) + 0.0 AS re, round(avg(im), 6) + 0.0 AS im FROM m JOIN f USING (obs) GROUP BY 1, 2")
+def ablation_cross_batch(spark, sf):
+    """Partners within a batch, and the batch's mean."""
+    a = fx.atoms(spark, sf)
+    members = fx.batches(spark, sf).join(a.select("obs").distinct(), "obs", "left_semi")
+    m = harmonic.cyclic_partners(members)
+    return _round(harmonic.batch_mean(harmonic.cross_observation(a, m.select("obs", "other"), _CROSS), m.select("batch", "obs")), "re", "im")
+
+
 def _partners(a: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
@@ -426,18 +437,25 @@ def w1_pd1(spark, sf):
     return _round(transport.diagram_distance(a, _partners(a).select(F.col("obs").alias("first"), F.col("other").alias("second"))), "w1")
 
 
+def _small_diagrams(spark, sf):
+    """Diagrams of the nations' graphs, whole; two passes of levels give them classes of several lengths."""
+    _, e = _local(spark, sf)
+    return homology.h1(graph.clique_complex(e))
+
+
 @query()
 def w1_pd2(spark, sf):
-    p = diagrams.second_order(diagrams.prune(fx.atoms(spark, sf), 0.49)).where("left_death > 0.52")
-    between = _partners(p).select(F.col("obs").alias("first"), F.col("other").alias("second"))
-    return _round(transport.pair_diagram_distance(p, between), "w1")
+    """Distances between the second-order diagrams of the nations' graphs, each with the next."""
+    a = _small_diagrams(spark, sf)
+    return _round(transport.pair_diagram_distance(diagrams.second_order(a), _partners(a).select(F.col("obs").alias("first"), F.col("other").alias("second"))), "w1")
 
 
 @query()
 def w1_signed_pairs(spark, sf):
-    a = diagrams.prune(fx.atoms(spark, sf), 0.48)
-    p = diagrams.second_order(a).where("abs(left_birth - right_birth) < 0.02")
-    return _round(transport.signed_distance(p.withColumn("coefficient", F.when(F.col("left_death") > 0.52, -F.col("coefficient")).otherwise(F.col("coefficient")))), "w1")
+    """Signed second-order diagrams of the nations' graphs: pairs of a long outer interval count against the others."""
+    p = diagrams.second_order(_small_diagrams(spark, sf))
+    sign = F.when(F.col("right_death") - F.col("right_birth") > 0.5, -F.col("coefficient")).otherwise(F.col("coefficient"))
+    return _round(transport.signed_distance(p.withColumn("coefficient", sign)), "w1")
 
 
 # ---- perturbations
@@ -738,11 +756,49 @@ def kernel_svm(spark, sf):
     return svm.cross_validate(evaluate.stratified_folds(e, 4).drop("stratum"))
 
 
+_STUDIED = {m: {k: float(v) for k, v in _MODELS[m].items()} for m in ("watts_strogatz", "block_model", "chung_lu")}
+_STUDY = StudyConfig(vertices=30, edges=60, graphs_per_class=12, characters=8, features=24, outer_folds=3, inner_folds=2, costs=(1.0, 10.0), replicates=1000, resolution=8, image_size=(5, 5))
+_RATES = ("accuracy", "macro_f1", "lower", "upper")
+
+
 @query()
 def classification_study(spark, sf):
     """Graphs of three models, told apart by four kinds of vectors with nested cross-validation."""
-    c = StudyConfig(vertices=30, edges=60, graphs_per_class=12, characters=8, features=24, outer_folds=3, inner_folds=2, costs=(1.0, 10.0), replicates=50, resolution=8, image_size=(5, 5))
-    return _round(studies.synthetic_study(spark, {m: {k: float(v) for k, v in _MODELS[m].items()} for m in ("watts_strogatz", "block_model", "chung_lu")}, c), "accuracy", "macro_f1", "lower", "upper")
+    return _round(studies.synthetic_study(spark, _STUDIED, _STUDY), *_RATES)
+
+
+@query()
+def ablation_study(spark, sf):
+    return _round(studies.ablation_study(spark, _STUDIED, _STUDY), *_RATES)
+
+
+@query()
+def batch_size_study(spark, sf):
+    return _round(studies.batch_size_study(spark, _STUDIED, _STUDY), *_RATES)
+
+
+@query()
+def character_study(spark, sf):
+    return _round(studies.character_study(spark, _STUDIED, _STUDY, (8, 16, 24)), *_RATES)
+
+
+@query()
+def robustness_study(spark, sf):
+    return _round(studies.robustness_study(spark, _STUDIED, _STUDY), *_RANGES)
+
+
+@query()
+def collection_study(spark, sf):
+    """The graphs of three models, written as a text collection and read again."""
+    folder = tables.scratch(spark, "collection")
+    edges, members = studies.sample_graphs(spark, _STUDIED, _STUDY)
+    edges = edges.persist()
+    label = F.array_position(F.array(*[F.lit(m) for m in sorted(_STUDIED)]), F.col("label")).cast("int")
+    v = graph.vertices(edges).select("g", "v")
+    tu.write(members.select(F.col("obs").alias("g"), label.alias("label")), v, edges.select("g", "u", "v", F.col("step").alias("formation")), folder, "MODELS")
+    edges.unpersist()
+    got = tu.read(spark, folder, "MODELS", strict=True)
+    return _round(studies.collection_study(got["graphs"], got["edges"], _STUDY), *_RATES)
 
 
 @query("WITH w AS (SELECT o_custkey % 20 AS g, o_orderkey AS i, o_totalprice AS w FROM orders), e AS (SELECT g, i, sum(w) OVER (PARTITION BY g ORDER BY i) / sum(w) OVER (PARTITION BY g) AS at FROM w), d AS (SELECT c_custkey AS draw, c_custkey % 20 AS g, (c_custkey * 37 % 101) / 101.0::DOUBLE AS u FROM customer) SELECT d.g, draw, round(u, 6) AS u, min(i) AS i FROM d JOIN e ON e.g = d.g AND d.u < e.at GROUP BY 1, 2, 3")
@@ -787,6 +843,44 @@ def union_records(spark, sf):
     return tables.union_violations(n.unionByName(e, allowMissingColumns=True))
 
 
+_TU = """gr AS (SELECT g, row_number() OVER (ORDER BY g) AS number, length(g) AS label FROM (SELECT DISTINCT g FROM edges)),
+vx AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) - 1 AS local FROM (SELECT g, u AS v FROM edges UNION SELECT g, v FROM edges))"""
+
+
+def _collection(spark, sf):
+    """The events' graphs as a text collection, read again."""
+    e, folder = fx.edges(spark, sf), tables.scratch(spark, "collection")
+    tu.write(e.select("g").distinct().withColumn("label", F.length("g")), graph.vertices(e), e.select("g", "u", "v", "formation"), folder, "EVENTS")
+    return tu.read(spark, folder, "EVENTS", strict=True)
+
+
+@query(f"{E}, {_TU} SELECT CAST(number AS BIGINT) AS g, label::INT AS label, count(*) AS n FROM gr JOIN vx USING (g) GROUP BY 1, 2")
+def collection_graphs(spark, sf):
+    return _collection(spark, sf)["graphs"]
+
+
+@query(f"{E}, {_TU} SELECT CAST(number AS INT) AS g, CAST(least(a.local, b.local) AS INT) AS u, CAST(greatest(a.local, b.local) AS INT) AS v, CAST(2 * (row_number() OVER (ORDER BY number, formation) - 1) + 1 AS BIGINT) AS formation FROM edges JOIN gr USING (g) JOIN vx a ON a.g = edges.g AND a.v = edges.u JOIN vx b ON b.g = edges.g AND b.v = edges.v")
+def collection_edges(spark, sf):
+    return _collection(spark, sf)["edges"].select("g", "u", "v", "formation")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus || '\"' || chr(10) || ',' AS note, round(o_totalprice, 2) + 0.0 AS price FROM orders")
+def csv_round_trip(spark, sf):
+    """Quotes, commas and line breaks; a third of the rows is written first, the rest by a run that resumes."""
+    o = fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.concat("o_orderstatus", F.lit('"\n,')).alias("note"), (F.round("o_totalprice", 2) + F.lit(0.0)).alias("price"))
+    path = tables.scratch(spark, "csv")
+    tables.append_csv(o.where("o_orderkey % 3 = 0"), path, "o_orderkey")
+    tables.append_csv(o, path, "o_orderkey")
+    return tables.read_csv(spark, path, o.schema)
+
+
+@query("SELECT CAST(3 AS INT) AS schema_version, s_nationkey, s_suppkey, CAST(row_number() OVER (ORDER BY s_nationkey, s_suppkey) - 1 AS INT) AS place FROM supplier")
+def result_round_trip(spark, sf):
+    path = tables.scratch(spark, "result")
+    tables.write_result(fx.table(spark, sf, "supplier").select("s_nationkey", "s_suppkey"), path, 3, "s_nationkey", "s_suppkey")
+    return tables.ranked(spark.read.parquet(path), "s_nationkey", "s_suppkey")
+
+
 # ---- quality
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seeds
 from ..functions.seeds import derive_seed
-from ..operators import evaluate, generate, graph, harmonic, homology, svm, vectorize
+from ..operators import evaluate, generate, graph, harmonic, homology, perturb, svm, vectorize
 from .config import StudyConfig
 
 
@@ -78,16 +78,142 @@ def summary(predictions: DataFrame, config: StudyConfig) -> DataFrame:
     return m.join(F.broadcast(b))  # a row each
 
 
-def synthetic_study(spark: SparkSession, models: dict[str, dict[str, float]], config: StudyConfig) -> DataFrame:
-    """method, accuracy, macro_f1, lower, upper: can graphs of the models be told apart by their vectors?"""
+def sample_graphs(spark: SparkSession, models: dict[str, dict[str, float]], config: StudyConfig, graphs: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(edges with steps and times, members): the graphs of all models, and (batch, obs, label): ``graphs_per_class`` batches of each model of ``graphs`` graphs each."""
     asks = None
     for i, (model, params) in enumerate(models.items()):
-        r = requests(spark, model, config.vertices, config.edges, params, config.graphs_per_class, config.seed + i)
+        r = requests(spark, model, config.vertices, config.edges, params, config.graphs_per_class * graphs, config.seed + i)
         asks = r if asks is None else asks.unionByName(r)
-    edges = graph.rank_filtration(generate.generate(asks)).persist()
-    labels = asks.select(F.col("g").alias("id"), F.col("model").alias("label"))
+    number = F.regexp_extract("g", "([0-9]+)$", 1).cast("int")
+    members = asks.select(F.concat_ws("/", "model", F.floor(number / graphs)).alias("batch"), F.col("g").alias("obs"), F.col("model").alias("label"))
+    return graph.rank_filtration(generate.generate(asks)), members
+
+
+def _spec(config: StudyConfig) -> list[tuple]:
+    return seeds.feature_spec(seeds.character_bank(config.characters, config.seed), config.features)
+
+
+def batch_features(atoms: DataFrame, members: DataFrame, spec: list[tuple]) -> DataFrame:
+    """obs, idx, re, im of every member's diagram; zeros for empty ones."""
+    return harmonic.with_empty(harmonic.coordinates(atoms, spec, "kernel"), members, spec)
+
+
+def _labels(members: DataFrame) -> DataFrame:
+    return members.select(F.col("batch").alias("id"), "label").distinct()
+
+
+def _evaluated(means: DataFrame, members: DataFrame, config: StudyConfig) -> DataFrame:
+    """Predictions from (batch, idx, re, im)."""
+    v = harmonic.vectors(means, "batch").withColumnRenamed("batch", "obs")
+    return evaluate_vectors(v, _labels(members), config)
+
+
+def _named(parts: dict, name: str) -> DataFrame:
+    out = None
+    for key, df in parts.items():
+        one = df.select(F.lit(key).alias(name), *df.columns)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def synthetic_study(spark: SparkSession, models: dict[str, dict[str, float]], config: StudyConfig) -> DataFrame:
+    """method, accuracy, macro_f1, lower, upper: can graphs of the models be told apart by their vectors?"""
+    edges, members = sample_graphs(spark, models, config)
+    labels = members.select(F.col("obs").alias("id"), "label")
+    return _named({m: summary(evaluate_vectors(v, labels, config), config) for m, v in graph_vectors(edges.persist(), config).items()}, "method")
+
+
+def ablation_study(spark: SparkSession, models: dict[str, dict[str, float]], config: StudyConfig, graphs: int = 2) -> DataFrame:
+    """method, accuracy, macro_f1, lower, upper of batches of graphs: all coordinates; the linear ones alone; relationships without their order; relationships with another diagram of the batch."""
+    edges, members = sample_graphs(spark, models, config, graphs)
+    atoms, spec = homology.h1(graph.clique_complex(edges)).persist(), _spec(config)
+    linear = seeds.linear_spec(seeds.character_bank(config.characters, config.seed), config.features)
+    fill = lambda z, f: harmonic.with_empty(z, members, f)
+    kinds = {
+        "full": batch_features(atoms, members, spec), "linear": fill(harmonic.coordinates(atoms, linear), linear), "no preorder": fill(harmonic.no_order(atoms, spec), spec),
+        "cross observation": fill(harmonic.cross_observation(atoms, harmonic.cyclic_partners(members).select("obs", "other"), spec), spec),
+    }
+    return _named({k: summary(_evaluated(harmonic.batch_mean(z, members), members, config), config) for k, z in kinds.items()}, "method")
+
+
+def batch_size_study(spark: SparkSession, models: dict[str, dict[str, float]], config: StudyConfig, sizes: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
+    """size, accuracy, macro_f1, lower, upper: means over the first graphs of each batch; coordinates are made once."""
+    edges, members = sample_graphs(spark, models, config, max(sizes))
+    z = harmonic.by_prefix(batch_features(homology.h1(graph.clique_complex(edges)), members, _spec(config)), members, list(sizes)).persist()
+    return _named({n: summary(_evaluated(z.where(F.col("size") == n).drop("size"), members, config), config) for n in sizes}, "size")
+
+
+def character_study(spark: SparkSession, models: dict[str, dict[str, float]], config: StudyConfig, counts: tuple[int, ...] = (4, 8, 16), graphs: int = 2) -> DataFrame:
+    """features, accuracy, macro_f1, lower, upper for several numbers of features and as many characters; smaller banks are beginnings of the largest."""
+    edges, members = sample_graphs(spark, models, config, graphs)
+    atoms, bank = homology.h1(graph.clique_complex(edges)).persist(), seeds.character_bank(max(counts), config.seed)
+    z = {n: batch_features(atoms, members, seeds.feature_spec(bank[:n], n)) for n in counts}
+    return _named({n: summary(_evaluated(harmonic.batch_mean(x, members), members, config), config) for n, x in z.items()}, "features")
+
+
+def perturbed(edges: DataFrame, pairs: DataFrame, kind: str, severity: float, seed: int) -> DataFrame:
+    """Filtered graphs (g, u, v, time) after one of the four perturbations."""
+    e, key = edges.select("g", "u", "v", "step", "time"), perturb.draw(seed, "g", "u", "v")
+    if kind == "deletion":
+        return perturb.delete_edges(e, severity, key).select("g", "u", "v", "time")
+    if kind == "insertion":
+        return perturb.insert_edges(e.drop("step"), pairs, severity, key, perturb.draw(seed + 1, "g", "u", "v")).select("g", "u", "v", "time")
+    if kind == "swap":
+        return perturb.swap_edges(e, severity, seed).select("g", "u", "v", "time")
+    if kind == "noise":
+        return perturb.jitter(e, severity, perturb.normal(seed, "g", "u", "v")).select("g", "u", "v", "time")
+    raise ValueError(f"perturbation {kind!r}")
+
+
+def robustness_study(spark: SparkSession, models: dict[str, dict[str, float]], config: StudyConfig, kinds: tuple[str, ...] = ("deletion", "insertion", "swap", "noise"), severities: tuple[float, ...] = (0.1,), realizations: int = 2, graphs: int = 2) -> DataFrame:
+    """perturbation, severity, and for each metric observed, mean, sd, lower, upper: of classification on perturbed graphs (first), on the graphs as they are (second) and of the difference.
+
+    Each realization is learnt and tested on its own perturbed graphs, in the folds of the unperturbed study; intervals are hierarchical.
+    """
+    edges, members = sample_graphs(spark, models, config, graphs)
+    edges, spec = edges.persist(), _spec(config)
+    every = graph.dyads(members.select(F.col("obs").alias("g"), F.lit(config.vertices).alias("n")))
+
+    def predictions(e: DataFrame) -> DataFrame:
+        z = batch_features(homology.h1(graph.clique_complex(e)), members, spec)
+        return _evaluated(harmonic.batch_mean(z, members), members, config).select("id", "label", "prediction")
+
+    base = predictions(edges.select("g", "u", "v", "time")).withColumnRenamed("prediction", "second").persist()
+    out = None
+    for kind in kinds:
+        for severity in severities:
+            rows = None
+            for r in range(realizations):
+                seed = derive_seed(config.seed, seeds.DOMAINS["robustness"], (kinds.index(kind), int(severity * 1000), r)) & 0x7FFFFFFF
+                p = predictions(perturbed(edges, every, kind, severity, seed)).withColumn("realization", F.lit(r))
+                rows = p if rows is None else rows.unionByName(p)
+            rows = rows.join(base.select("id", "second"), "id").withColumn("stratum", F.col("label")).persist()
+            one = evaluate.hierarchical_bootstrap(rows, config.replicates, config.seed & 0x7FFFFFFF, config.level)
+            one = one.select(F.lit(kind).alias("perturbation"), F.lit(float(severity)).alias("severity"), *one.columns)
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def collection_study(graphs: DataFrame, edges: DataFrame, config: StudyConfig, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """size, method, accuracy, macro_f1, lower, upper of labelled graphs (g, label) and their edges (g, u, v, ..): edges come by clique cohesion, vectors are means over bags of graphs of one class.
+
+    The other method says the commonest class of the training bags. A class without a bag is an error.
+    """
+    samples = graphs.select(F.col("g").alias("id"), "label")
+    atoms, spec = homology.h1(graph.clique_complex(cohesion_filtered(edges))), _spec(config)
+    z = harmonic.with_empty(harmonic.coordinates(atoms, spec, "kernel"), samples.select(F.col("id").alias("obs")), spec).persist()
     out = None
-    for method, v in graph_vectors(edges, config).items():
-        s = summary(evaluate_vectors(v, labels, config), config).withColumn("method", F.lit(method))
-        out = s if out is None else out.unionByName(s)
-    return out.select("method", "accuracy", "macro_f1", "lower", "upper")
+    for size in sizes:
+        b = evaluate.bags(evaluate.need_bags(samples, size), size, seed=config.seed & 0x7FFFFFFF)
+        members = b.select(F.concat_ws("/", "label", "bag").alias("batch"), F.col("id").alias("obs"), "label").persist()
+        p = _evaluated(harmonic.batch_mean(z, members), members, config)
+        n = p.groupBy("outer_fold", "label").count()
+        # bags that are not held out in a fold are learnt from there
+        folds = p.select("outer_fold").distinct().withColumnRenamed("outer_fold", "held")
+        learnt = folds.join(F.broadcast(n), F.col("held") != F.col("outer_fold")).groupBy("held", "label").agg(F.sum("count").alias("count"))
+        common = learnt.groupBy("held").agg(F.min(F.struct((-F.col("count")).alias("n"), "label")).alias("x")).select("held", F.col("x.label").alias("prediction"))
+        m = p.drop("prediction").join(F.broadcast(common), F.col("held") == F.col("outer_fold"))
+        for method, x in (("harmonic", p), ("majority", m)):
+            one = summary(x.select("id", "label", "prediction"), config).withColumn("method", F.lit(method)).withColumn("size", F.lit(size))
+            out = one if out is None else out.unionByName(one)
+    return out.select("size", "method", "accuracy", "macro_f1", "lower", "upper")

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,6 +28,45 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*plain).write.csv(path, header=True, quote='"', escape='"', mode="overwrite")
 
 
+def append_csv(df: DataFrame, path: str, *keys: str) -> DataFrame:
+    """Adds to a CSV folder those rows of df whose keys it does not hold yet, and returns them; a folder without its success marker counts as empty and is written anew.
+
+    So a run that was stopped can be started again: what it had committed stays, and nothing is written twice.
+    """
+    spark = df.sparkSession
+    if not complete(spark, path):
+        write_csv(df, path)
+        return df
+    have = spark.read.csv(path, schema=df.schema, header=True, quote='"', escape='"', mode="FAILFAST", multiLine=True)
+    new = df.join(have.select(*keys).distinct(), list(keys), "left_anti").select(*df.columns)
+    new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.persist()  # the folder that it is read against changes
+    new.write.csv(path, header=True, quote='"', escape='"', mode="append")
+    return new
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a folder of files holds its success marker."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
+def incomplete_tails(spark: SparkSession, path: str) -> DataFrame:
+    """path of each text file that does not end in a newline or has an odd number of quotes: its last record was cut off."""
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return t.where((F.col("value") != "") & (~F.endswith("value", F.lit("\n")) | (quotes % 2 == 1))).select("path")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the driver and all executors share; a temporary one only in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="nestflow-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def without_keys(df: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
     """The rows whose key is not among the others."""
     return df.join(gone.select(*keys).distinct(), list(keys), "left_anti")

@@ -1,37 +1,58 @@
 """Collections of labelled graphs as text: NAME_A.txt (u, v), NAME_graph_indicator.txt (graph of each vertex), NAME_graph_labels.txt.
 
-Line numbers are the ids, so each file gets its line numbers once, by zipWithIndex; it adds a count per partition to a place within it and moves no rows.
+Line numbers are the ids. They come from counts of lines in each block of each file, and a line's place in its block; no row goes through Python.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import canonical
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 1), value."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    return spark.createDataFrame(rows, "line long, value string")
+    """line (from 1), value; files in the order of their names."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    blocks = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    # a row for each block of a file
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "start", (before - F.col("first") + 1).alias("shift"))
+    return rows.join(F.broadcast(blocks), ["file", "start"]).select((F.col("at") + F.col("shift")).alias("line"), "value")
 
 
-def read(spark: SparkSession, folder: str, name: str) -> dict[str, DataFrame]:
+def _integer(text: str) -> Column:
+    return F.expr(f"try_cast(trim({text}) as int)")
+
+
+def read(spark: SparkSession, folder: str, name: str, strict: bool = False) -> dict[str, DataFrame]:
     """graphs (g, label, n), vertices (vertex, g, local) and edges (g, u, v, formation); ids of graphs and vertices are from 1, local ones from 0.
 
-    Loops go, and of an edge that occurs in both directions the first stays.
+    Loops go, and of an edge that occurs in both directions the first stays. Lines that ``violations`` names are an error if ``strict``, and are left out otherwise.
     """
-    number = lambda c: F.expr(f"try_cast(trim({c}) as int)")
-    v = numbered_lines(spark, f"{folder}/{name}_graph_indicator.txt").select(F.col("line").alias("vertex"), number("value").alias("g"))
+    if strict and (bad := violations(spark, folder, name).limit(5).collect()):
+        raise ValueError(f"{folder}/{name}: {[tuple(r) for r in bad]}")
+    v = numbered_lines(spark, f"{folder}/{name}_graph_indicator.txt").select(F.col("line").alias("vertex"), _integer("value").alias("g")).where("g IS NOT NULL")
     v = v.withColumn("local", F.row_number().over(Window.partitionBy("g").orderBy("vertex")) - 1)
-    labels = numbered_lines(spark, f"{folder}/{name}_graph_labels.txt").select(F.col("line").alias("g"), number("value").alias("label"))
+    labels = numbered_lines(spark, f"{folder}/{name}_graph_labels.txt").select(F.col("line").alias("g"), _integer("value").alias("label"))
     graphs = labels.join(v.groupBy("g").agg(F.count("*").alias("n")), "g", "left").select("g", "label", F.coalesce("n", F.lit(0)).alias("n"))
-    cut = F.split("value", ",")
-    a = numbered_lines(spark, f"{folder}/{name}_A.txt").select(F.col("line").alias("formation"), F.expr("try_cast(trim(split(value, ',')[0]) as int)").alias("a"), F.expr("try_cast(trim(split(value, ',')[1]) as int)").alias("b"), F.size(cut).alias("parts"))
+    a = numbered_lines(spark, f"{folder}/{name}_A.txt").select(F.col("line").alias("formation"), _integer("get(split(value, ','), 0)").alias("a"), _integer("get(split(value, ','), 1)").alias("b"))
     e = a.join(v.select(F.col("vertex").alias("a"), "g", F.col("local").alias("u")), "a").join(v.select(F.col("vertex").alias("b"), F.col("g").alias("g2"), F.col("local").alias("v")), "b").where("g = g2")
     return {"graphs": graphs, "vertices": v, "edges": canonical(e.select("g", "u", "v", "formation"))}
 
 
+def write(graphs: DataFrame, vertices: DataFrame, edges: DataFrame, folder: str, name: str) -> None:
+    """The three files of graphs (g, label), vertices (g, v) and edges (g, u, v, formation), both directions of an edge one after the other. Graphs and vertices are numbered from 1 in order of g and v.
+
+    The form has one file for each table, so one task writes each.
+    """
+    g = graphs.select("g", "label", F.row_number().over(Window.orderBy("g")).alias("number"))
+    v = vertices.join(g, "g").select("g", "v", "number", F.row_number().over(Window.orderBy("number", "v")).alias("vertex"))
+    e = edges.join(v.select("g", F.col("v").alias("u"), F.col("vertex").alias("a"), "number"), ["g", "u"]).join(v.select("g", "v", F.col("vertex").alias("b")), ["g", "v"])
+    e = e.select("number", "formation", F.posexplode(F.array(F.concat_ws(", ", "a", "b"), F.concat_ws(", ", "b", "a"))).alias("k", "value"))
+    for part, table, order in (("graph_labels", g.select("number", F.col("label").cast("string").alias("value")), ["number"]), ("graph_indicator", v.select("vertex", F.col("number").cast("string").alias("value")), ["vertex"]), ("A", e, ["number", "formation", "value"])):
+        table.repartition(1).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(f"{folder}/{name}_{part}.txt")
+
+
 def violations(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """(file, line, why) of blank lines, lines of another form, unknown vertices and edges between graphs."""
     out = []

@@ -317,3 +317,71 @@ def test_weighted_pick_proportions(spark):
     w = spark.createDataFrame([(1, 0, 1.0), (1, 1, 0.0), (1, 2, 3.0)], "g int, i int, w double")
     d = spark.createDataFrame([(1, k, k / 8) for k in range(8)], "g int, draw long, u double")
     assert sorted((r.draw, r.i) for r in sample.weighted_pick(w, d).collect()) == [(k, 0 if k < 2 else 2) for k in range(8)]
+
+
+def test_swaps_as_if_all_were_listed_anew(spark):
+    """The kept list of admissible swaps gives the swaps that a new list before each would."""
+
+    rows = [("g", u, v, float(i % 4), 1) for i, (_, u, v, *_) in enumerate(random_edges(4))]
+    e = [(u, v) for _, u, v, *_ in sorted(rows, key=lambda r: (r[3], r[1], r[2]))]
+    have, t = set(e), seeds.Twister(11)
+    for _ in range(int(0.5 * len(e))):
+        fit = []
+        for i, j in itertools.combinations(range(len(e)), 2):
+            (a, b), (c, d) = e[i], e[j]
+            for x, y in (((a, c), (b, d)), ((a, d), (b, c))):
+                p, q = tuple(sorted(x)), tuple(sorted(y))
+                if len({a, b, c, d}) == 4 and p not in have and q not in have:
+                    fit.append((i, j, p, q))
+        if not fit:
+            break
+        i, j, p, q = fit[t.below(len(fit))]
+        have = have - {e[i], e[j]} | {p, q}
+        e[i], e[j] = p, q
+    got = perturb.swap_edges(spark.createDataFrame([(g, u, v, x) for g, u, v, x, _ in rows], "g string, u long, v long, time double"), 0.5, 11)
+    assert {(r.u, r.v) for r in got.collect()} == have
+
+
+def test_text_collections(spark, tmp_path):
+    """Numbers of lines over several blocks of a file, and lines that a strict reader refuses."""
+
+    (tmp_path / "N_x.txt").write_text("\n".join(f"line {i}" for i in range(1, 5001)) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        d = tu.numbered_lines(spark, str(tmp_path / "N_x.txt"))
+        assert d.where("value <> concat('line ', line)").count() == 0 and d.count() == 5000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for part, text in (("A", "1, 2\n2, 1\n3\n1, 4\n"), ("graph_indicator", "1\n1\n2\n2\n"), ("graph_labels", "7\n8\n")):
+        (tmp_path / f"T_{part}.txt").write_text(text)
+    assert [tuple(r) for r in tu.read(spark, str(tmp_path), "T")["edges"].select("g", "u", "v", "formation").collect()] == [(1, 0, 1, 1)]
+    with pytest.raises(ValueError):
+        tu.read(spark, str(tmp_path), "T", strict=True)
+
+
+def test_resumed_and_cut_csv(spark, tmp_path):
+
+    df = spark.createDataFrame([(i, f'a "{i}", b\nc') for i in range(20)], "k int, x string")
+    path = str(tmp_path / "out")
+    assert tables.append_csv(df.where("k < 7"), path, "k").count() == 7
+    assert tables.append_csv(df, path, "k").count() == 13 and tables.append_csv(df, path, "k").count() == 0
+    assert sorted(map(tuple, tables.read_csv(spark, path, df.schema).collect())) == sorted(map(tuple, df.collect()))
+    for name, text in (("whole", "k,x\n1,a\n"), ("cut", 'k,x\n1,"a'), ("short", "k,x\n1")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    assert sorted(r.path.split("/")[-1] for r in tables.incomplete_tails(spark, str(tmp_path) + "/*.csv").collect()) == ["cut.csv", "short.csv"]
+
+
+def test_partners_and_empty_batches(spark):
+    m = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 4)], "batch int, obs int")
+    assert sorted(map(tuple, harmonic.cyclic_partners(m).collect())) == [(1, 1, 2), (1, 2, 3), (1, 3, 1)]
+    atoms = spark.createDataFrame([(1, 0.0, 1.0, 2.0), (1, 0.2, 0.4, 1.0), (2, 0.1, 0.9, 3.0), (2, 0.2, 0.4, 1.0), (3, 5.0, 6.0, 1.0)], ATOM)
+    p, spec = harmonic.cyclic_partners(m).select("obs", "other"), [(0, "relationship_mass", 0.0, 0.0), (1, "weighted_relationship", 0.3, -0.7)]
+    got = {(r.obs, r.idx): r.re for r in harmonic.cross_observation(atoms, p, spec).collect()}
+    # of 1 only (.2, .4) lies inside one of 2, and is equal to the other; 2 has none in 3, 3 none in 1
+    assert (got[1, 0], got[2, 0], got[3, 0]) == (3.0, 0.0, 0.0)
+    big = {(r.obs, r.idx): r.re for r in harmonic.cross_observation(atoms, p, spec, most=0).collect()}
+    assert big == {k: pytest.approx(v, abs=1e-12) for k, v in got.items()}
+    z = harmonic.coordinates(atoms, spec)
+    with pytest.raises(Exception, match="no features"):
+        harmonic.batch_mean(z, m).collect()
