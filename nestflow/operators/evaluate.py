@@ -140,12 +140,13 @@ def resampled_cells(samples: DataFrame, cells: tuple[str, ...], replicates: int,
         sizes = [np.array(v) for v in where.values()]
 
         def run(batches):
-            for b in batches:
-                for r in b.column(0).to_pylist():
+            at = np.concatenate([c[:, 0] for c in sizes])
+            for b in (batch.slice(i, 100) for batch in batches for i in range(0, batch.num_rows, 100)):
+                which, n = b.column(0).to_numpy(), []
+                for r in which.tolist():
                     rng = np.random.Generator(np.random.Philox(key=[seed & 0xFFFFFFFFFFFFFFFF, r]))
-                    n = [rng.multinomial(int(c[:, 1].sum()), c[:, 1] / c[:, 1].sum()) for c in sizes]
-                    at, n = np.concatenate([c[:, 0] for c in sizes]), np.concatenate(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r)), pa.array(at.astype(np.int32)), pa.array(n)], names=["replicate", "_i", "times"])
+                    n += [rng.multinomial(int(c[:, 1].sum()), c[:, 1] / c[:, 1].sum()) for c in sizes]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(which, len(at))), pa.array(np.tile(at, len(which)).astype(np.int32)), pa.array(np.concatenate(n))], names=["replicate", "_i", "times"])
 
         drawn = every.mapInArrow(run, "replicate long, _i int, times long") if rows else every.where("false").select("replicate", F.lit(0).alias("_i"), F.lit(0).cast("long").alias("times"))
         return drawn.where("times > 0").join(F.broadcast(table), "_i").select("replicate", *cells, "times")

@@ -39,9 +39,9 @@ def key_differences(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
 
 
 def domain_differences(df: DataFrame, axes: list[DataFrame]) -> DataFrame:
-    """columns, why: combinations of the axes' values that df lacks, and those it has beyond them. The axes are short lists."""
+    """columns, why: combinations of the axes' values that df lacks, and those it has beyond them."""
     want = axes[0].distinct()
     for a in axes[1:]:
-        want = want.join(F.broadcast(a.distinct()))
+        want = want.crossJoin(a.distinct())  # the combinations are what is asked for
     have = df.select(*want.columns).distinct()
     return want.exceptAll(have).withColumn("why", F.lit("missing")).unionByName(have.exceptAll(want).withColumn("why", F.lit("extra")))

@@ -792,11 +792,9 @@ def collection_study(spark, sf):
     """The graphs of three models, written as a text collection and read again."""
     folder = tables.scratch(spark, "collection")
     edges, members = studies.sample_graphs(spark, _STUDIED, _STUDY)
-    edges = edges.persist()
     label = F.array_position(F.array(*[F.lit(m) for m in sorted(_STUDIED)]), F.col("label")).cast("int")
     v = graph.vertices(edges).select("g", "v")
     tu.write(members.select(F.col("obs").alias("g"), label.alias("label")), v, edges.select("g", "u", "v", F.col("step").alias("formation")), folder, "MODELS")
-    edges.unpersist()
     got = tu.read(spark, folder, "MODELS", strict=True)
     return _round(studies.collection_study(got["graphs"], got["edges"], _STUDY), *_RATES)
 

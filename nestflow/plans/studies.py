@@ -72,7 +72,7 @@ def evaluate_vectors(vectors: DataFrame, labels: DataFrame, config: StudyConfig)
 
 def summary(predictions: DataFrame, config: StudyConfig) -> DataFrame:
     """accuracy and macro_f1 of pooled held-out predictions, and the bootstrap interval of the accuracy."""
-    p = predictions.withColumn("stratum", F.col("label"))
+    p = predictions.withColumn("stratum", F.col("label")).persist()  # read once for the metrics and once for the draws
     m = evaluate.metrics(p)
     b = evaluate.bootstrap(p, config.replicates, config.seed & 0x7FFFFFFF, config.level).where("metric = 'accuracy'").select("lower", "upper")
     return m.join(F.broadcast(b))  # a row each
@@ -85,8 +85,9 @@ def sample_graphs(spark: SparkSession, models: dict[str, dict[str, float]], conf
         r = requests(spark, model, config.vertices, config.edges, params, config.graphs_per_class * graphs, config.seed + i)
         asks = r if asks is None else asks.unionByName(r)
     number = F.regexp_extract("g", "([0-9]+)$", 1).cast("int")
+    edges = graph.rank_filtration(generate.generate(asks)).persist()
     members = asks.select(F.concat_ws("/", "model", F.floor(number / graphs)).alias("batch"), F.col("g").alias("obs"), F.col("model").alias("label"))
-    return graph.rank_filtration(generate.generate(asks)), members
+    return edges, members
 
 
 def _spec(config: StudyConfig) -> list[tuple]:
@@ -120,7 +121,7 @@ def synthetic_study(spark: SparkSession, models: dict[str, dict[str, float]], co
     """method, accuracy, macro_f1, lower, upper: can graphs of the models be told apart by their vectors?"""
     edges, members = sample_graphs(spark, models, config)
     labels = members.select(F.col("obs").alias("id"), "label")
-    return _named({m: summary(evaluate_vectors(v, labels, config), config) for m, v in graph_vectors(edges.persist(), config).items()}, "method")
+    return _named({m: summary(evaluate_vectors(v, labels, config), config) for m, v in graph_vectors(edges, config).items()}, "method")
 
 
 def ablation_study(spark: SparkSession, models: dict[str, dict[str, float]], config: StudyConfig, graphs: int = 2) -> DataFrame:
@@ -139,7 +140,8 @@ def ablation_study(spark: SparkSession, models: dict[str, dict[str, float]], con
 def batch_size_study(spark: SparkSession, models: dict[str, dict[str, float]], config: StudyConfig, sizes: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
     """size, accuracy, macro_f1, lower, upper: means over the first graphs of each batch; coordinates are made once."""
     edges, members = sample_graphs(spark, models, config, max(sizes))
-    z = harmonic.by_prefix(batch_features(homology.h1(graph.clique_complex(edges)), members, _spec(config)), members, list(sizes)).persist()
+    z = batch_features(homology.h1(graph.clique_complex(edges)), members, _spec(config)).persist()
+    z = harmonic.by_prefix(z, members, list(sizes)).persist()
     return _named({n: summary(_evaluated(z.where(F.col("size") == n).drop("size"), members, config), config) for n in sizes}, "size")
 
 
@@ -171,7 +173,7 @@ def robustness_study(spark: SparkSession, models: dict[str, dict[str, float]], c
     Each realization is learnt and tested on its own perturbed graphs, in the folds of the unperturbed study; intervals are hierarchical.
     """
     edges, members = sample_graphs(spark, models, config, graphs)
-    edges, spec = edges.persist(), _spec(config)
+    spec = _spec(config)
     every = graph.dyads(members.select(F.col("obs").alias("g"), F.lit(config.vertices).alias("n")))
 
     def predictions(e: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.harmonic import spec_frame
+from ..operators.harmonic import later_sums, spec_frame
 
 
 def masses(stream: DataFrame, window: str = "10 minutes", late: str = "5 minutes") -> DataFrame:
@@ -33,28 +33,30 @@ def linear(stream: DataFrame, spec: list[tuple], window: str = "10 minutes", lat
 
 
 def relationship_mass(stream: DataFrame, late: str = "5 minutes") -> DataFrame:
-    """obs, support, relationship_mass: a row each time intervals of an observation arrive; its state goes when the watermark passes its last one."""
+    """obs, support, relationship_mass: a row each time intervals of an observation arrive; its state goes when the watermark passes its last one.
+
+    State holds each different interval once, with the sum of its coefficients; a trigger sweeps them once, however many rows it brings.
+    """
     kind = stream.schema["obs"].dataType.simpleString()
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        b, d, c, total = (list(x) if isinstance(x, (list, tuple, np.ndarray)) else x for x in state.get) if state.exists else ([], [], [], 0.0)
-        last = state.getCurrentWatermarkMs()
+        old = state.get if state.exists else ([], [], [], 0)
+        b, d, c = ([np.asarray(x, float)] for x in old[:3])
+        support, last = int(old[3]), state.getCurrentWatermarkMs()
         for pdf in batches:
             last = max(last, int(pdf["ts"].max().value // 1_000_000))
-            for x, y, w in zip(pdf["birth"], pdf["death"], pdf["coefficient"], strict=True):
-                p, q, r = np.array(b, float), np.array(d, float), np.array(c, float)
-                other = (p != x) | (q != y)
-                inside = (p <= x) & (y <= q) | (x <= p) & (q <= y)
-                total += float(w * r[other & inside].sum())
-                b.append(float(x))
-                d.append(float(y))
-                c.append(float(w))
-        state.update((b, d, c, total))
+            support += len(pdf)
+            for have, name in ((b, "birth"), (d, "death"), (c, "coefficient")):
+                have.append(pdf[name].to_numpy(float))
+        at, which = np.unique(np.column_stack([np.concatenate(b), np.concatenate(d)]), axis=0, return_inverse=True)
+        sums = np.bincount(which.ravel(), np.concatenate(c), len(at))
+        total = float((sums * later_sums(at[:, 0], at[:, 1], sums[:, None])[:, 0]).sum())
+        state.update((at[:, 0].tolist(), at[:, 1].tolist(), sums.tolist(), support))
         state.setTimeoutTimestamp(last + 1)
-        yield pd.DataFrame({"obs": [key[0]], "support": [len(b)], "relationship_mass": [total]})
+        yield pd.DataFrame({"obs": [key[0]], "support": [support], "relationship_mass": [total]})
 
-    state = "b array<double>, d array<double>, c array<double>, total double"
+    state = "b array<double>, d array<double>, c array<double>, support long"
     return stream.withWatermark("ts", late).groupBy("obs").applyInPandasWithState(run, f"obs {kind}, support long, relationship_mass double", state, "update", GroupStateTimeout.EventTimeTimeout)

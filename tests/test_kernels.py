@@ -134,3 +134,20 @@ def test_machine_separates_rings():
     y = np.arange(120) % 2
     assert (svm.fit_predict(x[:80], y[:80], x[80:], 10.0) == y[80:]).mean() > 0.95
     assert (svm.fit_predict(x[:10], np.ones(10), x[:3]) == 1).all()
+
+
+def test_derived_and_named_seeds():
+    """Chains worked out step by step from the finaliser and the fixed values of the format."""
+    import hashlib
+
+    mix, m = seeds.splitmix64, (1 << 64) - 1
+    assert mix(1234567) == 6457827717110365317  # first value of the public generator from this state
+    state = mix(mix(42) ^ seeds.DOMAINS["robustness"])
+    assert seeds.derive_seed(42, seeds.DOMAINS["robustness"]) == mix(state ^ mix(0xD1B54A32D192ED03))
+    for at, c in enumerate((3, 7), 1):
+        state = mix(state ^ mix(c ^ (0x9E3779B97F4A7C15 * at & m)))
+    assert seeds.derive_seed(42, seeds.DOMAINS["robustness"], (3, 7)) == mix(state ^ mix(2 ^ 0xD1B54A32D192ED03))
+    assert seeds.derive_seed(42, seeds.DOMAINS["robustness"], (3, 7)) != seeds.derive_seed(42, seeds.DOMAINS["robustness"], (7, 3))
+    raw = (2).to_bytes(8, "big") + b"ab" + (1).to_bytes(8, "big") + b"c"
+    assert seeds.named_seed("ab", "c") == int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big") % 2**32
+    assert seeds.named_seed("ab", "c") != seeds.named_seed("a", "bc") and seeds.signed(2**64 - 1) == -1
