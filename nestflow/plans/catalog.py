@@ -782,23 +782,6 @@ def character_study(spark, sf):
     return _round(studies.character_study(spark, _STUDIED, _STUDY, (8, 16, 24)), *_RATES)
 
 
-@query()
-def robustness_study(spark, sf):
-    return _round(studies.robustness_study(spark, _STUDIED, _STUDY), *_RANGES)
-
-
-@query()
-def collection_study(spark, sf):
-    """The graphs of three models, written as a text collection and read again."""
-    folder = tables.scratch(spark, "collection")
-    edges, members = studies.sample_graphs(spark, _STUDIED, _STUDY)
-    label = F.array_position(F.array(*[F.lit(m) for m in sorted(_STUDIED)]), F.col("label")).cast("int")
-    v = graph.vertices(edges).select("g", "v")
-    tu.write(members.select(F.col("obs").alias("g"), label.alias("label")), v, edges.select("g", "u", "v", F.col("step").alias("formation")), folder, "MODELS")
-    got = tu.read(spark, folder, "MODELS", strict=True)
-    return _round(studies.collection_study(got["graphs"], got["edges"], _STUDY), *_RATES)
-
-
 @query("WITH w AS (SELECT o_custkey % 20 AS g, o_orderkey AS i, o_totalprice AS w FROM orders), e AS (SELECT g, i, sum(w) OVER (PARTITION BY g ORDER BY i) / sum(w) OVER (PARTITION BY g) AS at FROM w), d AS (SELECT c_custkey AS draw, c_custkey % 20 AS g, (c_custkey * 37 % 101) / 101.0::DOUBLE AS u FROM customer) SELECT d.g, draw, round(u, 6) AS u, min(i) AS i FROM d JOIN e ON e.g = d.g AND d.u < e.at GROUP BY 1, 2, 3")
 def weighted_pick(spark, sf):
     w = fx.table(spark, sf, "orders").select((F.col("o_custkey") % 20).alias("g"), F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("w"))

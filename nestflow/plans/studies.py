@@ -106,7 +106,7 @@ def _labels(members: DataFrame) -> DataFrame:
 def _evaluated(means: DataFrame, members: DataFrame, config: StudyConfig) -> DataFrame:
     """Predictions from (batch, idx, re, im)."""
     v = harmonic.vectors(means, "batch").withColumnRenamed("batch", "obs")
-    return evaluate_vectors(v, _labels(members), config)
+    return evaluate_vectors(v.persist(), _labels(members), config)
 
 
 def _named(parts: dict, name: str) -> DataFrame:
@@ -202,13 +202,14 @@ def collection_study(graphs: DataFrame, edges: DataFrame, config: StudyConfig, s
     The other method says the commonest class of the training bags. A class without a bag is an error.
     """
     samples = graphs.select(F.col("g").alias("id"), "label")
-    atoms, spec = homology.h1(graph.clique_complex(cohesion_filtered(edges))), _spec(config)
+    timed, spec = cohesion_filtered(edges.persist()).select("g", "u", "v", "time").persist(), _spec(config)
+    atoms = homology.h1(graph.clique_complex(timed))
     z = harmonic.with_empty(harmonic.coordinates(atoms, spec, "kernel"), samples.select(F.col("id").alias("obs")), spec).persist()
     out = None
     for size in sizes:
         b = evaluate.bags(evaluate.need_bags(samples, size), size, seed=config.seed & 0x7FFFFFFF)
         members = b.select(F.concat_ws("/", "label", "bag").alias("batch"), F.col("id").alias("obs"), "label").persist()
-        p = _evaluated(harmonic.batch_mean(z, members), members, config)
+        p = _evaluated(harmonic.batch_mean(z, members), members, config).persist()
         n = p.groupBy("outer_fold", "label").count()
         # bags that are not held out in a fold are learnt from there
         folds = p.select("outer_fold").distinct().withColumnRenamed("outer_fold", "held")
