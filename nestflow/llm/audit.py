@@ -32,6 +32,8 @@ FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 #: Bytes of texts that a task holds while copies meet where they are read.
 HELD = 32_000_000
+#: Bytes of texts that a partition behind the shuffle holds, about.
+ROUTED = 64_000_000
 #: Documents with a mask: all, good ones, toxic ones.
 KINDS = 3
 _CAPITALS, _MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
@@ -130,7 +132,8 @@ def meet_all(messages: Iterable) -> Iterator[tuple]:
 def marked(docs: DataFrame) -> DataFrame:
     """(doc_id, part, mask, n): for rows of docs the filters that they fail as bits, A the lowest; n rows that agree in all that."""
     spark = session_of(docs)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // ROUTED))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("source", F.lit("")), F.col("text")).rdd.mapPartitions(meet_early)
     routed = rows.repartitionAndSortWithinPartitions(partitions, lambda key: key % partitions)
     return spark.createDataFrame(routed.mapPartitions(meet_all), MARKED, verifySchema=False)
