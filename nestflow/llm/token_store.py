@@ -11,7 +11,7 @@ Defined results
 * ties: rows that share an id are ordered by a hash of the text.
 * repeated rows: each is written; equal rows stand side by side.
 * an empty table gives files without rows, and an empty result.
-* extra columns: only doc_id and text are read, so others may have any name. Special-token strings in a text are ordinary text.
+* extra columns: only doc_id and text are read, so others may have any name. A special token's string in a text is that token, as the library's plain call has it.
 """
 from __future__ import annotations
 
@@ -49,6 +49,8 @@ class Pieces:
         cut = spec.get("pre_tokenizer") or {}
         #: Whether the tokenizer cuts texts before single spaces, whatever stands around them.
         self.cuts = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
+        #: Strings that the tokenizer finds before it cuts a text; one that takes in space would change where it cuts.
+        self.cuts = self.cuts and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens") or [])
         self.row: dict[str, int] = {}
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         self.opens = np.array([(tok.id_to_token(i) or "").startswith("\u0120") for i in range(tok.get_vocab_size())])
@@ -180,7 +182,6 @@ def load_pieces(path: str) -> Pieces:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kept[path] = Pieces(tok, spec)

@@ -82,3 +82,14 @@ def test_rows_without_id_are_dealt_out(spark, tmp_path):
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.start) for r in got)[299:301][0][0] is False and len({r.start for r in got}) == 330
     ends = sorted((r.start, r.start + r.n_tokens) for r in got)
     assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_a_special_tokens_string_is_that_token(spark):
+    """Ids of the library's plain call, as it is without any flag."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(PATH)
+    table = [(i, t, "", "", 0) for i, t in enumerate(["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>!", " <|endoftext|> <|endoftext|>\n", "a  <|endoftext|>  b <|endof text|>", "\u00e9.<|endoftext|>. <|endoftext|>, y"])]
+    assert plain.encode(table[0][1], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    got = {r.doc_id: r.ids for r in token_store.encode(docs(spark, table), PATH).collect()}
+    assert got == {i: [*plain.encode(t, add_special_tokens=False).ids, 0] for i, t, *_ in table}
