@@ -5,7 +5,8 @@ Each vector is cut into 4, 8, 16 ... equal segments, and of each segment the mea
     <q, v>  <=  sum over segments of  L * mean(q) * mean(v) + dev(q) * dev(v),
 
 which means for distances: |q - v|^2 is at least |q|^2 + |v|^2 less twice that. Coarse statistics are compared first, finer ones for the
-pairs that may still reach the k-th best score, and the exact product only for the pairs that outlive them all.
+pairs that may still reach the k-th best score, and the exact product only for the pairs that outlive them all. A level is made for those rows and columns of a block that still have such a pair, and pair by pair once few are left;
+where a level tells next to no pairs apart, exact products follow at once. ``multiplications`` tells what that takes, beside the components of all pairs.
 
 Vectors and queries are packed into blocks once. Blocks meet in the cells of a grid: a cell holds up to ``GROUP`` blocks of queries, and the blocks of vectors stream past them, so a task
 keeps the queries of one cell and one block of vectors. The score that a query has to beat starts from ``VECTORS`` vectors that all cells have compared before (those with the least hashes of their ids), and rises
@@ -32,13 +33,15 @@ from .common import Workspace, batch_rows, session_of
 VECTORS, QUERIES, GROUP = 4096, 1024, 8
 #: Blocks of vectors: one to a cell up to ``SPREAD`` of them, and ``STREAM`` at least beyond.
 SPREAD, STREAM = 64, 16
+#: Fewer than one pair in ``FEW`` of a block: products are made pair by pair. Fewer than one in ``TELLING`` told apart: finer levels are not tried.
+FEW, TELLING = 20, 10
 #: Products below this many units are exact in a double.
 _EXACT = 2.0**52
 
 
 def resolutions(dim: int) -> list[int]:
-    """Numbers of segments, coarse to fine: 4, 8, 16 ... as far as they divide the vectors."""
-    out = [k for k in (4, 8, 16, 32) if dim % k == 0 and dim // k >= 2]
+    """Numbers of segments, coarse to fine: 4, 8, 16 ... as far as they divide the vectors into segments of four, as a mean and a deviation of fewer say little for what they cost."""
+    out = [k for k in (4, 8, 16, 32) if dim % k == 0 and dim // k >= 4]
     return out or ([1] if dim else [])
 
 
@@ -56,31 +59,52 @@ class Best:
     def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.x, self.ids, self.k = queries, ids, k
         self.floor = np.full(len(ids), -np.inf) if floor is None else floor.copy()
-        self.levels = [statistics(queries, r) for r in resolutions(queries.shape[1])]
+        self.levels = resolutions(queries.shape[1])
+        self.stats = [statistics(queries, r) for r in self.levels]
         self.norm = np.sqrt((queries**2).sum(1))
         self.top: tuple = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object))
-        self.counts = np.zeros(len(self.levels) + 2, np.int64)
+        #: By level: pairs that are left behind it, multiplications made for it; before all, and exact products, come first and last.
+        self.counts, self.work = np.zeros(len(self.levels) + 2, np.int64), np.zeros(len(self.levels) + 2, np.int64)
 
-    def compare(self, vectors: np.ndarray, ids: np.ndarray, levels: list[np.ndarray]) -> None:
-        """Takes a block of vectors and its statistics into account."""
+    def _products(self, n: int, a: np.ndarray, b, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, products) of the live pairs of rows of a and of b, a function of rows; pair by pair if few of their rows and columns meet."""
+        i, j = np.nonzero(live)
+        rows, cols = np.nonzero(live.any(1))[0], np.nonzero(live.any(0))[0]
+        right = b(cols)
+        j_at = np.searchsorted(cols, j)
+        if FEW * len(i) > len(rows) * len(cols):
+            self.work[n] += len(rows) * len(cols) * a.shape[1]
+            return i, j, (a[rows] @ right.T)[np.searchsorted(rows, i), j_at]
+        self.work[n] += len(i) * a.shape[1]
+        step = 65_536
+        return i, j, np.concatenate([np.einsum("ab,ab->a", a[i[x : x + step]], right[j_at[x : x + step]]) for x in range(0, len(i), step)])
+
+    def compare(self, vectors: np.ndarray, ids: np.ndarray) -> None:
+        """Takes a block of vectors into account."""
         exact = self.x.shape[1] * max(1.0, np.abs(self.x).max(initial=0)) * max(1.0, np.abs(vectors).max(initial=0)) < _EXACT
         slack = 1e-9 * self.norm * np.sqrt((vectors**2).sum(1)).max(initial=0) + 1
-        need = (self.floor - slack)[:, None]
+        need = self.floor - slack
         live = self.ids[:, None] != ids[None]
-        self.counts[0] += live.sum()
-        for n, (q, v) in enumerate(zip(self.levels, levels, strict=True)):
-            live &= q @ v.T >= need
-            self.counts[n + 1] += live.sum()
-            if not live.any():
-                break
-        i, j = np.nonzero(live)
-        if not len(i):
+        left = int(live.sum())
+        self.counts[0] += left
+        told = True
+        for n, r in enumerate(self.levels, 1):
+            if left and told:
+                i, j, bound = self._products(n, self.stats[n - 1], lambda cols, r=r: statistics(vectors[cols], r), live)
+                gone = bound < need[i]
+                live[i[gone], j[gone]] = False
+                told = TELLING * gone.sum() >= left
+                left -= int(gone.sum())
+            self.counts[n] += left
+        if not left:
             return
         if exact:
-            score = (self.x @ vectors.T)[i, j] if 20 * len(i) > live.size else np.concatenate([np.einsum("ab,ab->a", self.x[i[a : a + 65_536]], vectors[j[a : a + 65_536]]) for a in range(0, len(i), 65_536)])
+            i, j, score = self._products(-1, self.x, lambda cols: vectors[cols], live)
             ok = score >= self.floor[i]
             i, j, score = i[ok], j[ok], score[ok].astype(np.int64)
         else:  # whole numbers of any size
+            i, j = np.nonzero(live)
+            self.work[-1] += left * self.x.shape[1]
             score = np.array([sum(int(a) * int(b) for a, b in zip(self.x[p].tolist(), vectors[q].tolist(), strict=True)) for p, q in zip(i, j, strict=True)], object)
         self.counts[-1] += len(i)
         row, name, value = np.concatenate([self.top[0], i]), np.concatenate([self.top[1], ids[j]]), np.concatenate([self.top[2], score])
@@ -136,7 +160,7 @@ def _unpack(dim: int, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def meet(vectors: DataFrame, queries: DataFrame, k: int, report: bool = False) -> DataFrame:
-    """(block, row, query_id, vec_id, score) of the k best in each cell; vectors has (dim, block, ids, data), queries the same and floor. With ``report``: (level, pairs).
+    """(block, row, query_id, vec_id, score) of the k best in each cell; vectors has (dim, block, ids, data), queries the same and floor. With ``report``: (level, pairs, multiplications).
 
     Cells: blocks of queries by ``GROUP``, those of vectors by hash. Each block of either side goes to the cells of its row or column, and to no other.
     """
@@ -156,7 +180,7 @@ def meet(vectors: DataFrame, queries: DataFrame, k: int, report: bool = False) -
         def done():
             for block, b in here:
                 if report:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(b.counts)), pa.int64()), pa.array(b.counts)], names=["level", "pairs"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(b.counts)), pa.int64()), pa.array(b.counts), pa.array(b.work)], names=["level", "pairs", "multiplications"])
                     continue
                 row, name, value = b.top
                 limit = [max(-(2**63), min(2**63 - 1, int(x))) for x in value]
@@ -171,12 +195,11 @@ def meet(vectors: DataFrame, queries: DataFrame, k: int, report: bool = False) -
                 if kind == 0:
                     here.append((block, Best(x, a, k, np.frombuffer(floor, float) if floor else None)))
                     continue
-                levels = [statistics(x, s) for s in resolutions(dim)]
                 for _, b in here:
-                    b.compare(x, a, levels)
+                    b.compare(x, a)
         yield from done()
 
-    return cells.mapInArrow(run, "level long, pairs long" if report else "block long, row long, query_id long, vec_id long, score long")
+    return cells.mapInArrow(run, "level long, pairs long, multiplications long" if report else "block long, row long, query_id long, vec_id long, score long")
 
 
 def _best_of(hits: DataFrame, k: int) -> DataFrame:
@@ -220,9 +243,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     return _best_of(hits, k).select("query_id", "rank", "vec_id", "score")
 
 
-def survivors(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """level, pairs: all pairs (level 0), those that outlive the bound of each resolution, and those whose product reached the score to beat (the last)."""
+def _reported(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, what: str) -> DataFrame:
     ws = Workspace(session_of(vectors), "topk")
     v, q = _packed(vectors, queries, k, id_col, vec_col, ws)
     with batch_rows(session_of(vectors), 2):
-        return ws.keep(meet(v, q, k, report=True).groupBy("level").agg(F.sum("pairs").alias("pairs")))
+        return ws.keep(meet(v, q, k, report=True).groupBy("level").agg(F.sum(what).alias(what)))
+
+
+def survivors(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """level, pairs: all pairs (level 0), those that outlive the bound of each resolution, and those whose product reached the score to beat (the last)."""
+    return _reported(vectors, queries, k, id_col, vec_col, "pairs")
+
+
+def multiplications(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """level, multiplications: those made for the bounds of each resolution (0 at level 0), and for exact products (the last). Brute force makes one for each pair and component."""
+    return _reported(vectors, queries, k, id_col, vec_col, "multiplications")

@@ -63,3 +63,14 @@ def test_levels_prune(spark):
     got = dict(map(tuple, topk.survivors(df, df.where("vec_id % 50 = 0")).collect()))
     n = [got[i] for i in sorted(got)]
     assert n[0] == 100 * 4999 and all(a >= b for a, b in zip(n, n[1:])) and n[-2] < 0.1 * n[0] and n[-1] >= 500
+
+
+def test_work_is_below_brute_force(spark):
+    """On vectors with structure at several scales a small part of the multiplications is left; without any structure at most what the coarsest level adds."""
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in np.repeat(rng.normal(size=8) * 3, 8) + rng.normal(size=64) * 0.1], 0) for i in range(5000)]
+    plain = [(i, [float(x) for x in rng.normal(size=64)], 0) for i in range(5000)]
+    for table, most in ((rows, 0.35), (plain, 1.15)):
+        df = spark.createDataFrame(table, SCHEMA)
+        got = dict(map(tuple, topk.multiplications(df, df.where("vec_id % 50 = 0")).collect()))
+        assert got[0] == 0 and sum(got.values()) < most * 100 * 4999 * 64, got
