@@ -6,25 +6,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stages import Stages
+from .numbering import numbered
 
-def _order(seed: int | None, key: str) -> list[Column]:
-    """Order within a stratum: by hash of a seed, or by key without one."""
-    return [F.col(key)] if seed is None else [F.xxhash64(F.lit(seed), key), F.col(key)]
+
+def _dealt(samples: DataFrame, by: list[str], key: str, seed: int | None, k: int, name: str) -> DataFrame:
+    """Adds name: the samples of a group in turn, by hash of a seed, or by key without one."""
+    s = samples.withColumn("_h", F.lit(0) if seed is None else F.xxhash64(F.lit(seed), key))
+    return numbered(s, by, ["_h", key], "_place").withColumn(name, ((F.col("_place") - 1) % k).cast("int")).drop("_h", "_place")
 
 
 def stratified_folds(samples: DataFrame, k: int, stratum: str = "stratum", key: str = "id", seed: int | None = None) -> DataFrame:
     """Adds fold: each stratum is dealt out in turn."""
-    w = Window.partitionBy(stratum).orderBy(*_order(seed, key))
-    return samples.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    return _dealt(samples, [stratum], key, seed, k, "fold")
 
 
 def nested_folds(samples: DataFrame, outer: int, inner: int, stratum: str = "stratum", key: str = "id", seed: int | None = None) -> DataFrame:
     """key, outer_fold, inner_fold: every sample once in each outer fold; inner_fold is null where it is held out, else dealt among the training samples."""
     s = stratified_folds(samples, outer, stratum, key, seed).withColumnRenamed("fold", "own")
     s = s.select(key, stratum, "own", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))).alias("outer_fold"))
-    w = Window.partitionBy("outer_fold", stratum, F.col("own") == F.col("outer_fold")).orderBy(*_order(seed, key))
-    inner_fold = F.when(F.col("own") != F.col("outer_fold"), ((F.row_number().over(w) - 1) % inner).cast("int"))
-    return s.select(key, "outer_fold", inner_fold.alias("inner_fold"))
+    s = _dealt(s.withColumn("_held", F.col("own") == F.col("outer_fold")), ["outer_fold", stratum, "_held"], key, seed, inner, "inner_fold")
+    return s.select(key, "outer_fold", F.when(~F.col("_held"), F.col("inner_fold")).alias("inner_fold"))
 
 
 def small_strata(samples: DataFrame, k: int, stratum: str = "stratum") -> DataFrame:
@@ -122,41 +124,56 @@ def shared_draw(seed: int, stratum: Column, replicate: Column, i: Column) -> Col
     return (a.bitwiseXOR(F.shiftright(a, 13)) * 69621 + 7) % prime
 
 
+#: Cells of a stratum that are drawn together, and replicates of a task.
+CELLS, REPLICATES = 1000, 100
+
+
 def resampled_cells(samples: DataFrame, cells: tuple[str, ...], replicates: int, seed: int, stratum: str = "stratum", draw=None) -> DataFrame:
     """(replicate, cells, times): for each replicate how often a sample of each cell is drawn, with replacement, as many in each stratum as it has samples.
 
-    Samples of a stratum with equal cells are alike, so only their numbers are drawn, from the multinomial distribution: no replicate reads the samples. With ``draw``, a function like ``shared_draw``, each draw is
-    made by itself instead, so that another engine can repeat it.
+    Samples of a stratum with equal cells are alike, so only their numbers are drawn, from the multinomial distribution: no replicate reads the samples. A stratum of many cells is drawn in two steps, first how often each group
+    of ``CELLS`` cells is drawn, then the cells of each group, so no task holds all cells and none come to the driver. With ``draw``, a function like ``shared_draw``, each draw is made by itself instead, so that another engine can repeat it.
     """
     spark = samples.sparkSession
     counts = samples.groupBy(F.col(stratum).alias("_s"), *cells).agg(F.count("*").alias("_c"))
-    every = spark.range(replicates).select(F.col("id").alias("replicate"))
+    counts = Stages(spark, "cells").keep(numbered(counts, ["_s"], list(cells), "_i").withColumn("_group", F.expr(f"(_i - 1) div {CELLS}")))
+    groups = counts.groupBy("_s", "_group").agg(F.sort_array(F.collect_list(F.struct("_i", "_c"))).alias("x"), F.sum("_c").alias("n"))
+    totals = groups.groupBy(F.col("_s").alias("_t")).agg(F.sort_array(F.collect_list(F.struct("_group", "n"))).alias("y"), F.sum("n").alias("all"))  # a number for each group
     if draw is None:
-        rows = sorted(counts.collect(), key=lambda r: str(tuple(r)))  # strata x kinds of cells, whatever the number of samples
-        table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "_i int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema))
-        where: dict = {}
-        for i, r in enumerate(rows):
-            where.setdefault(r["_s"], []).append((i, r["_c"]))
-        sizes = [np.array(v) for v in where.values()]
+        blocks = F.explode(F.sequence(F.lit(0), F.lit(max(0, replicates - 1) // REPLICATES)))
+        asks = groups.join(totals, F.col("_s").eqNullSafe(F.col("_t")))
+        asks = asks.select("_s", F.xxhash64(F.lit(seed), "_s").alias("seed"), "_group", F.transform("x", lambda v: v["_i"]).alias("i"), F.transform("x", lambda v: v["_c"]).alias("c"), F.transform("y", lambda v: v["n"]).alias("totals"), "all", blocks.alias("block"))
+        kind = counts.schema["_s"].dataType
 
         def run(batches):
-            at = np.concatenate([c[:, 0] for c in sizes])
-            for b in (batch.slice(i, 100) for batch in batches for i in range(0, batch.num_rows, 100)):
-                which, n = b.column(0).to_numpy(), []
-                for r in which.tolist():
-                    rng = np.random.Generator(np.random.Philox(key=[seed & 0xFFFFFFFFFFFFFFFF, r]))
-                    n += [rng.multinomial(int(c[:, 1].sum()), c[:, 1] / c[:, 1].sum()) for c in sizes]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(which, len(at))), pa.array(np.tile(at, len(which)).astype(np.int32)), pa.array(np.concatenate(n))], names=["replicate", "_i", "times"])
-
-        drawn = every.mapInArrow(run, "replicate long, _i int, times long") if rows else every.where("false").select("replicate", F.lit(0).alias("_i"), F.lit(0).cast("long").alias("times"))
-        return drawn.where("times > 0").join(F.broadcast(table), "_i").select("replicate", *cells, "times")
-    numbered = counts.withColumn("_i", F.row_number().over(Window.partitionBy("_s").orderBy(*cells)))
-    places = numbered.groupBy("_s").agg(F.sort_array(F.collect_list(F.struct("_i", "_c"))).alias("x"), F.sum("_c").alias("_n"))
-    places = places.select("_s", "_n", F.flatten(F.transform("x", lambda v: F.array_repeat(v["_i"], v["_c"].cast("int")))).alias("_of"))
-    asks = every.join(F.broadcast(places)).select("replicate", "_s", "_n", "_of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_k"))
-    pick = (draw(seed, F.col("_s"), F.col("replicate"), F.col("_k")) % F.col("_n")).cast("int")
-    drawn = asks.select("replicate", "_s", F.element_at("_of", pick + 1).alias("_i")).groupBy("replicate", "_s", "_i").agg(F.count("*").alias("times"))
-    return drawn.join(numbered, ["_s", "_i"]).select("replicate", *cells, "times")
+            stream = lambda *key: np.random.Generator(np.random.Philox(key=np.array(key, np.int64).view(np.uint64)))
+            for b in batches:
+                for s, of, g, i, c, totals, n, block in zip(b.column(0), *[x.to_pylist() for x in b.columns[1:]], strict=True):
+                    share, within, own = np.array(totals) / n, np.array(c) / sum(c), n
+                    mark = of ^ (g + 1) << 32  # the stream of a group
+                    which, cell, times = [], [], []
+                    for r in range(block * REPLICATES, min(replicates, (block + 1) * REPLICATES)):
+                        if len(totals) > 1:
+                            own = int(stream(of, r).multinomial(n, share)[g])
+                        drawn = stream(mark, r).multinomial(own, within)
+                        at = np.nonzero(drawn)[0]
+                        which.append(np.full(len(at), r))
+                        cell.append(at)
+                        times.append(drawn[at])
+                    cell = np.array(i, np.int32)[np.concatenate(cell)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(which)), pa.array([s.as_py()] * len(cell), s.type), pa.array(cell), pa.array(np.concatenate(times))], names=["replicate", "_s", "_i", "times"])
+
+        drawn = asks.mapInArrow(run, f"replicate long, _s {kind.simpleString()}, _i int, times long")
+    else:
+        upto = counts.select("_s", "_i", F.sum("_c").over(Window.partitionBy("_s").orderBy("_i")).alias("upto"))
+        places = upto.groupBy("_s").agg(F.sort_array(F.collect_list("upto")).alias("_upto"), F.max("upto").alias("_n"))
+        asks = places.select("_s", "_n", "_upto", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate"))
+        asks = asks.select("replicate", "_s", "_n", "_upto", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_k"))
+        pick = draw(seed, F.col("_s"), F.col("replicate"), F.col("_k")) % F.col("_n")
+        at = asks.withColumn("_p", pick).select("replicate", "_s", (F.size(F.filter("_upto", lambda u: u <= F.col("_p"))) + 1).alias("_i"))
+        drawn = at.groupBy("replicate", "_s", "_i").agg(F.count("*").alias("times"))
+    named = counts.withColumnRenamed("_s", "_t").withColumnRenamed("_i", "_j")
+    return drawn.join(named, F.col("_s").eqNullSafe(F.col("_t")) & (F.col("_i") == F.col("_j"))).select("replicate", *cells, "times")
 
 
 def interval(values: DataFrame, observed: DataFrame, names: dict[str, str], level: float = 0.95) -> DataFrame:

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stages import Stages
+from .numbering import numbered
+
 
 def canonical(edges: DataFrame, order: str = "formation") -> DataFrame:
     """(least, greatest) pairs without loops; of equal edges of a graph the first in ``order`` stays."""
@@ -43,15 +46,13 @@ def non_edges(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 def rank_filtration(edges: DataFrame) -> DataFrame:
     """Adds step (from 1) and time in [0, 1]: support falling, then formation, then the pair."""
-    w = Window.partitionBy("g").orderBy(F.desc("support"), "formation", "u", "v")
-    step = F.row_number().over(w)
-    n = F.count("*").over(Window.partitionBy("g"))
-    return edges.withColumn("step", step).withColumn("time", (F.col("step") - 1) / F.greatest(n - 1, F.lit(1)))
+    e = numbered(edges, ["g"], ["-support", "formation", "u", "v"], "step", size="_n")
+    return e.withColumn("time", (F.col("step") - 1) / F.greatest(F.col("_n") - 1, F.lit(1))).drop("_n")
 
 
 def dense_steps(edges: DataFrame) -> DataFrame:
     """Adds step by time; edges of one time share it."""
-    return edges.withColumn("step", F.dense_rank().over(Window.partitionBy("g").orderBy("time")))
+    return numbered(edges, ["g"], ["time", "u", "v"], rank=("step", 1))
 
 
 def ordered_field(edges: DataFrame, fields: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def edge_index(edges: DataFrame) -> DataFrame:
     """Adds the edge's place in the order of pairs, from 0."""
-    return edges.withColumn("index", F.row_number().over(Window.partitionBy("g").orderBy("u", "v")) - 1)
+    return numbered(edges, ["g"], ["u", "v"], "index").withColumn("index", F.col("index") - 1)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -112,20 +113,22 @@ def trussness(edges: DataFrame, most: int = KERNEL_EDGES) -> DataFrame:
 def trussness_spread(edges: DataFrame) -> DataFrame:
     """The same by joins and aggregates alone: an edge's level starts as its number of triangles and falls to the h-index of what its triangles' other two edges allow, until none falls.
 
-    Levels are written to the checkpoint folder after each pass.
+    Each pass is written to the shared folder and read again: the plan of a pass, and what the optimizer makes of its size, does not grow with their number.
     """
+    stages = Stages(edges.sparkSession, "trussness")
     t = triangles(edges).select("g", *[F.struct(F.col(x).alias("u"), F.col(y).alias("v")).alias(x + y) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))])
     sides = None
     for own, f, h in (("ab", "ac", "bc"), ("ac", "ab", "bc"), ("bc", "ab", "ac")):
         one = t.select("g", F.col(own).alias("e"), F.col(f).alias("f"), F.col(h).alias("h"))
         sides = one if sides is None else sides.unionByName(one)
-    sides = sides.checkpoint()
-    level = sides.groupBy("g", "e").agg(F.count("*").cast("int").alias("level")).checkpoint()
+    sides = stages.keep(sides)
+    level = stages.keep(sides.groupBy("g", "e").agg(F.count("*").cast("int").alias("level")))
     while True:
         of = lambda name, as_: level.select("g", F.col("e").alias(name), F.col("level").alias(as_))
         least = sides.join(of("f", "l1"), ["g", "f"]).join(of("h", "l2"), ["g", "h"]).groupBy("g", "e").agg(F.sort_array(F.collect_list(F.least("l1", "l2")), False).alias("x"))
-        new = least.join(level, ["g", "e"]).select("g", "e", F.least("level", F.size(F.filter("x", lambda x, i: x > i))).alias("level"), "level").toDF("g", "e", "level", "old").checkpoint()
-        level = new.drop("old")
+        new = stages.keep(least.join(level, ["g", "e"]).select("g", "e", F.least("level", F.size(F.filter("x", lambda x, i: x > i))).alias("level"), F.col("level").alias("old")))
+        stages.drop(level)
+        level = new
         if not new.where("level < old").limit(1).count():
             break
     found = level.select("g", "e.u", "e.v", (F.col("level") + 2).cast("int").alias("trussness"))
@@ -180,9 +183,8 @@ def cohesion_filtration(keys: DataFrame) -> DataFrame:
     Two different ratios of graphs of up to 9 x 10^7 neighbours differ in the 16 decimals that are compared, and equal ones have equal decimals.
     """
     ratio = F.floor(F.col("num").cast("decimal(19,0)") * F.lit(10**16).cast("decimal(18,0)") / F.col("den").cast("decimal(19,0)"))
-    w = Window.partitionBy("g").orderBy(F.desc("trussness"), F.desc("ratio"))
-    k = keys.withColumn("ratio", ratio).withColumn("step", F.dense_rank().over(w))
-    return k.withColumn("time", F.col("step") / (F.max("step").over(Window.partitionBy("g")) + 1)).drop("ratio")
+    k = numbered(keys.withColumn("ratio", ratio), ["g"], ["-trussness", "-ratio", "u", "v"], rank=("step", 2), last_rank="_n")
+    return k.withColumn("time", F.col("step") / (F.col("_n") + 1)).drop("ratio", "_n")
 
 
 def clique_complex(edges: DataFrame) -> DataFrame:
@@ -196,8 +198,7 @@ def clique_complex(edges: DataFrame) -> DataFrame:
     for i, (x, y) in enumerate((("a", "b"), ("a", "c"), ("b", "c"))):
         t = t.join(edges.select("g", F.col("u").alias(x), F.col("v").alias(y), F.col("time").alias(f"t{i}")), ["g", x, y])
     t = t.select("g", F.array("a", "b", "c").alias("vertices"), F.lit(2).alias("dim"), F.greatest("t0", "t1", "t2").alias("filtration"))
-    w = Window.partitionBy("g").orderBy("filtration", "dim", "vertices")
-    return v.unionByName(e).unionByName(t).withColumn("place", F.row_number().over(w) - 1)
+    return numbered(v.unionByName(e).unionByName(t), ["g"], ["filtration", "dim", "vertices"], "place").withColumn("place", F.col("place") - 1)
 
 
 def graph_statistics(edges: DataFrame, graphs: DataFrame | None = None) -> DataFrame:

@@ -3,8 +3,9 @@
 For a frequency w let chi(x) = exp(i (w0 * birth + w1 * death)). The linear coordinate of a diagram is the sum of c * chi; the relationship
 coordinate is the sum of c_t * c_s * chi(t) * conj(chi(s)) over all s strictly inside t. Weighted ones carry each interval's length too.
 
-Relationship sums have two plans. ``join`` makes the pairs; it distributes one large observation but is quadratic. ``kernel`` sorts each observation once and keeps sums
-of everything born later by rank of death: no pairs, one Arrow crossing. ``auto`` takes the kernel for observations of up to ``KERNEL_MOST`` intervals and the join for larger ones.
+Relationship sums have three plans. ``kernel`` sorts each observation once and keeps sums of everything born later by rank of death: no pairs, one Arrow crossing. ``ranges`` cuts an observation into ranges
+of birth; the kernel works within a range, and between ranges a tree of them is merged by death, with sums carried from task to task: n log n rows are shuffled, and no task holds an observation.
+``join`` makes the pairs, of which there are quadratically many; it is the definition. ``auto`` takes the kernel for observations of up to ``KERNEL_MOST`` intervals and ranges for larger ones.
 """
 from __future__ import annotations
 
@@ -12,13 +13,17 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.seeds import FAMILIES, STATISTICS
+from ..stages import Stages
 from .diagrams import nested_pairs
 
 KERNEL_MOST = 200_000
+#: Intervals of an observation in a range.
+RANGE = 20_000
 _BLOCK = 1024
 
 
@@ -120,19 +125,110 @@ def _join(atoms: DataFrame, spec: list[tuple]) -> DataFrame:
     return out
 
 
-def coordinates(atoms: DataFrame, spec: list[tuple], strategy: str = "auto", most: int = KERNEL_MOST) -> DataFrame:
-    """obs, idx, re, im for every observation that has intervals."""
-    if strategy not in ("auto", "join", "kernel"):
+def _weights(spec: list[tuple], birth: np.ndarray, death: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """(intervals, features): coefficient, or coefficient times length, times chi."""
+    w = np.array([[s[2], s[3]] for s in spec])
+    coef = np.where([s[1].startswith("weighted") for s in spec], (c * (death - birth))[:, None], c[:, None])
+    return coef * np.exp(1j * (birth[:, None] * w[:, 0] + death[:, None] * w[:, 1]))
+
+
+def _carried(rows: DataFrame, spec: list[tuple], ranges: int) -> DataFrame:
+    """(obs, idx, re, im): in each tree node of (obs, level, node, kind, birth, death, coefficient) the products of every target (kind 1) with all sources (kind 0) that die no later.
+
+    Rows are sorted by ranges of (node, death), sources first. A task gives for each node it meets the sum of its sources, that of its targets, and that of its targets' products with the sources before them in the
+    task; what earlier tasks saw of a node's sources meets the second sum afterwards.
+    """
+    kind = rows.schema["obs"].dataType.simpleString()
+    keys = ["obs", "level", "node", "death", "kind", "birth"]
+    dealt = rows.repartitionByRange(ranges, *keys).withColumn("_at", F.spark_partition_id()).sortWithinPartitions(*keys)
+    k = len(spec)
+    schema = f"obs {kind}, level int, node int, at int, source array<double>, target array<double>, product array<double>"
+
+    def run(batches):
+        node, at, sums = None, None, None
+
+        def told():
+            parts = [np.column_stack([x.real, x.imag]).ravel() for x in sums]
+            return pa.RecordBatch.from_arrays([pa.array([node[0]], kinds[0]), pa.array([node[1]], pa.int32()), pa.array([node[2]], pa.int32()), pa.array([at], pa.int32()), *[pa.array([x.tolist()], pa.list_(pa.float64())) for x in parts]], names=["obs", "level", "node", "at", "source", "target", "product"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kinds = [b.column(0).type]
+            d = b.to_pandas()
+            cuts = np.nonzero((d["level"].to_numpy()[1:] != d["level"].to_numpy()[:-1]) | (d["node"].to_numpy()[1:] != d["node"].to_numpy()[:-1]) | (d["obs"].to_numpy()[1:] != d["obs"].to_numpy()[:-1]))[0] + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(d)]):
+                x = d.iloc[i:j]
+                here = (x["obs"].iloc[0], int(x["level"].iloc[0]), int(x["node"].iloc[0]))
+                if here != node:
+                    if node is not None:
+                        yield told()
+                    node, at, sums = here, int(x["_at"].iloc[0]), np.zeros((3, k), complex)
+                z = _weights(spec, *(x[c].to_numpy(float) for c in ("birth", "death", "coefficient")))
+                target = x["kind"].to_numpy()[:, None] == 1
+                before = sums[0] + np.cumsum(np.where(target, 0, np.conj(z)), 0)
+                sums[2] += np.where(target, z * before, 0).sum(0)
+                sums[1] += np.where(target, z, 0).sum(0)
+                sums[0] = before[-1]
+        if node is not None:
+            yield told()
+
+    per = dealt.mapInArrow(run, schema)
+    pair = lambda c: (F.element_at(c, 2 * F.col("i") + 1), F.element_at(c, 2 * F.col("i") + 2))
+    per = per.select("obs", "level", "node", "at", "source", "target", "product", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"))
+    (sr, si), (tr, ti), (pr, pi) = pair("source"), pair("target"), pair("product")
+    per = per.select("obs", "level", "node", "at", "i", *[x.alias(n) for x, n in ((sr, "sr"), (si, "si"), (tr, "tr"), (ti, "ti"), (pr, "pr"), (pi, "pi"))])
+    upto = Window.partitionBy("obs", "level", "node", "i").orderBy("at")  # a row for each range at most
+    cr, ci = F.sum("sr").over(upto) - F.col("sr"), F.sum("si").over(upto) - F.col("si")
+    whole = per.withColumn("cr", cr).withColumn("ci", ci).groupBy("obs", "i").agg(F.sum(F.expr("pr + tr * cr - ti * ci")).alias("re"), F.sum(F.expr("pi + tr * ci + ti * cr")).alias("im"))
+    idx = F.element_at(F.array(*[F.lit(s[0]) for s in spec]), F.col("i") + 1)
+    return whole.select("obs", idx.alias("idx"), "re", "im")
+
+
+def _ranges(atoms: DataFrame, spec: list[tuple], rows: int = RANGE) -> DataFrame:
+    """The same with no task that holds an observation: cut by falling birth, then rising death, so that everything inside an interval comes before it."""
+    stages = Stages(atoms.sparkSession, "dominance")
+    a = stages.keep(atoms.select("obs", F.col("birth").cast("double").alias("birth"), F.col("death").cast("double").alias("death"), F.col("coefficient").cast("double").alias("coefficient")))
+    n = a.count()
+    cut = a.repartitionByRange(max(1, -(-n // rows)), F.col("obs"), F.desc("birth"), F.asc("death")).withColumn("at", F.spark_partition_id())
+    a, old = stages.keep(cut), a  # which range an interval is in must not change from here on
+    stages.drop(old)
+    order = Window.partitionBy("obs")
+    places = a.select("obs", "at").distinct().withColumn("range", F.row_number().over(order.orderBy("at")) - 1).withColumn("last", F.count("*").over(order) - 1)  # a row for each range at most
+    a = a.join(places, ["obs", "at"])
+    kind = atoms.schema["obs"].dataType.simpleString()
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = evaluate(*(pdf[c].to_numpy(float) for c in ("birth", "death", "coefficient")), spec)
+        return pd.DataFrame({"obs": [pdf["obs"].iloc[0]] * len(spec), "idx": [s[0] for s in spec], "re": [x.real for x in z], "im": [x.imag for x in z]})
+
+    out = a.select("obs", "range", "birth", "death", "coefficient").groupBy("obs", "range").applyInPandas(within, f"obs {kind}, idx int, re double, im double")
+    pairs = [s for s in spec if "relationship" in s[1]]
+    depth = int(places.agg(F.coalesce(F.max("last"), F.lit(0))).first()[0]).bit_length()
+    if pairs and depth:
+        # at each level of a tree over the ranges, the left half of a node holds sources and the right half targets
+        up = a.select("obs", "range", "last", "birth", "death", "coefficient", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("level"))
+        up = up.select("obs", "level", F.expr("shiftright(range, level + 1)").cast("int").alias("node"), F.expr("shiftright(range, level) & 1").cast("int").alias("kind"), "last", "birth", "death", "coefficient")
+        up = up.where("kind = 1 OR shiftleft(2 * node + 1, level) <= last").drop("last")  # a left half without a right one has no targets
+        out = out.unionByName(_carried(up, pairs, max(1, -(-n * depth // rows))))
+    return out.groupBy("obs", "idx").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+
+
+def coordinates(atoms: DataFrame, spec: list[tuple], strategy: str = "auto", most: int = KERNEL_MOST, rows: int = RANGE) -> DataFrame:
+    """obs, idx, re, im for every observation that has intervals. rows: intervals in a range, for ``ranges``."""
+    if strategy not in ("auto", "join", "kernel", "ranges"):
         raise ValueError(f"strategy {strategy!r}")
     if strategy == "join" or not any("relationship" in s[1] for s in spec):
         return _join(atoms, spec)
     if strategy == "kernel":
         return _kernel(atoms, spec)
+    if strategy == "ranges":
+        return _ranges(atoms, spec, rows)
     sizes = atoms.groupBy("obs").count()
     large = sizes.where(F.col("count") > most).select("obs")
     if not large.limit(1).count():
         return _kernel(atoms, spec)
-    return _kernel(atoms.join(large, "obs", "left_anti"), spec).unionByName(_join(atoms.join(large, "obs", "left_semi"), spec))
+    return _kernel(atoms.join(large, "obs", "left_anti"), spec).unionByName(_ranges(atoms.join(large, "obs", "left_semi"), spec, rows))
 
 
 def with_empty(features: DataFrame, observations: DataFrame, spec: list[tuple]) -> DataFrame:
@@ -176,8 +272,6 @@ def no_order(atoms: DataFrame, spec: list[tuple]) -> DataFrame:
 
 def cyclic_partners(members: DataFrame) -> DataFrame:
     """(batch, obs, other): in each batch of (batch, obs) the next observation, after the last the first; a batch of one has no derangement and is left out."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("batch")
     m = members.select("batch", "obs").distinct().withColumn("n", F.count("*").over(w))
     return m.where("n > 1").select("batch", "obs", F.coalesce(F.lead("obs").over(w.orderBy("obs")), F.min("obs").over(w)).alias("other"))
@@ -245,8 +339,6 @@ def derangement_violations(partner: DataFrame, observations: DataFrame) -> DataF
 
 def by_prefix(features: DataFrame, members: DataFrame, sizes: list[int]) -> DataFrame:
     """batch, size, idx, re, im: means over the first ``size`` observations of a batch; features are made once."""
-    from pyspark.sql import Window
-
     ranked = members.withColumn("place", F.row_number().over(Window.partitionBy("batch").orderBy("obs")))
     n = ranked.select("batch", "obs", F.explode(F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s >= F.col("place"))).alias("size"))
     return n.join(features, "obs").groupBy("batch", "size", "idx").agg(F.avg("re").alias("re"), F.avg("im").alias("im"))

@@ -227,6 +227,28 @@ def ablation_cross_batch(spark, sf):
     return _round(harmonic.batch_mean(harmonic.cross_observation(a, m.select("obs", "other"), _CROSS), m.select("batch", "obs")), "re", "im")
 
 
+_SPANS = "spans AS (SELECT o_orderpriority AS obs, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) / 2500 AS birth, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) / 2500 + round(o_totalprice) / 1000000 AS death, CAST(count(*) AS DOUBLE) AS coefficient FROM orders GROUP BY 1, 2, 3)"
+_WIDE = [(0, "relationship_mass", 0.0, 0.0), (1, "relationship", 1.5, -2.5), (2, "weighted_relationship", 0.75, 3.25), (3, "weighted_linear", 1.25, 0.5)]
+
+
+def _wide_sql() -> str:
+    s, t = "s.coefficient * t.coefficient", "(s.death - s.birth) * (t.death - t.birth)"
+    arg = lambda a, b: f"{a}::DOUBLE * (t.birth - s.birth) + {b}::DOUBLE * (t.death - s.death)"
+    pair = f"SELECT s.obs, sum({s}) AS m, sum({s} * cos({arg(1.5, -2.5)})) AS r1, sum({s} * sin({arg(1.5, -2.5)})) AS i1, sum({s} * {t} * cos({arg(0.75, 3.25)})) AS r2, sum({s} * {t} * sin({arg(0.75, 3.25)})) AS i2 FROM spans s JOIN spans t ON s.obs = t.obs AND {_NESTED} GROUP BY 1"
+    own = "SELECT obs, sum(coefficient * (death - birth) * cos(1.25::DOUBLE * birth + 0.5::DOUBLE * death)) AS re, sum(coefficient * (death - birth) * sin(1.25::DOUBLE * birth + 0.5::DOUBLE * death)) AS im FROM spans GROUP BY 1"
+    rows = "SELECT obs, 0 AS idx, m AS re, 0.0 AS im FROM pair UNION ALL SELECT obs, 1, r1, i1 FROM pair UNION ALL SELECT obs, 2, r2, i2 FROM pair UNION ALL SELECT obs, 3, re, im FROM own"
+    return f"WITH {_SPANS}, pair AS ({pair}), own AS ({own}) SELECT obs, CAST(idx AS INT) AS idx, round(re, 3) + 0.0 AS re, round(im, 3) + 0.0 AS im FROM ({rows})"
+
+
+@query(_wide_sql())
+def ha_relationship_by_ranges(spark, sf):
+    """Observations of many intervals, an order being one from its day on, by the plan for those that no task holds."""
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")) / 2500
+    o = fx.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("obs"), day.alias("birth"), (day + F.round("o_totalprice") / 1000000).alias("death")).agg(F.count("*").cast("double").alias("coefficient"))
+    z = harmonic.coordinates(o, _WIDE, "ranges", rows=2000)
+    return z.withColumns({c: F.round(c, 3) + 0.0 for c in ("re", "im")})
+
+
 def _partners(a: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
@@ -370,6 +392,12 @@ def h1_persistence(spark, sf):
     return _round(homology.h1(graph.clique_complex(graph.rank_filtration(fx.edges(spark, sf)))), "birth", "death")
 
 
+@query()
+def h1_persistence_by_ranges(spark, sf):
+    """The plan for graphs that no task holds: the rows of ``h1_persistence``."""
+    return _round(homology.h1_spread(graph.clique_complex(graph.rank_filtration(fx.edges(spark, sf)))), "birth", "death")
+
+
 @query(f"""{E}, nb AS (SELECT g, u AS x, v AS y FROM edges UNION ALL SELECT g, v, u FROM edges), comp AS (WITH RECURSIVE r(g, x, c) AS (SELECT DISTINCT g, x, x FROM nb UNION SELECT nb.g, nb.y, r.c FROM r JOIN nb ON nb.g = r.g AND nb.x = r.x) SELECT g, x, min(c) AS c FROM r GROUP BY 1, 2)
 SELECT g, (SELECT count(*) FROM edges s WHERE s.g = comp.g) - count(*) + count(DISTINCT c) AS classes FROM comp GROUP BY g""")
 def h1_class_count(spark, sf):
@@ -509,6 +537,34 @@ def edge_swap_degrees(spark, sf):
     return graph.degrees(perturb.swap_edges(e, 0.2, 7))
 
 
+@query()
+def edge_insertion_random(spark, sf):
+    """A tenth more edges in the events' graphs, drawn from all pairs of users that have none."""
+    return _round(perturb.insert_random_edges(graph.rank_filtration(fx.edges(spark, sf)), 0.1, 11), "time")
+
+
+@query(f"{E}, {_DEG.format(t='edges')}, c AS (SELECT g, count(*) AS n FROM edges GROUP BY 1), x AS (SELECT g, count(*) AS s FROM deg GROUP BY 1) SELECT g, n, s AS vertices, CAST(least(floor(0.1::DOUBLE * n), s * (s - 1) // 2 - n) AS BIGINT) AS added, CAST(0 AS BIGINT) AS lost FROM c JOIN x USING (g)")
+def edge_insertion_counts(spark, sf):
+    """What any draw must keep to: all edges stay, as many come as are asked for, none twice, all between vertices there were."""
+    e = graph.rank_filtration(fx.edges(spark, sf))
+    new = perturb.insert_random_edges(e, 0.1, 11).select("g", "u", "v").where("u < v").distinct()
+    j = new.withColumn("after", F.lit(1)).join(e.select("g", "u", "v", F.lit(1).alias("before")), ["g", "u", "v"], "full")
+    n = j.groupBy("g").agg(F.count("before").alias("n"), F.sum(F.expr("CASE WHEN before IS NULL THEN 1 ELSE 0 END")).alias("added"), F.sum(F.expr("CASE WHEN after IS NULL THEN 1 ELSE 0 END")).alias("lost"))
+    return n.join(graph.vertices(new).groupBy("g").agg(F.count("*").alias("vertices")), "g").select("g", "n", "vertices", "added", "lost")
+
+
+@query()
+def edge_swaps_whole(spark, sf):
+    """A fifth of the edges of the events' graphs."""
+    return _round(perturb.swap_edges(graph.rank_filtration(fx.edges(spark, sf)), 0.2, 7), "time")
+
+
+@query(f"{E}, {_DEG.format(t='edges')} SELECT g, x AS vertex, d AS degree FROM deg")
+def edge_swaps_whole_degrees(spark, sf):
+    """Swaps leave all degrees as they were, so the SQL has those of the graphs before."""
+    return graph.degrees(perturb.swap_edges(graph.rank_filtration(fx.edges(spark, sf)), 0.2, 7).select("g", "u", "v").distinct())
+
+
 # ---- generators
 
 _MODELS = {
@@ -700,12 +756,14 @@ def paired_difference(spark, sf):
 
 
 REPLICATES = 10_000
+#: Replicates of the queries whose single draws SQL repeats.
+REPEATED = 40
 
 
 def _sql_draws(source: str, cells: str) -> str:
     """rs (replicate, stratum, cells, c): how often each replicate draws each cell; a stratum's samples are drawn from in order of their cells, by numbers that both engines compute alike."""
     return f"""sizes AS (SELECT stratum, count(*) AS n, CAST('0x' || substr(md5('17:' || stratum), 1, 8) AS BIGINT) % 2147483647 AS key FROM {source} GROUP BY 1),
-mix AS (SELECT r.range AS replicate, stratum, n, ((key + (r.range * 1000003) % 2147483647 + (i.i * 7919) % 2147483647) % 2147483647 * 48271 + 11) % 2147483647 AS a FROM (SELECT *, unnest(range(n)) AS i FROM sizes) i, range({REPLICATES}) r),
+mix AS (SELECT r.range AS replicate, stratum, n, ((key + (r.range * 1000003) % 2147483647 + (i.i * 7919) % 2147483647) % 2147483647 * 48271 + 11) % 2147483647 AS a FROM (SELECT *, unnest(range(n)) AS i FROM sizes) i, range({REPEATED}) r),
 ask AS (SELECT replicate, stratum, ((xor(a, a >> 13) * 69621 + 7) % 2147483647) % n AS pick, count(*) AS times FROM mix GROUP BY ALL),
 cells AS (SELECT stratum, {cells}, count(*) AS k FROM {source} GROUP BY ALL), edges AS (SELECT *, sum(k) OVER (PARTITION BY stratum ORDER BY {cells}) AS upto FROM cells),
 places AS (SELECT stratum, {cells}, unnest(range(CAST(upto - k AS BIGINT), CAST(upto AS BIGINT))) AS pick FROM edges),
@@ -722,27 +780,46 @@ _RANGES = ("observed", "mean", "sd", "lower", "upper")
 
 
 @query(f"{L}, {_sql_draws('predicted', 'label, prediction')}, {_sql_metrics('replicate', 'rs', n='c')}, {_sql_metrics('', 'predicted', mark='0')} " + _sql_intervals("mt", "mt0", [("accuracy", "accuracy"), ("macro_f1", "macro_f1")]))
+def bootstrap_ci_repeatable(spark, sf):
+    """Every draw by itself, as SQL makes it; ``bootstrap_ci`` is the production form."""
+    return _round(evaluate.bootstrap(fx.predictions(spark, sf), REPEATED, 17, draw=evaluate.shared_draw), *_RANGES)
+
+
+@query()
 def bootstrap_ci(spark, sf):
-    return _round(evaluate.bootstrap(fx.predictions(spark, sf), REPLICATES, 17, draw=evaluate.shared_draw), *_RANGES)
+    return _round(evaluate.bootstrap(fx.predictions(spark, sf), REPLICATES, 17), *_RANGES)
 
 
 @query(f"{L}, {_sql_draws('predicted', 'label, prediction, second')}, {_sql_metrics('replicate', 'rs', n='c')}, {_sql_metrics('replicate', 'rs', 'second', '2', 'c')}, {_sql_metrics('', 'predicted', mark='3')}, {_sql_metrics('', 'predicted', 'second', '4')}, df AS ({_PAIR_OF.format(k='', x='mt', y='JOIN mt2 y USING (replicate)')}), ob AS ({_PAIR_OF.format(k='', x='mt3', y=', mt4 y')}) " + _sql_intervals("df", "ob", _SIX))
+def paired_bootstrap_ci_repeatable(spark, sf):
+    return _round(evaluate.paired_bootstrap(fx.predictions(spark, sf), REPEATED, 17, draw=evaluate.shared_draw), *_RANGES)
+
+
+@query()
 def paired_bootstrap_ci(spark, sf):
-    return _round(evaluate.paired_bootstrap(fx.predictions(spark, sf), REPLICATES, 17, draw=evaluate.shared_draw), *_RANGES)
+    return _round(evaluate.paired_bootstrap(fx.predictions(spark, sf), REPLICATES, 17), *_RANGES)
 
 
 _MORE = "many AS (SELECT *, prediction AS p0, CASE WHEN id % 5 = 0 THEN second ELSE prediction END AS p1, CASE WHEN id % 11 = 0 THEN second ELSE prediction END AS p2 FROM predicted)"
 _EACH = ", ".join(_sql_metrics("replicate", "rs", f"p{i}", f"r{i}", "c") + ", " + _sql_metrics("", "many", f"p{i}", f"o{i}") for i in range(3))
-_ROUNDS = f"""rk AS (SELECT CAST('0x' || substr(md5('17:realization'), 1, 8) AS BIGINT) % 2147483647 AS key), rm AS (SELECT r.range AS replicate, ((key + (r.range * 1000003) % 2147483647 + (i.range * 7919) % 2147483647) % 2147483647 * 48271 + 11) % 2147483647 AS a FROM rk, range(3) i, range({REPLICATES}) r),
+_ROUNDS = f"""rk AS (SELECT CAST('0x' || substr(md5('17:realization'), 1, 8) AS BIGINT) % 2147483647 AS key), rm AS (SELECT r.range AS replicate, ((key + (r.range * 1000003) % 2147483647 + (i.range * 7919) % 2147483647) % 2147483647 * 48271 + 11) % 2147483647 AS a FROM rk, range(3) i, range({REPEATED}) r),
 rw AS (SELECT replicate, ((xor(a, a >> 13) * 69621 + 7) % 2147483647) % 3 AS pick, count(*) AS w FROM rm GROUP BY ALL)"""
 
 
 @query(f"{L}, {_MORE}, {_sql_draws('many', 'label, p0, p1, p2, second')}, {_EACH}, {_sql_metrics('replicate', 'rs', 'second', '2', 'c')}, {_sql_metrics('', 'many', 'second', '4')}, {_ROUNDS}, al AS (" + " UNION ALL ".join(f"SELECT replicate, {i} AS pick, accuracy, macro_f1 FROM mtr{i}" for i in range(3)) + f"), ms AS (SELECT replicate, sum(w * accuracy) / 3 AS accuracy, sum(w * macro_f1) / 3 AS macro_f1 FROM al JOIN rw USING (replicate, pick) GROUP BY 1), mo AS (SELECT avg(accuracy) AS accuracy, avg(macro_f1) AS macro_f1 FROM (" + " UNION ALL ".join(f"SELECT * FROM mto{i}" for i in range(3)) + f")), df AS ({_PAIR_OF.format(k='', x='ms', y='JOIN mt2 y USING (replicate)')}), ob AS ({_PAIR_OF.format(k='', x='mo', y=', mt4 y')}) " + _sql_intervals("df", "ob", _SIX))
-def hierarchical_bootstrap_ci(spark, sf):
+def hierarchical_bootstrap_ci_repeatable(spark, sf):
+    return _round(evaluate.hierarchical_bootstrap(_realizations(spark, sf), REPEATED, 17, draw=evaluate.shared_draw), *_RANGES)
+
+
+def _realizations(spark, sf):
     p = fx.predictions(spark, sf)
     other = lambda k: F.when(F.col("id") % k == 0, F.col("second")).otherwise(F.col("prediction"))
-    p = p.select("id", "stratum", "label", "second", F.posexplode(F.array("prediction", other(5), other(11))).alias("realization", "prediction"))
-    return _round(evaluate.hierarchical_bootstrap(p, REPLICATES, 17, draw=evaluate.shared_draw), *_RANGES)
+    return p.select("id", "stratum", "label", "second", F.posexplode(F.array("prediction", other(5), other(11))).alias("realization", "prediction"))
+
+
+@query()
+def hierarchical_bootstrap_ci(spark, sf):
+    return _round(evaluate.hierarchical_bootstrap(_realizations(spark, sf), REPLICATES, 17), *_RANGES)
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS mean, median(l_quantity) AS median, round(stddev_samp(l_quantity), 6) AS sd FROM lineitem GROUP BY 1, 2")
