@@ -74,10 +74,9 @@ def majority(samples: DataFrame, by: tuple[str, ...] = ("stratum",)) -> DataFram
 
 def bags(samples: DataFrame, size: int, key: str = "id", seed: int | None = None) -> DataFrame:
     """key, label, bag: each class cut into whole groups of ``size``; the rest is left out."""
-    w = Window.partitionBy("label").orderBy(*_order(seed, key))
-    n = F.count("*").over(Window.partitionBy("label"))
-    b = samples.withColumn("bag", F.floor((F.row_number().over(w) - 1) / size).cast("int")).withColumn("_n", F.floor(n / size))
-    return b.where("bag < _n").select(key, "label", "bag")
+    s = samples.withColumn("_h", F.lit(0) if seed is None else F.xxhash64(F.lit(seed), key))
+    b = numbered(s, ["label"], ["_h", key], "_place", size="_n").withColumn("bag", F.floor((F.col("_place") - 1) / size).cast("int"))
+    return b.where(F.col("bag") < F.floor(F.col("_n") / size)).select(key, "label", "bag")
 
 
 def need_bags(samples: DataFrame, size: int) -> DataFrame:
@@ -136,19 +135,20 @@ def resampled_cells(samples: DataFrame, cells: tuple[str, ...], replicates: int,
     """
     spark = samples.sparkSession
     counts = samples.groupBy(F.col(stratum).alias("_s"), *cells).agg(F.count("*").alias("_c"))
-    counts = Stages(spark, "cells").keep(numbered(counts, ["_s"], list(cells), "_i").withColumn("_group", F.expr(f"(_i - 1) div {CELLS}")))
-    groups = counts.groupBy("_s", "_group").agg(F.sort_array(F.collect_list(F.struct("_i", "_c"))).alias("x"), F.sum("_c").alias("n"))
-    totals = groups.groupBy(F.col("_s").alias("_t")).agg(F.sort_array(F.collect_list(F.struct("_group", "n"))).alias("y"), F.sum("n").alias("all"))  # a number for each group
+    stages = Stages(spark, "cells")
+    counts = stages.keep(numbered(counts, ["_s"], list(cells), "_i").withColumn("_group", F.expr(f"(_i - 1) div {CELLS}")))
+    strata = stages.keep(counts.select("_s").distinct().withColumn("_id", F.monotonically_increasing_id()))
+    counts = stages.keep(counts.join(strata.withColumnRenamed("_s", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t"))
+    groups = counts.groupBy("_s", "_id", "_group").agg(F.sort_array(F.collect_list(F.struct("_i", "_c"))).alias("x"), F.sum("_c").alias("n"))
+    totals = groups.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("_group", "n"))).alias("y"), F.sum("n").alias("all"))  # a number for each group
     if draw is None:
         blocks = F.explode(F.sequence(F.lit(0), F.lit(max(0, replicates - 1) // REPLICATES)))
-        asks = groups.join(totals, F.col("_s").eqNullSafe(F.col("_t")))
-        asks = asks.select("_s", F.xxhash64(F.lit(seed), "_s").alias("seed"), "_group", F.transform("x", lambda v: v["_i"]).alias("i"), F.transform("x", lambda v: v["_c"]).alias("c"), F.transform("y", lambda v: v["n"]).alias("totals"), "all", blocks.alias("block"))
-        kind = counts.schema["_s"].dataType
-
+        asks = groups.join(totals, "_id")
+        asks = asks.select("_id", F.xxhash64(F.lit(seed), "_s").alias("seed"), "_group", F.transform("x", lambda v: v["_i"]).alias("i"), F.transform("x", lambda v: v["_c"]).alias("c"), F.transform("y", lambda v: v["n"]).alias("totals"), "all", blocks.alias("block"))
         def run(batches):
             stream = lambda *key: np.random.Generator(np.random.Philox(key=np.array(key, np.int64).view(np.uint64)))
             for b in batches:
-                for s, of, g, i, c, totals, n, block in zip(b.column(0), *[x.to_pylist() for x in b.columns[1:]], strict=True):
+                for own_id, of, g, i, c, totals, n, block in zip(*[x.to_pylist() for x in b.columns], strict=True):
                     share, within, own = np.array(totals) / n, np.array(c) / sum(c), n
                     mark = of ^ (g + 1) << 32  # the stream of a group
                     which, cell, times = [], [], []
@@ -161,27 +161,27 @@ def resampled_cells(samples: DataFrame, cells: tuple[str, ...], replicates: int,
                         cell.append(at)
                         times.append(drawn[at])
                     cell = np.array(i, np.int32)[np.concatenate(cell)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(which)), pa.array([s.as_py()] * len(cell), s.type), pa.array(cell), pa.array(np.concatenate(times))], names=["replicate", "_s", "_i", "times"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(which)), pa.array(np.full(len(cell), own_id)), pa.array(cell), pa.array(np.concatenate(times))], names=["replicate", "_id", "_i", "times"])
 
-        drawn = asks.mapInArrow(run, f"replicate long, _s {kind.simpleString()}, _i int, times long")
+        asks = asks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but much work for them
+        drawn = asks.mapInArrow(run, "replicate long, _id long, _i int, times long")
     else:
-        upto = counts.select("_s", "_i", F.sum("_c").over(Window.partitionBy("_s").orderBy("_i")).alias("upto"))
-        places = upto.groupBy("_s").agg(F.sort_array(F.collect_list("upto")).alias("_upto"), F.max("upto").alias("_n"))
-        asks = places.select("_s", "_n", "_upto", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate"))
-        asks = asks.select("replicate", "_s", "_n", "_upto", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_k"))
+        upto = counts.select("_s", "_id", "_i", F.sum("_c").over(Window.partitionBy("_id").orderBy("_i")).alias("upto"))
+        places = upto.groupBy("_s", "_id").agg(F.sort_array(F.collect_list("upto")).alias("_upto"), F.max("upto").alias("_n"))
+        asks = places.select("_s", "_id", "_n", "_upto", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate"))
+        asks = asks.select("replicate", "_s", "_id", "_n", "_upto", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_k"))
         pick = draw(seed, F.col("_s"), F.col("replicate"), F.col("_k")) % F.col("_n")
-        at = asks.withColumn("_p", pick).select("replicate", "_s", (F.size(F.filter("_upto", lambda u: u <= F.col("_p"))) + 1).alias("_i"))
-        drawn = at.groupBy("replicate", "_s", "_i").agg(F.count("*").alias("times"))
-    named = counts.withColumnRenamed("_s", "_t").withColumnRenamed("_i", "_j")
-    return drawn.join(named, F.col("_s").eqNullSafe(F.col("_t")) & (F.col("_i") == F.col("_j"))).select("replicate", *cells, "times")
+        at = asks.withColumn("_p", pick).select("replicate", "_id", (F.size(F.filter("_upto", lambda u: u <= F.col("_p"))) + 1).alias("_i"))
+        drawn = at.groupBy("replicate", "_id", "_i").agg(F.count("*").alias("times"))
+    return drawn.join(counts, ["_id", "_i"]).select("replicate", *cells, "times")
 
 
-def interval(values: DataFrame, observed: DataFrame, names: dict[str, str], level: float = 0.95) -> DataFrame:
-    """metric, observed, mean, sd, lower, upper: of each column of values that names lists, over the rows; percentiles with linear interpolation. observed: one row with the same columns."""
+def interval(values: DataFrame, observed: DataFrame, names: dict[str, str], level: float = 0.95, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by,) metric, observed, mean, sd, lower, upper: of each column of values that names lists, over the rows; percentiles with linear interpolation. observed: one row with the same columns, or one for each group of by."""
     a = (1 - level) / 2
-    stack = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("value")) for n, c in names.items()])).alias("x")).select("x.metric", "x.value")
-    out = stack(values).groupBy("metric").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"), F.percentile("value", F.lit(a)).alias("lower"), F.percentile("value", F.lit(1 - a)).alias("upper"))
-    return out.join(stack(observed).withColumnRenamed("value", "observed"), "metric").select("metric", "observed", "mean", "sd", "lower", "upper")
+    stack = lambda df: df.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("value")) for n, c in names.items()])).alias("x")).select(*by, "x.metric", "x.value")
+    out = stack(values).groupBy(*by, "metric").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"), F.percentile("value", F.lit(a)).alias("lower"), F.percentile("value", F.lit(1 - a)).alias("upper"))
+    return out.join(stack(observed).withColumnRenamed("value", "observed"), [*by, "metric"]).select(*by, "metric", "observed", "mean", "sd", "lower", "upper")
 
 
 def _paired(first: DataFrame, second: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -200,11 +200,12 @@ def need_classes(predictions: DataFrame) -> DataFrame:
     return predictions
 
 
-def bootstrap(predictions: DataFrame, replicates: int, seed: int, level: float = 0.95, draw=None) -> DataFrame:
-    """metric, observed, mean, sd, lower, upper of accuracy and macro_f1 over stratified resamples."""
+def bootstrap(predictions: DataFrame, replicates: int, seed: int, level: float = 0.95, draw=None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by,) metric, observed, mean, sd, lower, upper of accuracy and macro_f1 over stratified resamples, of each group of by for itself."""
     need_classes(predictions)
-    r = resampled_cells(predictions, ("label", "prediction"), replicates, seed, draw=draw)
-    return interval(metrics(r, ("replicate",), weight="times"), metrics(predictions), {"accuracy": "accuracy", "macro_f1": "macro_f1"}, level)
+    strata = predictions.withColumn("_stratum", F.struct(*by, "stratum")) if by else predictions
+    r = resampled_cells(strata, (*by, "label", "prediction"), replicates, seed, "_stratum" if by else "stratum", draw)
+    return interval(metrics(r, (*by, "replicate"), weight="times"), metrics(predictions, by), {"accuracy": "accuracy", "macro_f1": "macro_f1"}, level, by)
 
 
 def paired_bootstrap(predictions: DataFrame, replicates: int, seed: int, level: float = 0.95, draw=None) -> DataFrame:

@@ -161,7 +161,7 @@ def trussness_kernel(edges: DataFrame) -> DataFrame:
                     heapq.heappush(heap, (left[f], f))
             near[a].discard(b)
             near[b].discard(a)
-        return pdf.assign(trussness=[out[e] for e in pairs])
+        return pdf.assign(g=pdf["g"].to_numpy(object), trussness=[out[e] for e in pairs])
 
     return edges.select("g", "u", "v").groupBy("g").applyInPandas(run, f"g {kinds['g']}, u {kinds['u']}, v {kinds['v']}, trussness int")
 

@@ -69,7 +69,7 @@ def h1_kernel(complex_: DataFrame, drop_empty: bool = True) -> DataFrame:
         edges = [(f, *map(int, v)) for d, f, v in zip(pdf["dim"], pdf["filtration"], pdf["vertices"], strict=True) if d == 1]
         triangles = [(f, *map(int, v)) for d, f, v in zip(pdf["dim"], pdf["filtration"], pdf["vertices"], strict=True) if d == 2]
         got, n = np.unique(np.array(intervals(edges, triangles), float).reshape(-1, 2), axis=0, return_counts=True)
-        return pd.DataFrame({"obs": [pdf["g"].iloc[0]] * len(got), "birth": got[:, 0], "death": got[:, 1], "coefficient": n.astype(float)})
+        return pd.DataFrame({"obs": np.full(len(got), pdf["g"].iloc[0], object), "birth": got[:, 0], "death": got[:, 1], "coefficient": n.astype(float)})
 
     # vertices are not needed: an edge's ends name them
     out = complex_.where("dim > 0").select("g", "vertices", "dim", "filtration", "place").groupBy("g").applyInPandas(run, f"obs {kind}, birth double, death double, coefficient double")
@@ -169,7 +169,8 @@ def h1_spread(complex_: DataFrame, rows: int = 200_000, drop_empty: bool = True)
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         floor = int(pdf["floor"].iloc[0])
         got = reduce_range([(a, set(b)) for a, b in zip(pdf["number"], pdf["rows"], strict=True)], floor)
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]] * len(got), "number": [a for a, _ in got], "rows": [b for _, b in got], "moved": [b[-1] < floor for _, b in got]})
+        rows = pd.Series([b for _, b in got], dtype=object)
+        return pd.DataFrame({"g": np.full(len(got), pdf["g"].iloc[0], object), "number": np.array([a for a, _ in got], np.int64), "rows": rows, "moved": np.array([b[-1] < floor for _, b in got], bool)})
 
     while True:
         lies = columns.join(floors, "g").select("g", "number", "rows", F.expr("get(reverse(filter(floors, f -> f <= element_at(rows, -1))), 0)").alias("floor"))

@@ -833,30 +833,41 @@ def kernel_svm(spark, sf):
     return svm.cross_validate(evaluate.stratified_folds(e, 4).drop("stratum"))
 
 
-_STUDIED = {m: {k: float(v) for k, v in _MODELS[m].items()} for m in ("watts_strogatz", "block_model", "chung_lu")}
-_STUDY = StudyConfig(vertices=30, edges=60, graphs_per_class=12, characters=8, features=24, outer_folds=3, inner_folds=2, costs=(1.0, 10.0), replicates=1000, resolution=8, image_size=(5, 5))
+_STUDY = StudyConfig(characters=8, features=24, graphs_per_class=3, outer_folds=3, inner_folds=2, costs=(1.0, 10.0), replicates=1000, resolution=8, image_size=(5, 5))
 _RATES = ("accuracy", "macro_f1", "lower", "upper")
 
 
 @query()
 def classification_study(spark, sf):
-    """Graphs of three models, told apart by four kinds of vectors with nested cross-validation."""
-    return _round(studies.synthetic_study(spark, _STUDIED, _STUDY), *_RATES)
+    """Graphs of windows of events, told apart by type with four kinds of vectors and nested cross-validation."""
+    return _round(studies.vector_study(*studies.labelled_graphs(fx.window_graphs(spark, sf)), _STUDY), *_RATES)
 
 
 @query()
 def ablation_study(spark, sf):
-    return _round(studies.ablation_study(spark, _STUDIED, _STUDY), *_RATES)
+    return _round(studies.ablation_study(*studies.labelled_graphs(fx.window_graphs(spark, sf), 2), _STUDY), *_RATES)
 
 
 @query()
 def batch_size_study(spark, sf):
-    return _round(studies.batch_size_study(spark, _STUDIED, _STUDY), *_RATES)
+    return _round(studies.batch_size_study(*studies.labelled_graphs(fx.window_graphs(spark, sf), 3), _STUDY, (1, 2, 3)), *_RATES)
 
 
 @query()
 def character_study(spark, sf):
-    return _round(studies.character_study(spark, _STUDIED, _STUDY, (8, 16, 24)), *_RATES)
+    return _round(studies.character_study(*studies.labelled_graphs(fx.window_graphs(spark, sf), 2), _STUDY, (8, 16, 24)), *_RATES)
+
+
+@query()
+def robustness_study(spark, sf):
+    return _round(studies.robustness_study(*studies.labelled_graphs(fx.window_graphs(spark, sf), 2), _STUDY), *_RANGES)
+
+
+@query()
+def collection_study(spark, sf):
+    """The graphs of windows as a labelled collection, filtered by clique cohesion."""
+    e = fx.window_graphs(spark, sf)
+    return _round(studies.collection_study(e.select("g", "label").distinct(), e.select("g", "u", "v"), _STUDY), *_RATES)
 
 
 @query("WITH w AS (SELECT o_custkey % 20 AS g, o_orderkey AS i, o_totalprice AS w FROM orders), e AS (SELECT g, i, sum(w) OVER (PARTITION BY g ORDER BY i) / sum(w) OVER (PARTITION BY g) AS at FROM w), d AS (SELECT c_custkey AS draw, c_custkey % 20 AS g, (c_custkey * 37 % 101) / 101.0::DOUBLE AS u FROM customer) SELECT d.g, draw, round(u, 6) AS u, min(i) AS i FROM d JOIN e ON e.g = d.g AND d.u < e.at GROUP BY 1, 2, 3")

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.seeds import character_bank
+from ..operators.numbering import numbered
 
 #: Written out in full in the SQL, so both sides see the same doubles.
 BANK = [(i, *(round(x, 6) for x in w)) for i, *w in character_bank(16, 20240611)]
@@ -43,6 +44,19 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("g", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.min("pos").alias("formation"), F.count("*").alias("support"))
 
 
+#: Events in a window, and the vertices that its users are counted to.
+WINDOW, VERTICES = 20, 12
+
+
+def window_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """g, label, number, u, v, formation, support: a graph for every ``WINDOW`` consecutive events of a type, which is its label; users of consecutive events are joined, by their numbers' remainders."""
+    t = table(spark, sf_dir, "events").select(F.col("event_type").alias("label"), (F.col("user_id") % VERTICES).alias("b"), "ts", "event_id")
+    t = numbered(t, ["label"], ["ts", "event_id"], "at").withColumn("number", F.floor((F.col("at") - 1) / WINDOW).cast("int"))
+    w = Window.partitionBy("label", "number").orderBy("at")
+    t = t.withColumn("a", F.lag("b").over(w)).withColumn("pos", (F.col("at") - 1) % WINDOW).where("a IS NOT NULL AND a <> b")
+    return t.groupBy(F.concat_ws("/", "label", "number").alias("g"), "label", "number", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.min("pos").cast("long").alias("formation"), F.count("*").alias("support"))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"), F.col("c_nationkey").alias("stratum"))
 
