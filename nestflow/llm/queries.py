@@ -84,6 +84,16 @@ QUERIES = {
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERMS = "regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+# the templates of a leaf, one after another: what a round's constants do not take in votes in the next
+_ROUNDS = "\n".join(
+    f"""f{r} AS (SELECT n, lead, sum(docs) AS votes FROM g{r} GROUP BY ALL HAVING sum(docs) >= 5 AND count(*) > 1),
+c{r} AS (SELECT n, lead, line, docs, votes, unnest(string_split(line, ' ')) AS tok, unnest(range(1, n + 1)) AS pos FROM g{r} JOIN f{r} USING (n, lead)),
+v{r} AS (SELECT n, lead, votes, pos, tok, sum(docs) AS w FROM c{r} GROUP BY ALL),
+k{r} AS (SELECT n, lead, pos, tok FROM v{r} QUALIFY row_number() OVER (PARTITION BY n, lead, pos ORDER BY w DESC, tok DESC) = 1 AND 2 * w >= votes),
+j{r} AS (SELECT n, lead, line FROM c{r} JOIN k{r} USING (n, lead, pos, tok) GROUP BY ALL HAVING count(*) >= 0.7 * n),
+g{r + 1} AS (SELECT * FROM g{r} ANTI JOIN j{r} USING (n, lead, line)),"""
+    for r in range(linededup.ROUNDS)
+)
 
 ORACLE = {
     "op1_decontaminate": f"""
@@ -130,14 +140,10 @@ WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS raw,
                regexp_replace(l, '(^|[\x09-\x0D\x20])[^\x09-\x0D\x200-9@]*[0-9@][^\x09-\x0D\x20]*', '\1<*>', 'g'), '[\x09-\x0D\x20]+', ' ', 'g'), ' ')) AS lines FROM documents),
 l AS (SELECT doc_id, pos, lines[pos + 1] AS line, len(string_split(lines[pos + 1], ' ')) AS n
       FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS pos FROM d)),
-g AS (SELECT n, array_to_string(string_split(line, ' ')[1:3], ' ') AS lead, line, count(DISTINCT doc_id) AS docs FROM l WHERE n >= 3 GROUP BY ALL),
-f AS (SELECT n, lead, sum(docs) AS votes FROM g GROUP BY ALL HAVING sum(docs) >= 5 AND count(*) > 1),
-c AS (SELECT n, lead, line, docs, votes, unnest(string_split(line, ' ')) AS tok, unnest(range(1, n + 1)) AS pos FROM g JOIN f USING (n, lead)),
-v AS (SELECT n, lead, votes, pos, tok, sum(docs) AS w FROM c GROUP BY ALL),
-k AS (SELECT n, lead, pos, tok FROM v QUALIFY row_number() OVER (PARTITION BY n, lead, pos ORDER BY w DESC, tok DESC) = 1 AND 2 * w >= votes),
-j AS (SELECT n, lead, line FROM c JOIN k USING (n, lead, pos, tok) GROUP BY ALL HAVING count(*) >= 0.7 * n),
-t AS (SELECT line, 'J' || n || ' ' || lead AS template FROM j
-      UNION ALL SELECT line, 'A' || line FROM g WHERE docs >= 5 AND line NOT IN (SELECT line FROM j)),
+g0 AS (SELECT n, array_to_string(string_split(line, ' ')[1:3], ' ') AS lead, line, count(DISTINCT doc_id) AS docs FROM l WHERE n >= 3 GROUP BY ALL),
+""" + _ROUNDS + """
+t AS (""" + " UNION ALL ".join(f"SELECT line, 'J{r} ' || n || ' ' || lead AS template FROM j{r}" for r in range(linededup.ROUNDS)) + """
+      UNION ALL SELECT line, 'A' || line FROM g0 WHERE docs >= 5 AND line NOT IN (""" + " UNION ALL ".join(f"SELECT line FROM j{r}" for r in range(linededup.ROUNDS)) + """)),
 h AS (SELECT doc_id, pos, template FROM l JOIN t USING (line)),
 o AS (SELECT template FROM h GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
 x AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM h JOIN o USING (template) GROUP BY 1)

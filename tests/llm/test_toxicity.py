@@ -3,10 +3,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from nestflow.llm import toxicity
 
-from .helpers import DOCS, docs
+from .helpers import DOCS, docs, tokens
 
 
 def labels(spark, rows):
@@ -86,3 +87,41 @@ def test_trees_against_a_walk():
                 node = 2 * node + 1 + int(row[feature[node]] > cut[node])
             z += leaf[node - len(feature)]
         assert abs(got - 1 / (1 + math.exp(-z))) < 1e-12
+
+
+def plain_features(text, words, stems):
+    """One text at a time, from the definitions."""
+    import regex
+
+    w = [c.strip(toxicity.EDGES) for c in tokens(text)]
+    n, hits, rows = max(len(w), 1), [], []
+    for c in w:
+        stem = max([0.0, *(stems.get(c[:k], 0.0) for k in toxicity.STEMS)])
+        odd = bool(regex.search(r"\p{L}[0-9@$!|*]+\p{L}|\p{L}[.*_-]\p{L}[.*_-]\p{L}", c))
+        bare = 0.0
+        if odd:
+            b = c.translate(toxicity.PLAIN) if any(x.isdigit() or x in "@$!|" for x in c) else "".join(x for x in c if x.isalpha())
+            bare = max(words.get(b, 0.0), 2.0 * (b in toxicity.SEED_WORDS), *(stems.get(b[:k], 0.0) for k in toxicity.STEMS))
+        rows.append((words.get(c, 0.0), stem, c in toxicity.SEED_WORDS, c in toxicity.SECOND_PERSON, odd, bare, bool(regex.search("aaa|eee|iii|ooo|uuu|!!!", c))))
+        hits.append(rows[-1][0] > 0 or stem > 0 or rows[-1][2] or bare > 0)
+    near = sum(h and any(r[3] for r in rows[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1]) for i, h in enumerate(hits))
+    raw = (text or "").encode()
+    letters = max(sum(65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in raw), 1)
+    col = lambda k: [r[k] for r in rows]
+    positive = lambda k: sum(x > 0 for x in col(k))
+    return [
+        math.log1p(len(w)), sum(col(2)) / n, positive(0) / n, math.log1p(positive(0)), max(col(0), default=0), sum(col(0)), positive(1) / n, math.log1p(positive(1)), max(col(1), default=0), sum(col(1)),
+        near / max(sum(hits), 1), sum(col(3)) / n, sum(65 <= b <= 90 for b in raw) / letters, raw.count(b"!") / n, sum(b in b"?.,;:*#@$%^&" for b in raw) / n, sum(col(4)) / n, positive(5), sum(col(6)) / n,
+    ]
+
+
+def test_features_are_the_plain_ones():
+    words, stems = {"grump": 1.5, "field": 2.25, "ünfug": 3.0}, {"grum": 1.75, "idio": 2.5, "quiet": 1.6, "walked": 4.0}
+    r = random.Random(5)
+    pool = ["you", "YOUR", "grump!", "(field)", "ünfug", "Ünfug", "idiotic", "1d10t", "i.d.i.o.t", "m0r0n", "quietly", "walkedd", "sooo", "!!!", "tú", "...", "a*b*c", "gr*mp", "x@y", "STUPID", "dumb,"]
+    texts = [None, "", "  \t", "you", "\x0b".join(["du", "idiot"]), *(" ".join(r.choice(pool) for _ in range(r.randrange(1, 40))) for _ in range(200)), "calm " * 5000 + "you moron"]
+    got = toxicity.features(pa.array(texts, pa.string()), words, stems)
+    assert got.shape == (len(texts), len(toxicity.NAMES))
+    assert np.allclose(got, [plain_features(t, words, stems) for t in texts], atol=1e-9)
+    part = pa.array(["before", *texts, "after"], pa.string()).slice(1, len(texts))  # a slice of a larger array
+    assert np.allclose(toxicity.features(part, words, stems), got)
