@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..stages import Stages
+from .numbering import numbered
+
 
 def assignment(cost: np.ndarray) -> tuple[float, np.ndarray]:
     """(least total, column of each row) of a square matrix: shortest augmenting paths with potentials, a row at a time."""
@@ -169,6 +172,67 @@ def diagram_distance(atoms: DataFrame, pairs: DataFrame) -> DataFrame:
     return side("first").unionByName(side("second")).unionByName(every).groupBy("first", "second").applyInPandas(run, f"first {kind}, second {kind}, w1 double")
 
 
+def persistence_bound(p: np.ndarray, q: np.ndarray) -> float:
+    """What w1 of two expanded diagrams is at least: half the distance of their sorted persistences, as no point moves by less than half of what its persistence changes by."""
+    a, b = (np.sort(x[:, 1] - x[:, 0])[::-1] for x in (p, q))
+    n = max(len(a), len(b))
+    return float(np.abs(np.pad(a, (0, n - len(a))) - np.pad(b, (0, n - len(b)))).sum() / 2)
+
+
+#: Neighbours on either side, by total persistence, that the first round of ``nearest`` looks at, how many times as many the next does, and how far sums of rounded numbers may be off.
+STEP, GROWTH, SLACK = 2, 4, 1e-9
+
+
+def bounded_distance(atoms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """first, second, w1 for the pairs (first, second, most); null where the persistences alone show that it exceeds most."""
+    kind = atoms.schema["obs"].dataType.simpleString()
+    side = lambda k: pairs.join(atoms, pairs[k] == atoms["obs"]).select("first", "second", "most", F.lit(k).alias("side"), "birth", "death", "coefficient")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        of = lambda k: expand(pdf.loc[pdf["side"] == k, ["birth", "death"]].to_numpy(float), pdf.loc[pdf["side"] == k, "coefficient"].to_numpy(float))
+        p, q = of("first"), of("second")
+        w = w1(p, q) if persistence_bound(p, q) <= pdf["most"].iloc[0] + SLACK else None
+        return pd.DataFrame({"first": [pdf["first"].iloc[0]], "second": [pdf["second"].iloc[0]], "w1": np.array([w], float)})
+
+    return side("first").unionByName(side("second")).groupBy("first", "second").applyInPandas(run, f"first {kind}, second {kind}, w1 double")
+
+
+def nearest(atoms: DataFrame, members: DataFrame) -> DataFrame:
+    """batch, obs, other, w1, solved, others: of each observation of a batch (batch, obs) the one at the least distance, the least of several; the number of exact distances made for it, and of others there are.
+
+    Filter and refine: half the difference of total persistences is a bound, so a batch is sorted by them, and rounds go outwards from each observation for as long as the bound does not exceed the least distance yet.
+    A second bound, of sorted persistences, is tried before a distance is computed. A pair is looked at once for both its ends. Only observations with intervals take part.
+    """
+    stages = Stages(atoms.sparkSession, "nearest")
+    atoms = stages.keep(atoms.select("obs", "birth", "death", "coefficient").where("cast(coefficient AS int) >= 1"))
+    total = atoms.groupBy("obs").agg(F.sum(F.expr("cast(coefficient AS int) * (death - birth)")).alias("t"))
+    ranked = stages.keep(numbered(members.select("batch", "obs").distinct().join(total, "obs"), ["batch"], ["t", "obs"], "place", size="n"))
+    far_of = lambda a, b: F.abs(F.col(a) - F.col(b)) / 2
+    best = stages.keep(ranked.select("batch", "obs", "t", "place", "n", F.lit(float("inf")).alias("w1"), F.lit(None).cast(atoms.schema["obs"].dataType).alias("other"), F.lit(0).cast("long").alias("solved")))
+    there, at = ranked.select("batch", F.col("place").alias("q"), F.col("obs").alias("o2"), F.col("t").alias("t2")), 0
+    step = STEP
+    while True:
+        outwards = F.explode(F.sequence(F.lit(at + 1), F.lit(at + step)))
+        steps = best.select("batch", "obs", "t", "w1", "place", outwards.alias("k")).withColumn("k", F.explode(F.array(F.col("k"), -F.col("k"))))
+        near = steps.withColumn("q", F.col("place") + F.col("k")).join(there, ["batch", "q"]).where(far_of("t", "t2") <= F.col("w1") + SLACK)
+        pairs = near.groupBy(F.least("obs", "o2").alias("first"), F.greatest("obs", "o2").alias("second"), "batch").agg(F.max("w1").alias("most"))
+        pairs = stages.keep(pairs)
+        if not pairs.limit(1).count():
+            break
+        # an observation may be in several batches; a pair's distance is made once for all of them
+        w = stages.keep(bounded_distance(atoms, pairs.groupBy("first", "second").agg(F.max("most").alias("most"))).where("w1 IS NOT NULL"))
+        w = w.join(pairs.select("batch", "first", "second"), ["first", "second"])
+        both = w.select("batch", F.col("first").alias("obs"), F.col("second").alias("other"), "w1").unionByName(w.select("batch", F.col("second").alias("obs"), F.col("first").alias("other"), "w1"))
+        got = both.groupBy("batch", "obs").agg(F.min(F.struct(F.round("w1", 9).alias("r"), "other", "w1")).alias("x"), F.count("*").alias("more")).select("batch", "obs", F.col("x.w1").alias("w"), F.col("x.other").alias("o"), "more")
+        j = best.join(got, ["batch", "obs"], "left")
+        nearer = F.col("w").isNotNull() & (F.struct(F.round("w", 9), F.col("o")) < F.struct(F.round("w1", 9), F.coalesce("other", "o")))
+        nearer = nearer | (F.col("w").isNotNull() & F.col("other").isNull())
+        new = stages.keep(j.select("batch", "obs", "t", "place", "n", F.when(nearer, F.col("w")).otherwise(F.col("w1")).alias("w1"), F.when(nearer, F.col("o")).otherwise(F.col("other")).alias("other"), (F.col("solved") + F.coalesce("more", F.lit(0))).alias("solved")))
+        stages.drop(best, pairs)
+        best, at, step = new, at + step, step * GROWTH
+    return best.where("other IS NOT NULL").select("batch", "obs", "other", "w1", "solved", (F.col("n") - 1).alias("others"))
+
+
 def signed_distance(pairs: DataFrame) -> DataFrame:
     """obs, w1: of signed diagrams of pairs (left_birth, left_death, right_birth, right_death, coefficient) to zero."""
     kind = pairs.schema["obs"].dataType.simpleString()

@@ -13,7 +13,7 @@ from ..functions import expressions as X
 from ..functions import seeds
 from ..functions.expressions import r6
 from ..operators import diagrams, evaluate, generate, graph, harmonic, homology, perturb, quality, sample, svm, transport, vectorize
-from ..sources import tables, tu
+from ..sources import records, tables, tu
 from . import fixtures as fx
 from . import studies
 from .config import StudyConfig
@@ -465,6 +465,14 @@ def w1_pd1(spark, sf):
     return _round(transport.diagram_distance(a, _partners(a).select(F.col("obs").alias("first"), F.col("other").alias("second"))), "w1")
 
 
+@query()
+def nearest_diagrams(spark, sf):
+    """Each window's nearest by transport of diagrams, among those of its type of event."""
+    e, members = studies.labelled_graphs(fx.window_graphs(spark, sf))
+    near = transport.nearest(homology.h1(graph.clique_complex(e)), members.select(F.col("label").alias("batch"), "obs"))
+    return _round(near.select("batch", "obs", "other", "w1", "others"), "w1")
+
+
 def _small_diagrams(spark, sf):
     """Diagrams of the nations' graphs, whole; two passes of levels give them classes of several lengths."""
     _, e = _local(spark, sf)
@@ -943,6 +951,18 @@ def csv_round_trip(spark, sf):
     return tables.read_csv(spark, path, o.schema)
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderstatus || '\"' || chr(10) || ',' AS note, round(o_totalprice, 2) + 0.0 AS price FROM orders")
+def csv_by_splits(spark, sf):
+    """The same written as CSV in files without a marker, read by splits, and published in two runs of which the second offers all rows again."""
+    o = fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.concat("o_orderstatus", F.lit('"\n,')).alias("note"), (F.round("o_totalprice", 2) + F.lit(0.0)).alias("price"))
+    path = tables.scratch(spark, "csv")
+    tables.write_csv(o, path)
+    rows = records.read_csv(spark, path, o.schema)
+    records.append(rows.where("o_orderkey % 3 = 0"), path + "-published", "o_orderkey")
+    records.append(rows, path + "-published", "o_orderkey")
+    return records.read(spark, path + "-published", o.schema)
+
+
 @query("SELECT CAST(3 AS INT) AS schema_version, s_nationkey, s_suppkey, CAST(row_number() OVER (ORDER BY s_nationkey, s_suppkey) - 1 AS INT) AS place FROM supplier")
 def result_round_trip(spark, sf):
     path = tables.scratch(spark, "result")

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nestflow.functions import seeds
-from nestflow.operators import evaluate, graph, harmonic, homology, perturb
+from nestflow.operators import evaluate, graph, harmonic, homology, perturb, transport
 from nestflow.operators.numbering import numbered
 from nestflow.plans import fixtures as fx
 
@@ -202,3 +202,30 @@ def test_multinomial_draws_have_the_law_of_single_ones(spark, monkeypatch, cells
 
 def test_feature_families_are_all_known():
     assert {s[1] for s in SPEC} <= set(seeds.FAMILIES) | set(seeds.STATISTICS)
+
+
+def test_nearest_diagrams_are_those_of_all_pairs(spark):
+    """Clusters of diagrams of several sizes, ties, a batch of one and an observation in two batches."""
+    rng = np.random.default_rng(8)
+    rows, members = [], []
+    for obs in range(26):
+        size = 1 + obs % 5
+        for b, d in {tuple(x) for x in rng.integers(0, 8, (size, 2)).tolist()}:
+            rows.append((obs, b / 8, (b + 1 + d * (1 + obs % 3)) / 8, float(1 + obs % 2)))
+        members.append((obs % 2, obs))
+    rows += [(26, b, d, c) for o, b, d, c in rows if o == 0] + [(27, 0.0, 1.0, 0.5)]
+    members += [(0, 26), (1, 0), (5, 3), (0, 27)]
+    atoms = spark.createDataFrame(rows, "obs long, birth double, death double, coefficient double")
+    of = {o: transport.expand(np.array([r[1:3] for r in rows if r[0] == o]), np.array([r[3] for r in rows if r[0] == o])) for o in range(27)}
+    want = {}
+    for batch, obs in members:
+        if obs == 27:  # no whole interval
+            continue
+        all_ = [(round(transport.w1(of[obs], of[o]), 9), o) for x, o in members if x == batch and o != obs and o != 27]
+        if all_:
+            want[batch, obs] = (min(all_)[1], min(all_)[0])
+    got = transport.nearest(atoms, spark.createDataFrame(members, "batch int, obs long")).collect()
+    assert {(r.batch, r.obs): (r.other, pytest.approx(r.w1, abs=1e-8)) for r in got} == want
+    assert sum(r.solved for r in got) < 0.8 * sum(r.others for r in got)
+    for p, q in itertools.combinations(of.values(), 2):
+        assert transport.persistence_bound(p, q) <= transport.w1(p, q) + 1e-9
