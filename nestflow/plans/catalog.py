@@ -608,9 +608,12 @@ def uniform_graphs(spark, sf):
     return graph.dyads(s).groupBy("g").agg(F.count("*").alias("dyads")).join(e, "g")
 
 
-@query("SELECT CAST(i.range AS BIGINT) AS i, round(pow(100 / (i.range + 0.5::DOUBLE), 1 / (2.5::DOUBLE - 1)), 6) AS weight FROM range(0, 100) i")
+@query("WITH c AS (SELECT c_custkey - 1 AS i, count(*) OVER () AS n FROM customer) SELECT i, round(pow(n / (i + 0.5::DOUBLE), 1 / (2.5::DOUBLE - 1)), 6) AS weight FROM c")
 def power_law_profile(spark, sf):
-    return spark.range(100).select(F.col("id").alias("i"), r6(X.power_law_weight(F.col("id"), F.lit(100), 2.5)).alias("weight"))
+    """The weights of as many vertices as there are customers."""
+    c = fx.table(spark, sf, "customer").select((F.col("c_custkey") - 1).alias("i"))
+    n = c.agg(F.count("*").alias("n"))
+    return c.join(F.broadcast(n)).select("i", r6(X.power_law_weight(F.col("i"), F.col("n"), 2.5)).alias("weight"))  # a row
 
 
 @query("WITH x AS (SELECT n_nationkey AS i, (n_nationkey - 12)::DOUBLE AS x FROM nation) SELECT i, round(1 / (1 + exp(-x)), 6) AS logistic, round(ln((i + 1) / 27.0::DOUBLE) - ln(1 - (i + 1) / 27.0::DOUBLE), 6) AS log_odds, round(ln(exp(x) + exp(2.0::DOUBLE)), 6) AS log_add FROM x")
@@ -988,7 +991,8 @@ def key_set_check(spark, sf):
     return quality.key_differences(fx.table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k")), fx.table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("k")), "k")
 
 
-@query("WITH f AS (SELECT DISTINCT l_returnflag FROM lineitem), s AS (SELECT DISTINCT l_linenumber FROM lineitem), h AS (SELECT DISTINCT l_returnflag, l_linenumber FROM lineitem WHERE l_quantity > 49 AND l_discount < 0.001 AND l_suppkey < 9) SELECT *, 'missing' AS why FROM (SELECT l_returnflag, l_linenumber FROM f, s EXCEPT SELECT * FROM h)")
+@query("WITH a AS (SELECT DISTINCT s_suppkey AS l_suppkey FROM supplier), b AS (SELECT DISTINCT l_discount FROM lineitem), c AS (SELECT DISTINCT l_linenumber FROM lineitem), h AS (SELECT DISTINCT l_suppkey, l_discount, l_linenumber FROM lineitem), w AS (SELECT l_suppkey, l_discount, l_linenumber FROM a, b, c) SELECT *, 'missing' AS why FROM (SELECT * FROM w EXCEPT SELECT * FROM h) UNION ALL SELECT *, 'extra' FROM (SELECT * FROM h EXCEPT SELECT * FROM w)")
 def cartesian_check(spark, sf):
+    """Whether every supplier has sold at every discount on every line number."""
     t = fx.table(spark, sf, "lineitem")
-    return quality.domain_differences(t.where("l_quantity > 49 AND l_discount < 0.001 AND l_suppkey < 9"), [t.select("l_returnflag"), t.select("l_linenumber")])
+    return quality.domain_differences(t, [fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey")), t.select("l_discount"), t.select("l_linenumber")])

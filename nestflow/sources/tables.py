@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,7 +116,9 @@ def write_result(df: DataFrame, path: str, version: int, *keys: str) -> None:
 
 def ranked(df: DataFrame, *keys: str) -> DataFrame:
     """With each row's place in the order of the keys, from 0."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*keys)) - 1)
+    from ..operators.numbering import numbered
+
+    return numbered(df, [], list(keys), "place").withColumn("place", F.col("place") - 1)
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:

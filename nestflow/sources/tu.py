@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import canonical
+from ..operators.numbering import numbered
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -32,7 +33,7 @@ def read(spark: SparkSession, folder: str, name: str, strict: bool = False) -> d
     if strict and (bad := violations(spark, folder, name).limit(5).collect()):
         raise ValueError(f"{folder}/{name}: {[tuple(r) for r in bad]}")
     v = numbered_lines(spark, f"{folder}/{name}_graph_indicator.txt").select(F.col("line").alias("vertex"), _integer("value").alias("g")).where("g IS NOT NULL")
-    v = v.withColumn("local", F.row_number().over(Window.partitionBy("g").orderBy("vertex")) - 1)
+    v = numbered(v, ["g"], ["vertex"], "local").withColumn("local", F.col("local") - 1)
     labels = numbered_lines(spark, f"{folder}/{name}_graph_labels.txt").select(F.col("line").alias("g"), _integer("value").alias("label"))
     graphs = labels.join(v.groupBy("g").agg(F.count("*").alias("n")), "g", "left").select("g", "label", F.coalesce("n", F.lit(0)).alias("n"))
     a = numbered_lines(spark, f"{folder}/{name}_A.txt").select(F.col("line").alias("formation"), _integer("get(split(value, ','), 0)").alias("a"), _integer("get(split(value, ','), 1)").alias("b"))
@@ -43,14 +44,14 @@ def read(spark: SparkSession, folder: str, name: str, strict: bool = False) -> d
 def write(graphs: DataFrame, vertices: DataFrame, edges: DataFrame, folder: str, name: str) -> None:
     """The three files of graphs (g, label), vertices (g, v) and edges (g, u, v, formation), both directions of an edge one after the other. Graphs and vertices are numbered from 1 in order of g and v.
 
-    The form has one file for each table, so one task writes each.
+    Each is a folder of files whose names are in the order of their lines, as ``read`` takes them; put together in that order they are the file of the form.
     """
-    g = graphs.select("g", "label", F.row_number().over(Window.orderBy("g")).alias("number"))
-    v = vertices.join(g, "g").select("g", "v", "number", F.row_number().over(Window.orderBy("number", "v")).alias("vertex"))
+    g = numbered(graphs.select("g", "label"), [], ["g"], "number")
+    v = numbered(vertices.join(g, "g").select("g", "v", "number"), [], ["number", "v"], "vertex")
     e = edges.join(v.select("g", F.col("v").alias("u"), F.col("vertex").alias("a"), "number"), ["g", "u"]).join(v.select("g", "v", F.col("vertex").alias("b")), ["g", "v"])
     e = e.select("number", "formation", F.posexplode(F.array(F.concat_ws(", ", "a", "b"), F.concat_ws(", ", "b", "a"))).alias("k", "value"))
     for part, table, order in (("graph_labels", g.select("number", F.col("label").cast("string").alias("value")), ["number"]), ("graph_indicator", v.select("vertex", F.col("number").cast("string").alias("value")), ["vertex"]), ("A", e, ["number", "formation", "value"])):
-        table.repartition(1).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(f"{folder}/{name}_{part}.txt")
+        table.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(f"{folder}/{name}_{part}.txt")
 
 
 def violations(spark: SparkSession, folder: str, name: str) -> DataFrame:
