@@ -18,7 +18,7 @@ def _sorts(order: list[str]) -> list[Column]:
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str], number: str | None = None, rank: tuple[str, int] | None = None, last_rank: str | None = None, size: str | None = None, ranges: int | None = None) -> DataFrame:
-    """Adds, of each row within its group, the columns that are named.
+    """Adds, of each row within its group, the columns that are named; a column of that name goes.
 
     order: columns, "-" before one sorts it downwards. number: place from 1. rank: (name, n), dense rank from 1 by the first n columns of order; last_rank: the largest one. size: rows of the group.
     Rows that are equal in all of order are numbered in any order. A range is a partition, of which there are as many as the session shuffles to, or ``ranges``.
@@ -47,7 +47,7 @@ def numbered(df: DataFrame, by: list[str], order: list[str], number: str | None
         (F.sum("n").over(upto) - F.col("n")).alias("__before"), (F.sum("new").over(upto) - F.col("k")).alias("__below"), F.sum("n").over(group).alias("__size"), F.sum("new").over(group).alias("__ranks"),
     )
     same = reduce(lambda a, b: a & b, [rows[b].eqNullSafe(per[f"__by{i}"]) for i, b in enumerate(by)], rows[at] == per["__at"])
-    out = [rows[c] for c in df.columns]
+    out = [rows[c] for c in df.columns if c not in (number, rank and rank[0], last_rank, size)]
     if number:
         out.append((rows[place] + per["__before"]).cast("int").alias(number))
     if rank:
