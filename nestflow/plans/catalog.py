@@ -608,10 +608,10 @@ def uniform_graphs(spark, sf):
     return graph.dyads(s).groupBy("g").agg(F.count("*").alias("dyads")).join(e, "g")
 
 
-@query("WITH c AS (SELECT c_custkey - 1 AS i, count(*) OVER () AS n FROM customer) SELECT i, round(pow(n / (i + 0.5::DOUBLE), 1 / (2.5::DOUBLE - 1)), 6) AS weight FROM c")
+@query("WITH c AS (SELECT c_custkey AS i, count(*) OVER () AS n FROM customer) SELECT i, round(pow(n / (i + 0.5::DOUBLE), 1 / (2.5::DOUBLE - 1)), 6) AS weight FROM c")
 def power_law_profile(spark, sf):
     """The weights of as many vertices as there are customers."""
-    c = fx.table(spark, sf, "customer").select((F.col("c_custkey") - 1).alias("i"))
+    c = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("i"))
     n = c.agg(F.count("*").alias("n"))
     return c.join(F.broadcast(n)).select("i", r6(X.power_law_weight(F.col("i"), F.col("n"), 2.5)).alias("weight"))  # a row
 
