@@ -115,26 +115,36 @@ def paired_difference(first: DataFrame, second: DataFrame, key: str, value: str)
 _PRIME = 2147483647
 
 
+def _shared(key, replicate, i, shift=np.right_shift, xor=np.bitwise_xor):
+    """The numbers of ``shared_draw`` from the stratum's key, of columns or of arrays."""
+    a = ((key + (replicate * 1000003) % _PRIME + (i * 7919) % _PRIME) % _PRIME * 48271 + 11) % _PRIME
+    return (xor(a, shift(a, 13)) * 69621 + 7) % _PRIME
+
+
+def _shared_key(seed: int, stratum: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), stratum.cast("string"))), 1, 8), 16, 10).cast("long") % F.lit(_PRIME).cast("long")
+
+
 def shared_draw(seed: int, stratum: Column, replicate: Column, i: Column) -> Column:
     """A draw, at least 0, that any SQL engine can repeat: products and remainders of numbers below 2^31, and a key for the stratum from an md5."""
-    prime = F.lit(_PRIME).cast("long")
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), stratum.cast("string"))), 1, 8), 16, 10).cast("long") % prime
-    a = ((key + (replicate * 1000003) % prime + (i * 7919) % prime) % prime * 48271 + 11) % prime
-    return (a.bitwiseXOR(F.shiftright(a, 13)) * 69621 + 7) % prime
+    return _shared(_shared_key(seed, stratum), replicate, i, F.shiftright, lambda a, b: a.bitwiseXOR(b))
 
 
-#: Cells of a stratum that are drawn together, and replicates of a task.
-CELLS, REPLICATES = 1000, 100
+#: Cells of a stratum that are drawn together, replicates of a task, and single draws that are made at once.
+CELLS, REPLICATES, DRAWS = 1000, 100, 250_000
 
 
-def resampled_cells(samples: DataFrame, cells: tuple[str, ...], replicates: int, seed: int, stratum: str = "stratum", draw=None) -> DataFrame:
+def resampled_cells(samples: DataFrame, cells: tuple[str, ...], replicates: int, seed: int, stratum: str = "stratum", draw=None, weight: str | None = None) -> DataFrame:
     """(replicate, cells, times): for each replicate how often a sample of each cell is drawn, with replacement, as many in each stratum as it has samples.
 
     Samples of a stratum with equal cells are alike, so only their numbers are drawn, from the multinomial distribution: no replicate reads the samples. A stratum of many cells is drawn in two steps, first how often each group
-    of ``CELLS`` cells is drawn, then the cells of each group, so no task holds all cells and none come to the driver. With ``draw``, a function like ``shared_draw``, each draw is made by itself instead, so that another engine can repeat it.
+    of ``CELLS`` cells is drawn, then the cells of each group, so no task holds all cells and none come to the driver. With ``draw=shared_draw`` each draw is made by itself instead, so that another engine can repeat it; a task makes ``DRAWS`` of one replicate and
+    stratum at once, looks them up among the stratum's cells, which are the combinations of labels that occur, and returns their numbers. With weight, a row counts that often. The result is written once, with a row for each replicate and combination.
     """
+    if draw not in (None, shared_draw):
+        raise ValueError("draws are multinomial or those of shared_draw")
     spark = samples.sparkSession
-    counts = samples.groupBy(F.col(stratum).alias("_s"), *cells).agg(F.count("*").alias("_c"))
+    counts = samples.groupBy(F.col(stratum).alias("_s"), *cells).agg((F.sum(weight) if weight else F.count("*")).alias("_c"))
     stages = Stages(spark, "cells")
     counts = stages.keep(numbered(counts, ["_s"], list(cells), "_i").withColumn("_group", F.expr(f"(_i - 1) div {CELLS}")))
     strata = stages.keep(counts.select("_s").distinct().withColumn("_id", F.monotonically_increasing_id()))
@@ -167,13 +177,22 @@ def resampled_cells(samples: DataFrame, cells: tuple[str, ...], replicates: int,
         drawn = asks.mapInArrow(run, "replicate long, _id long, _i int, times long")
     else:
         upto = counts.select("_s", "_id", "_i", F.sum("_c").over(Window.partitionBy("_id").orderBy("_i")).alias("upto"))
-        places = upto.groupBy("_s", "_id").agg(F.sort_array(F.collect_list("upto")).alias("_upto"), F.max("upto").alias("_n"))
-        asks = places.select("_s", "_id", "_n", "_upto", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate"))
-        asks = asks.select("replicate", "_s", "_id", "_n", "_upto", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_k"))
-        pick = draw(seed, F.col("_s"), F.col("replicate"), F.col("_k")) % F.col("_n")
-        at = asks.withColumn("_p", pick).select("replicate", "_id", (F.size(F.filter("_upto", lambda u: u <= F.col("_p"))) + 1).alias("_i"))
-        drawn = at.groupBy("replicate", "_id", "_i").agg(F.count("*").alias("times"))
-    return drawn.join(counts, ["_id", "_i"]).select("replicate", *cells, "times")
+        places = upto.groupBy("_s", "_id").agg(F.sort_array(F.collect_list("upto")).alias("upto"), F.max("upto").alias("n"))
+        span = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), last))
+        asks = places.select("_id", _shared_key(seed, F.col("_s")).alias("key"), "upto", "n", span(F.lit(replicates - 1).cast("long")).alias("replicate"))
+        asks = asks.select("*", span(F.expr(f"(n - 1) div {DRAWS}")).alias("block"))
+
+        def run(batches):
+            for b in batches:
+                for own_id, key, upto, n, r, block in zip(*[x.to_pylist() for x in b.columns], strict=True):
+                    pick = _shared(key, r, np.arange(block * DRAWS, min(n, (block + 1) * DRAWS), dtype=np.int64)) % n
+                    times = np.bincount(np.searchsorted(np.array(upto), pick, "right"), minlength=len(upto))
+                    at = np.nonzero(times)[0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r)), pa.array(np.full(len(at), own_id)), pa.array((at + 1).astype(np.int32)), pa.array(times[at])], names=["replicate", "_id", "_i", "times"])
+
+        asks = asks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        drawn = asks.mapInArrow(run, "replicate long, _id long, _i int, times long")
+    return stages.keep(drawn.join(counts, ["_id", "_i"]).groupBy("replicate", *cells).agg(F.sum("times").alias("times")))
 
 
 def interval(values: DataFrame, observed: DataFrame, names: dict[str, str], level: float = 0.95, by: tuple[str, ...] = ()) -> DataFrame:
@@ -200,20 +219,25 @@ def need_classes(predictions: DataFrame) -> DataFrame:
     return predictions
 
 
+def _kinds(rows: DataFrame, *cols: str) -> DataFrame:
+    """The combinations of the columns that occur, and how many rows have them: all that a bootstrap reads, made once."""
+    return Stages(rows.sparkSession, "kinds").keep(rows.groupBy(*cols).agg(F.count("*").alias("rows")))
+
+
 def bootstrap(predictions: DataFrame, replicates: int, seed: int, level: float = 0.95, draw=None, by: tuple[str, ...] = ()) -> DataFrame:
     """(by,) metric, observed, mean, sd, lower, upper of accuracy and macro_f1 over stratified resamples, of each group of by for itself."""
-    need_classes(predictions)
-    strata = predictions.withColumn("_stratum", F.struct(*by, "stratum")) if by else predictions
-    r = resampled_cells(strata, (*by, "label", "prediction"), replicates, seed, "_stratum" if by else "stratum", draw)
-    return interval(metrics(r, (*by, "replicate"), weight="times"), metrics(predictions, by), {"accuracy": "accuracy", "macro_f1": "macro_f1"}, level, by)
+    kinds = need_classes(_kinds(predictions, "stratum", *by, "label", "prediction"))
+    strata = kinds.withColumn("_stratum", F.struct(*by, "stratum")) if by else kinds
+    r = resampled_cells(strata, (*by, "label", "prediction"), replicates, seed, "_stratum" if by else "stratum", draw, "rows")
+    return interval(metrics(r, (*by, "replicate"), weight="times"), metrics(kinds, by, weight="rows"), {"accuracy": "accuracy", "macro_f1": "macro_f1"}, level, by)
 
 
 def paired_bootstrap(predictions: DataFrame, replicates: int, seed: int, level: float = 0.95, draw=None) -> DataFrame:
     """The same of ``prediction`` (first), of ``second`` and of their difference, all on the same resamples."""
-    need_classes(predictions)
-    r = resampled_cells(predictions, ("label", "prediction", "second"), replicates, seed, draw=draw)
+    kinds = need_classes(_kinds(predictions, "stratum", "label", "prediction", "second"))
+    r = resampled_cells(kinds, ("label", "prediction", "second"), replicates, seed, draw=draw, weight="rows")
     values = _paired(metrics(r, ("replicate",), weight="times"), metrics(r, ("replicate",), "second", "times"), ("replicate",))
-    return interval(values, _paired(metrics(predictions), metrics(predictions, (), "second")), _SIX, level)
+    return interval(values, _paired(metrics(kinds, weight="rows"), metrics(kinds, (), "second", "rows")), _SIX, level)
 
 
 def hierarchical_bootstrap(predictions: DataFrame, replicates: int, seed: int, level: float = 0.95, draw=None) -> DataFrame:
@@ -221,23 +245,23 @@ def hierarchical_bootstrap(predictions: DataFrame, replicates: int, seed: int, l
 
     A replicate draws samples once, and as many realizations as there are, for all samples; the first method's value is the mean over the drawn realizations.
     """
-    need_classes(predictions)
     spark = predictions.sparkSession
     said = F.transform(F.sort_array(F.collect_list(F.struct("realization", "prediction"))), lambda x: x["prediction"])
     wide = predictions.groupBy("id", "stratum", "label", "second").agg(said.alias("said"))
     m = predictions.agg(F.max("realization")).first()[0] + 1
     cols = [f"p{i}" for i in range(m)]
     wide = wide.select("id", "stratum", "label", "second", *[F.col("said")[i].alias(c) for i, c in enumerate(cols)])
-    r = resampled_cells(wide, ("label", *cols, "second"), replicates, seed, draw=draw)
-    each = lambda df, by, w: metrics(df.select(*by, "label", *w, F.posexplode(F.array(*cols)).alias("realization", "prediction")), (*by, "realization"), weight=w[0] if w else None)
+    kinds = need_classes(_kinds(wide, "stratum", "label", *cols, "second"))
+    r = resampled_cells(kinds, ("label", *cols, "second"), replicates, seed, draw=draw, weight="rows")
+    each = lambda df, by, w: metrics(df.select(*by, "label", *w, F.posexplode(F.array(*cols)).alias("realization", "prediction")), (*by, "realization"), weight=w[0])
     of = draw or (lambda s, key, rep, i: F.pmod(F.xxhash64(F.lit(s), key, rep, i), F.lit(_PRIME)))
     picks = spark.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("i"))
     picks = picks.select("replicate", (of(seed, F.lit("realization"), F.col("replicate"), F.col("i")) % m).cast("int").alias("realization")).groupBy("replicate", "realization").agg(F.count("*").alias("w"))
     mean = lambda c: (F.sum(F.col("w") * F.col(c)) / m).alias(c)
     first = each(r, ("replicate",), ("times",)).join(picks, ["replicate", "realization"]).groupBy("replicate").agg(mean("accuracy"), mean("macro_f1"))
     values = _paired(first, metrics(r, ("replicate",), "second", "times"), ("replicate",))
-    seen = each(wide, (), ()).agg(F.avg("accuracy").alias("accuracy"), F.avg("macro_f1").alias("macro_f1"))
-    return interval(values, _paired(seen, metrics(wide, (), "second")), _SIX, level)
+    seen = each(kinds, (), ("rows",)).agg(F.avg("accuracy").alias("accuracy"), F.avg("macro_f1").alias("macro_f1"))
+    return interval(values, _paired(seen, metrics(kinds, (), "second", "rows")), _SIX, level)
 
 
 def timing_summary(timings: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Plans whose work must not grow with the square of a group."""
+import hashlib
 import random
 
 import numpy as np
 
-from nestflow.operators import sample
+from nestflow.operators import evaluate, sample
 
 
 def test_weighted_pick_has_no_frame_to_the_end(spark):
@@ -15,3 +16,23 @@ def test_weighted_pick_has_no_frame_to_the_end(spark):
     ends = {g: np.cumsum([x for h, _, x in w if h == g]) for g in (1, None)}
     want = {(g, k): int(np.searchsorted(ends[g] / ends[g][-1], u, "right")) for g, k, u in d}
     assert {(x.g, x.draw): x.i for x in got.collect()} == want
+
+
+def test_single_draws_in_blocks(spark, monkeypatch):
+    """Draws of a replicate and stratum in blocks, against draws one by one; what is made is written once, not made anew by each reader."""
+    monkeypatch.setattr(evaluate, "DRAWS", 7)
+    rows = [(s, c) for s, n in (("x", 40), ("y", 3), (None, 8)) for k in range(n) for c in [f"c{k * k % 6}"]]
+    r = evaluate.resampled_cells(spark.createDataFrame(rows, "stratum string, cell string"), ("stratum", "cell"), 5, 3, draw=evaluate.shared_draw)
+    plan = r._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+    want, p = {}, 2147483647
+    for s in ("x", "y", None):
+        own = sorted(c for t, c in rows if t == s)
+        key = int(hashlib.md5(("3" if s is None else f"3:{s}").encode()).hexdigest()[:8], 16) % p
+        for rep in range(5):
+            for i in range(len(own)):
+                a = ((key + rep * 1000003 % p + i * 7919 % p) % p * 48271 + 11) % p
+                at = (rep, s, own[((a ^ a >> 13) * 69621 + 7) % p % len(own)])
+                want[at] = want.get(at, 0) + 1
+    got = r.collect()
+    assert len(got) == len(want) and {(x.replicate, x.stratum, x.cell): x.times for x in got} == want
