@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from nestflow.operators import evaluate, sample
+from nestflow.operators import evaluate, sample, svm
 
 
 def test_weighted_pick_has_no_frame_to_the_end(spark):
@@ -36,3 +36,20 @@ def test_single_draws_in_blocks(spark, monkeypatch):
                 want[at] = want.get(at, 0) + 1
     got = r.collect()
     assert len(got) == len(want) and {(x.replicate, x.stratum, x.cell): x.times for x in got} == want
+
+
+def test_machines_by_pairs_of_classes(spark, monkeypatch):
+    """As one task predicts that holds a fold and its whole kernel, when a task may keep four columns of it; three classes, a feature that does not vary."""
+    monkeypatch.setattr(svm, "KEPT", 8 * 40 * 4)
+    r = random.Random(9)
+    rows = [(k, k % 4, "abc"[k % 3], [r.gauss(k % 3, 1.0), r.gauss(0, 2.0), 7.0]) for k in range(60)]
+    got = svm.cross_validate(spark.createDataFrame(rows, "id long, fold int, label string, vector array<double>"), 1.0)
+    x, fold, y, want = np.array([v for *_, v in rows])[:, :2], np.array([f for _, f, *_ in rows]), np.array([c for _, _, c, _ in rows]), {}
+    for f in range(4):
+        a, b = x[fold != f], x[fold == f]
+        said = svm.fit_predict((a - a.mean(0)) / a.std(0), y[fold != f], (b - a.mean(0)) / a.std(0), 1.0)
+        want |= dict(zip(np.nonzero(fold == f)[0].tolist(), said, strict=True))
+    assert {z.id: z.prediction for z in got.collect()} == want
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    one = svm.Columns(x, 0.5, 8 * 60 * 2)
+    assert one.whole is None and all(np.allclose(one(i), svm.gauss(x, x, 0.5)[i]) for i in range(60)) and len(one.made) <= 2
