@@ -1,8 +1,11 @@
 """Degree-one persistence over Z/2 of filtered clique complexes: a graph in a task, or ranges of a graph's boundary matrix."""
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,34 +21,46 @@ def intervals(edges: list[tuple[float, int, int]], triangles: list[tuple[float,
     edges (time, u, v) and triangles (time, a, b, c) in order of appearance. An edge that joins two components bears no class, so union-find settles it
     without reduction, and only edges that close a cycle can be pivots.
     """
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    place, born = {}, {}
-    for i, (t, u, v) in enumerate(edges):
-        place[u, v] = i
-        a, b = find(u), find(v)
-        if a == b:
-            born[i] = t
-        else:
-            root[b] = a
-    pivots: dict[int, set[int]] = {}
-    out = []
-    for t, a, b, c in triangles:
-        column = {place[a, b], place[a, c], place[b, c]}
-        while column:
-            low = max(column)
-            if low not in pivots:
-                pivots[low] = column
-                out.append((born[low], t))
-                break
-            column = column ^ pivots[low]
-    return out + [(t, 1.0) for i, t in born.items() if i not in pivots]
+    place = {(u, v): i for i, (_, u, v) in enumerate(edges)}
+    ends = np.unique(np.array([e[1:] for e in edges], np.int64), return_inverse=True)[1].reshape(-1, 2)
+    sides = np.array([[place[a, b], place[a, c], place[b, c]] for _, a, b, c in triangles], np.int64).reshape(-1, 3)
+    out = interval_arrays(np.array([e[0] for e in edges], float), ends, np.array([t[0] for t in triangles], float), sides)
+    return list(map(tuple, out.tolist()))
+
+
+def interval_arrays(times: np.ndarray, ends: np.ndarray, late: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """The same rows (birth, death) from arrays: times and ends (u, v) of edges, times of triangles and the places of their edges.
+
+    Edges of the forest are no rows of the matrix, as in ``h1_spread``, and of a column that is reduced only its rows are held, as numbers side by side.
+    """
+    root = np.arange(ends.max(initial=-1) + 1).tolist()
+    bears = np.zeros(len(times), bool)
+    for at in range(0, len(times), 100_000):  # few numbers are Python's at a time
+        for i, (a, b) in enumerate(ends[at : at + 100_000].tolist(), at):
+            while root[a] != a:
+                root[a] = a = root[root[a]]
+            while root[b] != b:
+                root[b] = b = root[root[b]]
+            if a == b:
+                bears[i] = True
+            else:
+                root[b] = a
+    pivots: dict[int, array] = {}
+    low_of, number = array("q"), array("q")
+    for at in range(0, len(late), 100_000):
+        for n, rows in enumerate(sides[at : at + 100_000].tolist(), at):
+            column = {r for r in rows if bears[r]}
+            while column:
+                low = max(column)
+                if low not in pivots:
+                    pivots[low] = array("i", column)
+                    low_of.append(low)
+                    number.append(n)
+                    break
+                column.symmetric_difference_update(pivots[low])
+    low, n = np.array(low_of, np.int64), np.array(number, np.int64)
+    bears[low] = False
+    return np.concatenate([np.column_stack([times[low], late[n]]), np.column_stack([times[bears], np.ones(bears.sum())])])
 
 
 #: Simplices of a graph up to which one task reduces it.
@@ -64,15 +79,23 @@ def h1_kernel(complex_: DataFrame, drop_empty: bool = True) -> DataFrame:
     """The same, each graph in one task."""
     kind = complex_.schema["g"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        edges = [(f, *map(int, v)) for d, f, v in zip(pdf["dim"], pdf["filtration"], pdf["vertices"], strict=True) if d == 1]
-        triangles = [(f, *map(int, v)) for d, f, v in zip(pdf["dim"], pdf["filtration"], pdf["vertices"], strict=True) if d == 2]
-        got, n = np.unique(np.array(intervals(edges, triangles), float).reshape(-1, 2), axis=0, return_counts=True)
-        return pd.DataFrame({"obs": np.full(len(got), pdf["g"].iloc[0], object), "birth": got[:, 0], "death": got[:, 1], "coefficient": n.astype(float)})
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        dim, time, place = (t.column(c).to_numpy() for c in ("dim", "filtration", "place"))
+        lists = pa.concat_arrays(t.column("vertices").chunks)
+        flat, start = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        edge, triangle = (np.nonzero(dim == d)[0] for d in (1, 2))
+        edge, triangle = edge[place[edge].argsort(kind="stable")], triangle[place[triangle].argsort(kind="stable")]
+        names = np.unique(flat)
+        ends, corners = (np.searchsorted(names, flat[start[at][:, None] + np.arange(d)]) for at, d in ((edge, 2), (triangle, 3)))
+        code = ends[:, 0] * len(names) + ends[:, 1]
+        order = code.argsort()
+        sides = order[np.searchsorted(code, corners[:, [0, 0, 1]] * len(names) + corners[:, [1, 2, 2]], sorter=order)] if len(triangle) else np.zeros((0, 3), np.int64)
+        got, n = np.unique(interval_arrays(time[edge], ends, time[triangle], sides), axis=0, return_counts=True)
+        return pa.table({"obs": pa.repeat(t.column("g")[0], len(got)), "birth": got[:, 0], "death": got[:, 1], "coefficient": n.astype(float)})
 
     # vertices are not needed: an edge's ends name them
-    out = complex_.where("dim > 0").select("g", "vertices", "dim", "filtration", "place").groupBy("g").applyInPandas(run, f"obs {kind}, birth double, death double, coefficient double")
+    out = complex_.where("dim > 0").select("g", "vertices", "dim", "filtration", "place").groupBy("g").applyInArrow(run, f"obs {kind}, birth double, death double, coefficient double")
     return clean(out) if drop_empty else out
 
 

@@ -2,6 +2,7 @@
 import collections
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -262,3 +263,15 @@ def test_ranges_do_not_multiply_partitions(spark, monkeypatch):
     want = {(r.obs, r.idx): complex(r.re, r.im) for r in harmonic.coordinates(a, SPEC, "join").collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 * max(1, abs(want[k])) for k in want)
     assert dealt == [(2, 4)]  # 225 ranges at most, the session's four partitions
+
+
+def test_a_kernel_holds_few_bytes_of_a_simplex():
+    """A long cycle with a chord to every vertex: one array entry for each end and side, and no object for each simplex."""
+    n = 60_000
+    ends = np.array([(0, i) for i in range(1, n)] + [(i, i + 1) for i in range(1, n - 1)])
+    sides = np.array([(i - 1, i, n - 2 + i) for i in range(1, n - 1)])
+    tracemalloc.start()
+    got = homology.interval_arrays(np.linspace(0, 0.5, len(ends)), ends, np.linspace(0.6, 0.9, len(sides)), sides)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == n - 2 and (got[:, 1] < 1).all() and peak < 400 * (len(ends) + len(sides))
