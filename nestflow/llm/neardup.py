@@ -171,9 +171,9 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j:
 
 
 def link_blocks(rows: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Links (a, b) between members of different components of (band, lefts, rights), one for each left member and component.
+    """Links (a, b) between members of different components of (band, lefts, rights); of a task's links those that join components which its links before have not joined.
 
-    lefts and rights are arrays of (v, c, sig, items). A pair is left to the first band that it agrees on.
+    So a task gives fewer links than it meets components, and joins the same ones. lefts and rights are arrays of (v, c, sig, items). A pair is left to the first band that it agrees on.
     """
     width, threshold = BANDS * ROWS, percent / 100
     bounds = [(n, least_matches(n, threshold, miss)) for n in range(BATCH, width + 1, BATCH)]
@@ -183,6 +183,16 @@ def link_blocks(rows: DataFrame, percent: int, miss: float) -> DataFrame:
         return f[0].to_pylist(), f[1].to_numpy(zero_copy_only=False), _stack(f[2], width), [np.frombuffer(y, np.uint64) for y in f[3].to_pylist()]
 
     def run(batches):
+        up: dict[int, int] = {}  # of components that a link joins to a lesser one
+
+        def top(c: int) -> int:
+            while c in up:
+                above = up[c]
+                if above in up:
+                    up[c] = up[above]
+                c = above
+            return c
+
         for b in batches:
             a_out, b_out = [], []
             for row in range(b.num_rows):
@@ -201,10 +211,10 @@ def link_blocks(rows: DataFrame, percent: int, miss: float) -> DataFrame:
                     i, j = i[~first], j[~first]
                 both = _overlaps(li, ri, i, j)
                 ok = 100 * both >= percent * (nl[i] + nr[j] - both)
-                seen = set()
-                for p, q in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-                    if (p, rc[q]) not in seen:
-                        seen.add((p, rc[q]))
+                for p, q, x, y in zip(i[ok].tolist(), j[ok].tolist(), lc[i[ok]].tolist(), rc[j[ok]].tolist(), strict=True):
+                    x, y = top(x), top(y)
+                    if x != y:
+                        up[max(x, y)] = min(x, y)
                         a_out.append(lv[p])
                         b_out.append(rv[q])
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
@@ -216,14 +226,16 @@ def link_blocks(rows: DataFrame, percent: int, miss: float) -> DataFrame:
 def merge_components(ws: Workspace, labels: DataFrame, edges: DataFrame) -> DataFrame:
     """labels (v, c) after edges (a, b) between vertices: c is the least label reachable. Joins and aggregates only.
 
-    Each pass hooks every component to its least neighbour and follows the hooks to their roots.
+    Each pass hooks every component to its least neighbour, follows the hooks to their roots and keeps of the edges what still joins two components, once each.
     """
     first = labels
+    la, lb = labels.select(F.col("v").alias("a"), F.col("c").alias("ca")), labels.select(F.col("v").alias("b"), F.col("c").alias("cb"))
+    ends = lambda x, y: (F.greatest(x, y).alias("c"), F.least(x, y).alias("p"))
+    cross = ws.keep(edges.join(la, "a").join(lb, "b").where("ca <> cb").select(*ends("ca", "cb")).distinct())
     while True:
-        la, lb = labels.select(F.col("v").alias("a"), F.col("c").alias("ca")), labels.select(F.col("v").alias("b"), F.col("c").alias("cb"))
-        cross = edges.join(la, "a").join(lb, "b").where("ca <> cb").select(F.greatest("ca", "cb").alias("c"), F.least("ca", "cb").alias("p"))
         hooks = ws.keep(cross.groupBy("c").agg(F.min("p").alias("p")))
         if hooks.limit(1).count() == 0:
+            ws.drop(cross, hooks)
             return labels
         while True:
             up = hooks.select(F.col("c").alias("p"), F.col("p").alias("q"))
@@ -234,9 +246,13 @@ def merge_components(ws: Workspace, labels: DataFrame, edges: DataFrame) -> Data
             if not moved:
                 break
         new = ws.keep(labels.join(hooks, "c", "left").select("v", F.coalesce("p", "c").alias("c")))
+        root, other = hooks.select("c", F.col("p").alias("x")), hooks.select(F.col("c").alias("p"), F.col("p").alias("y"))
+        left = cross.join(root, "c").join(other, "p", "left").withColumn("y", F.coalesce("y", "p")).where("x <> y")
+        left = ws.keep(left.select(*ends("x", "y")).distinct())
         if labels is not first:
             ws.drop(labels)
-        labels = new
+        ws.drop(cross, nxt)
+        labels, cross = new, left
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

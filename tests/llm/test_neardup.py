@@ -133,3 +133,16 @@ def test_recall_on_documents(spark, width):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     table = [(r.doc_id, r.text) for r in d.collect()]
     assert held(d, width) == brute(table, width)
+
+
+def test_a_block_gives_a_forest(spark):
+    """Members that all link with each other and lie in components of their own: as many links as join them, not one for each pair."""
+    n, items = 60, np.arange(50, dtype=np.uint64)
+    sig = neardup.signatures([items], neardup._multipliers(neardup.BANDS * neardup.ROWS))[0].tobytes()
+    members = [(v, v // 2, sig, items.tobytes()) for v in range(n)]
+    kind = "array<struct<v: long, c: long, sig: binary, items: binary>>"
+    links = neardup.link_blocks(spark.createDataFrame([(0, members[2:], members)], f"band int, lefts {kind}, rights {kind}"), 80, 1e-6)
+    assert links.count() == n // 2 - 1
+    ws = common.Workspace(spark, "forest")
+    labels = neardup.merge_components(ws, spark.createDataFrame([(v, v // 2) for v in range(n)], "v long, c long"), links)
+    assert {(r.v, r.c) for r in labels.collect()} == {(v, 0) for v in range(n)}
