@@ -116,12 +116,11 @@ def trussness_spread(edges: DataFrame) -> DataFrame:
     Each pass is written to the shared folder and read again: the plan of a pass, and what the optimizer makes of its size, does not grow with their number.
     """
     stages = Stages(edges.sparkSession, "trussness")
-    t = triangles(edges).select("g", *[F.struct(F.col(x).alias("u"), F.col(y).alias("v")).alias(x + y) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))])
-    sides = None
-    for own, f, h in (("ab", "ac", "bc"), ("ac", "ab", "bc"), ("bc", "ab", "ac")):
-        one = t.select("g", F.col(own).alias("e"), F.col(f).alias("f"), F.col(h).alias("h"))
-        sides = one if sides is None else sides.unionByName(one)
-    sides = stages.keep(sides)
+    edges = stages.keep(edges.select("g", "u", "v"))  # read many times below
+    side = lambda x, y: F.struct(F.col(x).alias("u"), F.col(y).alias("v"))
+    ab, ac, bc = side("a", "b"), side("a", "c"), side("b", "c")
+    three = F.array(*[F.struct(e.alias("e"), f.alias("f"), h.alias("h")) for e, f, h in ((ab, ac, bc), (ac, ab, bc), (bc, ab, ac))])
+    sides = stages.keep(triangles(edges).select("g", F.explode(three).alias("x")).select("g", "x.e", "x.f", "x.h"))
     level = stages.keep(sides.groupBy("g", "e").agg(F.count("*").cast("int").alias("level")))
     while True:
         of = lambda name, as_: level.select("g", F.col("e").alias(name), F.col("level").alias(as_))

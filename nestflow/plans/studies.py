@@ -40,7 +40,8 @@ def interval_features(edges: DataFrame, spec: list[tuple]) -> DataFrame:
 
 
 def cohesion_filtered(edges: DataFrame) -> DataFrame:
-    """Edges with time by clique cohesion."""
+    """Edges with time by clique cohesion. They are read many times, so they are written once."""
+    edges = Stages(edges.sparkSession, "cohesion").keep(edges.select("g", "u", "v"))
     return graph.cohesion_filtration(graph.cohesion(edges, graph.trussness(edges)))
 
 

@@ -341,3 +341,13 @@ def test_few_points_are_assigned_many_pairs_at_a_time():
     for n, m in ((1, 1), (1, 6), (3, 3), (4, 9), (7, 7)):
         p, q = (np.cumsum(rng.integers(1, 9, (40, k, 2)) / 10, axis=2) for k in (n, m))
         assert transport.few_points(p, q) == pytest.approx([transport.w1(x, y) for x, y in zip(p, q, strict=True)], abs=1e-9)
+
+
+def test_triangles_are_found_once_for_their_sides(spark, monkeypatch):
+    """What makes the edges runs once, and one search of triangles gives all three sides."""
+    plans, keep = [], transport.Stages.keep
+    monkeypatch.setattr(transport.Stages, "keep", lambda self, df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(self, df))
+    rows = spark.range(40).select(F.lit("a").alias("g"), (F.col("id") % 8).alias("u"), (8 + F.col("id") % 5).alias("v")).unionByName(spark.range(7).select(F.lit("a").alias("g"), F.col("id").alias("u"), (F.col("id") + 1).alias("v")))
+    got = {(r.u, r.v): r.trussness for r in graph.trussness_spread(rows).collect()}
+    assert got == {(r.u, r.v): r.trussness for r in graph.trussness_kernel(rows).collect()}
+    assert sum("Range (" in p for p in plans) == 1 and plans[1].count("Generate") == 1
